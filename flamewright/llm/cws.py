@@ -57,7 +57,7 @@ def fingerprints(texts: list[bytes], samples: int = SAMPLES) -> np.ndarray:
 
 
 def _draws(term: np.ndarray, times: np.ndarray, samples: int) -> np.ndarray:
-    """Order-preserving 64-bit words: ln a in the upper half, a hash of (term, t) in the lower."""
+    """Order-preserving 64-bit words: ln a in fixed point in the upper half, a hash of (term, t) in the lower."""
     g = gamma_table()
     if "lg" not in _TABLE:
         _TABLE["lg"] = np.log(g)
@@ -65,19 +65,31 @@ def _draws(term: np.ndarray, times: np.ndarray, samples: int) -> np.ndarray:
         z = term[:, None] * keys(samples, 7)[None, :]
         z ^= z >> np.uint64(32)
         parts = z.view(np.uint16).reshape(len(term), samples, 4)
-        r, ln_c = g[parts[:, :, 0]], _TABLE["lg"][parts[:, :, 1]]
-        b = z.view(np.uint32).reshape(len(term), samples, 2)[:, :, 1].astype(np.float32) * np.float32(2.0**-32)
-        b = np.minimum(b, np.float32(1 - 2.0**-24))
-        many = times > 1
-        t = np.zeros((len(term), samples), dtype=np.float32)
-        if many.any():
-            t[many] = np.floor(np.log(times[many]).astype(np.float32)[:, None] / r[many] + b[many])
-        ln_a = ln_c - r * (t - b + np.float32(1))
-        bits = ln_a.view(np.uint32)
-        key = np.where(bits >> 31, ~bits, bits | np.uint32(1 << 31)).astype(np.uint64) << np.uint64(32)
-        name = (term >> np.uint64(20)).astype(np.uint32)[:, None] ^ (t.astype(np.uint32) * np.uint32(0x9E3779B1))
-        name = (name ^ (name >> 15)) * np.uint32(0x85EBCA6B)
-        return key | (name ^ (name >> 13)).astype(np.uint64)
+        r = g.take(parts[:, :, 0])
+        b = parts[:, :, 2].astype(np.float32)
+        b *= np.float32(2.0**-16)
+        b -= np.float32(1)
+        name = (term >> np.uint64(20)).astype(np.uint32)
+        many = np.flatnonzero(times > 1)
+        if len(many):
+            t = np.floor(np.log(times[many]).astype(np.float32)[:, None] / r[many] + (b[many] + np.float32(1)))
+            b[many] -= t
+        b *= r
+        b += _TABLE["lg"].take(parts[:, :, 1])
+        # ln a lies between -80 and 48 for any multiplicity below 2**50.
+        b += np.float32(80)
+        b *= np.float32(2.0**24)
+        key = b.astype(np.uint64)
+        key <<= np.uint64(32)
+        key |= _spread(name).astype(np.uint64)[:, None]
+        if len(many):
+            key[many] = (key[many] >> np.uint64(32) << np.uint64(32)) | _spread(name[many][:, None] ^ (t.astype(np.uint32) * np.uint32(0x9E3779B1)))
+        return key
+
+
+def _spread(name: np.ndarray) -> np.ndarray:
+    name = (name ^ (name >> np.uint32(15))) * np.uint32(0x85EBCA6B)
+    return name ^ (name >> np.uint32(13))
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
