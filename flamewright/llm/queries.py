@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bagminhash, cws, mixing, packing, pii, quality, secrets, spans, suffixes, token_counts
+from . import attention, bagminhash, cws, mixing, packing, pii, quality, secrets, spans, suffixes, token_counts
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,6 +41,10 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(_documents(spark, sf_dir)).select(*cols)
 
 
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return attention.score(_documents(spark, sf_dir), tokenizer_path())
+
+
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bagminhash.near_classes(_documents(spark, sf_dir))
 
@@ -62,5 +66,5 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.scan(blocks, with_tail=False).select("doc_id", "n_tokens")
 
 
-QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_pii, op3_mixing, op4_best_fit_packing, op5_quality_rules, op7_near_dedup, op8_suffix_dedup, op9_secret_scan, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_pii, op3_mixing, op4_best_fit_packing, op5_quality_rules, op6_lm_scoring, op7_near_dedup, op8_suffix_dedup, op9_secret_scan, op10_token_counts)}
 ORACLES = {"op5_quality_rules": quality.oracle()}
