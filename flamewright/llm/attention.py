@@ -33,7 +33,7 @@ from . import graph
 from .packing import encoder
 
 VOCAB, END, WIDTH, CLASSES, STRIDE = 50257, 50256, 16, 32, 16
-BATCH, RATE, HEAD_WORDS = 512, 4e-3, 1_000_000
+BATCH, RATE, HEAD_WORDS = 512, 2e-2, 1_000_000
 #: Stands for the end of a text among the words; no word holds white space.
 END_WORD = "\n"
 _DENSE = {"wq": (WIDTH, WIDTH), "wk": (WIDTH, WIDTH), "wv": (WIDTH, WIDTH), "wo": (WIDTH, WIDTH), "wc": (WIDTH, CLASSES), "bc": (1, CLASSES), "place": (STRIDE, 2 * STRIDE)}
