@@ -27,7 +27,7 @@ EMAIL = rf"(?:\G|(?<!{_E})){_E}++@{_D}++(?:\.{_D}++)++"
 IP = r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}+"
 CARD = r"[0-9](?:[ -]?[0-9])++"
 PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
-_EDGE = r"""[.,;:!?()\[\]{}"'<>|]"""
+_SPACE, _EDGE = r"\x20\x09-\x0D", r""".,;:!?()\[\]{}"'<>|"""
 
 
 def _digits(x: Column) -> Column:
@@ -65,31 +65,37 @@ def _small(df: DataFrame) -> tuple[DataFrame, bool]:
 
 
 def _words(text: Column) -> Column:
-    return F.transform(F.regexp_extract_all(text, F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)), lambda w: F.regexp_replace(w, rf"^{_EDGE}+|{_EDGE}+$", ""))
+    """Words without punctuation at their edges."""
+    return F.regexp_extract_all(text, F.lit(rf"[^{_SPACE}{_EDGE}](?:[^{_SPACE}]*[^{_SPACE}{_EDGE}])?"), F.lit(0))
 
 
 def disclosing_terms(docs: DataFrame, alpha: float = ALPHA, support: int = SUPPORT, context: int = CONTEXT) -> DataFrame:
     """(term, entity, pmi, ic) of every term that exceeds the disclosure threshold; docs has text and _base."""
-    mentions = docs.where(F.size("_base") > 0).select("text", F.explode("_base").alias("s")).select(
+    personal = docs.where(F.size("_base") > 0)
+    mentions = personal.select(F.xxhash64("text").alias("doc"), "text", F.explode("_base").alias("s")).select(
         F.concat_ws(":", "s.kind", F.lower("s.hit")).alias("entity"),
+        "doc",
         F.substring("text", F.greatest(F.col("s.start") - 199, F.lit(1)), F.least(F.col("s.start"), F.lit(200))).alias("before"),
         F.substring("text", F.col("s.end") + 1, F.lit(200)).alias("after"),
     )
     words = F.array_distinct(F.concat(F.slice(F.reverse(_words(F.col("before"))), 1, context), F.slice(_words(F.col("after")), 1, context)))
-    mentions = mentions.select("entity", words.alias("terms")).withColumn("context", F.xxhash64("terms"))
+    mentions = mentions.select("entity", "doc", F.filter(words, lambda w: (F.length(w) > 1) & ~w.rlike("[@0-9]")).alias("terms")).withColumn("context", F.xxhash64("terms"))
     contexts = graph.cut(mentions.dropDuplicates(["entity", "context"]))
     often = contexts.groupBy("entity").agg(F.count("*").alias("n_v")).where(F.col("n_v") >= support)
-    pair = contexts.join(often, "entity").select("entity", "n_v", F.explode("terms").alias("term")).where(r"length(term) > 1 and not term rlike '[@0-9]'")
-    pair = pair.groupBy("entity", "term").agg(F.count("*").alias("n_vt"), F.first("n_v").alias("n_v")).where(F.col("n_vt") >= support)
-    pair, some = _small(pair)
+    often, some = _small(often)
+    nothing = contexts.select(F.lit("").alias("term"), "entity", F.lit(0.0).alias("pmi"), F.lit(0.0).alias("ic")).limit(0)
     if not some:
-        return pair.select("term", "entity", F.lit(0.0).alias("pmi"), F.lit(0.0).alias("ic"))
+        return nothing
     n = docs.count()
-    terms, _ = _small(pair.select("term").distinct())
-    df_t = docs.select(F.explode(F.array_distinct(_words(F.col("text")))).alias("term")).join(terms, "term").groupBy("term").agg(F.count("*").alias("df_t"))
-    wanted, _ = _small(pair.select("entity").distinct())
-    df_v = docs.where(F.size("_base") > 0).select(F.explode(F.array_distinct(F.transform("_base", lambda s: F.concat_ws(":", s["kind"], F.lower(s["hit"]))))).alias("entity")).join(wanted, "entity").groupBy("entity").agg(F.count("*").alias("df_v"))
-    scored = pair.join(df_t, "term").join(df_v, "entity").select("term", "entity", F.log((F.col("n_vt") / F.col("n_v")) * n / F.col("df_t")).alias("pmi"), F.log(n / F.col("df_v")).alias("ic"))
+    df_v = personal.select(F.explode(F.array_distinct(F.transform("_base", lambda s: F.concat_ws(":", s["kind"], F.lower(s["hit"]))))).alias("entity")).join(often, "entity").groupBy("entity").agg(F.count("*").alias("df_v"))
+    pair = contexts.join(often, "entity").select("entity", "n_v", F.explode("terms").alias("term"))
+    pair = pair.groupBy("entity", "term").agg(F.count("*").alias("n_vt"), F.first("n_v").alias("n_v")).where(F.col("n_vt") >= support)
+    pair, some = _small(pair.join(df_v, "entity"))
+    if not some:
+        return nothing
+    # The document frequency of every word, as in any word count: only the vocabulary is shuffled, and no word is joined row by row.
+    df_t = docs.select(F.explode(F.array_distinct(_words(F.col("text")))).alias("term")).groupBy("term").agg(F.count("*").alias("df_t"))
+    scored = pair.join(df_t, "term").select("term", "entity", F.log((F.col("n_vt") / F.col("n_v")) * n / F.col("df_t")).alias("pmi"), F.log(n / F.col("df_v")).alias("ic"))
     return scored.where((F.col("ic") > 0) & (F.col("pmi") >= alpha * F.col("ic")))
 
 
