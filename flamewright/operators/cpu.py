@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..functions.lineage import cut
 from ..functions.scope import Matcher, Scope, or_anonymous, source_type
 from .timebase import into_windows
 
@@ -138,16 +139,15 @@ def ancestor_paths(tree: DataFrame) -> DataFrame:
     """
     known = tree.select("trace_id", "node_id", "parent")
     missing = known.where("parent is not null").select("trace_id", F.col("parent").alias("node_id")).distinct().join(known, ["trace_id", "node_id"], "left_anti").withColumn("parent", F.lit(None).cast("decimal(20,0)"))
-    now = known.unionByName(missing).select("trace_id", "node_id", F.array(F.col("node_id")).alias("path"), F.col("parent").alias("up")).persist()
+    now = known.unionByName(missing).select("trace_id", "node_id", F.array(F.col("node_id")).alias("path"), F.col("parent").alias("up"))
+    now = cut(now)
     most = now.groupBy("trace_id").count().agg(F.max("count")).first()[0] or 0
     reach = 1
     while reach <= most and not now.where("up is not null").isEmpty():
         above = now.select("trace_id", F.col("node_id").alias("up"), F.col("path").alias("more"), F.col("up").alias("next"))
         step = now.join(above, ["trace_id", "up"], "left")
-        step = step.select("trace_id", "node_id", F.when(F.col("more").isNull(), F.col("path")).otherwise(F.concat("more", "path")).alias("path"), F.col("next").alias("up")).persist()
-        step.count()
-        now.unpersist()
-        now, reach = step, reach * 2
+        step = step.select("trace_id", "node_id", F.when(F.col("more").isNull(), F.col("path")).otherwise(F.concat("more", "path")).alias("path"), F.col("next").alias("up"))
+        now, reach = cut(step), reach * 2
     whole = now.select("trace_id", "node_id", F.when(F.col("up").isNull(), F.col("path")).otherwise(F.reverse(F.array_distinct(F.reverse("path")))).alias("path"), F.col("up").isNotNull().alias("cyclic"))
     return whole.join(known.select("trace_id", "node_id"), ["trace_id", "node_id"], "left_semi")
 
