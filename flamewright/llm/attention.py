@@ -245,6 +245,7 @@ def _written(df: DataFrame) -> DataFrame:
 
 def learn(docs: DataFrame, tokenizer: str) -> tuple[DataFrame, dict[str, np.ndarray], np.ndarray]:
     """(word counts, averaged parameters, id counts) of the training rows of docs(doc_id, text)."""
+    graph.small_batches(docs.sparkSession)
     stats = _written(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_learn(tokenizer), STATS))
     words = _written(stats.where("word is not null").groupBy("word").agg(F.sum("n").alias("c")))
     sums = [F.sum(F.col("v")[i].cast("double") * F.col("n")).alias(f"s{i}") for i in range(WIDTH)]

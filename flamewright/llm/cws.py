@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from . import graph
 from .shingles import keys, weighted
 
 SAMPLES = 64
@@ -110,7 +111,7 @@ def edit(text: str, after: str) -> str:
     return text[: len(text) - k] + after[:k]
 
 
-def _compare(samples: int, portion: int = 1 << 19):
+def _compare(samples: int, portion: int = 1 << 18):
     def flush(rows):
         """rows: (doc_id, text) in order; the last one only follows the others."""
         texts = [t for _, t in rows]
@@ -146,6 +147,7 @@ def compare_with_next(docs: DataFrame, samples: int = SAMPLES, buckets: int | No
     no range waits for another and no global order is made.
     """
     spark = docs.sparkSession
+    graph.small_batches(spark)
     n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     cuts = slim.agg(F.percentile_approx("doc_id", [k / n for k in range(1, n)] or [0.5], 10_000)).first()[0] or []

@@ -2,33 +2,18 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, functions as F
 
+from ..functions.lineage import checkpoint_dir, cut
+
+__all__ = ["checkpoint_dir", "components", "cut", "small_batches"]
+
 
-def checkpoint_dir(spark) -> str:
-    """The shared folder the cluster names; one of our own only where none is named (local tests)."""
-    sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = getattr(spark, "_flamewright_checkpoint_dir", None)
-        if not named:
-            if not sc.master.startswith("local["):
-                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-            named = os.path.join(tempfile.gettempdir(), "flamewright-" + uuid.uuid4().hex)
-            spark._flamewright_checkpoint_dir = named
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(named)
-    return named
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the shared checkpoint folder."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+def small_batches(spark, rows: int = 1000) -> None:
+    """Arrow batches of few rows, so that a worker never holds many texts at once (a session setting; a smaller one is kept)."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) > rows:
+        spark.conf.set(key, rows)
 
 
 def components(links: DataFrame) -> DataFrame:

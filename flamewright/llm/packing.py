@@ -146,6 +146,7 @@ def _place(slots: dict[int, np.ndarray]):
 
 def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset): one row a piece of docs(doc_id, text)."""
+    graph.small_batches(docs.sparkSession)
     cut = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_pieces(tokenizer, capacity, end_id), "doc_id long, piece int, start long, length long, ids_crc32 long, task int, rank long")
     pieces = graph.cut(cut)
     by_task = pieces.groupBy("length", "task").agg(F.count("*").alias("n"))

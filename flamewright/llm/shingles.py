@@ -7,6 +7,7 @@ words; a text of one to four words has one shingle made of all of them, a text w
 from __future__ import annotations
 
 import numpy as np
+import pyarrow.compute as pc
 
 SHINGLE_WORDS = 5
 _SEED = 0x9E3779B97F4A7C15
@@ -115,7 +116,12 @@ def similarity(left: list[bytes], right: list[bytes]) -> np.ndarray:
     return np.where(union > 0, both / np.maximum(union, 1), 1.0)
 
 
-def portions(n_bytes: list[int], most: int = 1 << 20) -> list[tuple[int, int]]:
+def byte_sizes(texts) -> list[int]:
+    """UTF-8 lengths of an Arrow string column (null: 0), without making the strings."""
+    return pc.fill_null(pc.binary_length(texts), 0).to_pylist()
+
+
+def portions(n_bytes: list[int], most: int = 1 << 18) -> list[tuple[int, int]]:
     """Slices of a batch that hold about ``most`` bytes each (a longer text has a slice of its own)."""
     out, begin, held = [], 0, 0
     for i, b in enumerate(n_bytes):

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import graph
-from .shingles import Words, keys, mix, portions
+from .shingles import Words, byte_sizes, keys, mix, portions
 
 LENGTH, GRAM, STEP = 400, 64, 100
 #: Longest stretch hashed at once; longer texts go in overlapping stretches.
@@ -102,9 +102,9 @@ def _emit_blocks(length, gram, step):
     def run(batches):
         for batch in batches:
             rk = batch.column(0).to_numpy()
-            texts = [(t or "").encode() for t in batch.column(1).to_pylist()]
-            for x, y in portions([len(t) for t in texts]):
-                i, p, n, name, whole = blocks(texts[x:y], length, gram, step)
+            texts = batch.column(1)
+            for x, y in portions(byte_sizes(texts)):
+                i, p, n, name, whole = blocks([(t or "").encode() for t in texts.slice(x, y - x).to_pylist()], length, gram, step)
                 yield pa.record_batch([pa.array(rk[x:y][i]), pa.array(p, pa.int32()), pa.array(n, pa.int32()), pa.array(name.view(np.int64)), pa.array(whole.view(np.int64))], schema=schema)
 
     return run
@@ -183,6 +183,7 @@ def repeated_blocks(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM, st
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, step: int = STEP) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans, kept) for every row of docs(doc_id, text)."""
+    graph.small_batches(docs.sparkSession)
     keyed = docs.select(F.xxhash64("doc_id", "text").alias("rk"), F.col("doc_id").cast("long"), F.col("text").cast("string"))
     parts = _written(repeated_blocks(keyed.select("rk", "text"), length, gram, step))
     out = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans string, kept binary"

@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
+from . import graph
 from .packing import encoder
 
 BLOCK_IDS, END_ID = 1 << 16, 50256
@@ -29,6 +30,8 @@ def token_blocks(docs: DataFrame, tokenizer: str, end_id: int = END_ID, block_id
     doc_ids names the documents whose separators stand in the block, in order; it holds no positions.
     """
 
+    graph.small_batches(docs.sparkSession)
+
     def run(batches):
         encode, name, block = encoder(tokenizer), f"part-{TaskContext.get().partitionId():05d}", 0
         held, size, names = [], 0, []
