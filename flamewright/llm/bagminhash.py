@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from . import graph
-from .shingles import keys, mix, portions, similarity, weighted
+from .shingles import byte_sizes, keys, mix, portions, similarity, weighted
 
 SLOTS, BANDS, THRESHOLD = 64, 16, 0.8
 
@@ -95,9 +95,9 @@ def _sign(slots: int, bands: int):
 
     def run(batches):
         for batch in batches:
-            ids, texts = batch.column(0), [(t or "").encode() for t in batch.column(1).to_pylist()]
-            for a, b in portions([len(t) for t in texts]):
-                own = texts[a:b]
+            ids, texts = batch.column(0), batch.column(1)
+            for a, b in portions(byte_sizes(texts)):
+                own = [(t or "").encode() for t in texts.slice(a, b - a).to_pylist()]
                 doc, h, count = weighted(own)
                 sig = bag_signatures(doc, h, count, len(own), slots)
                 keyed = band_keys(sig, bands)
@@ -115,9 +115,10 @@ def _verify(threshold: float):
 
     def run(batches):
         for batch in batches:
-            left, right = ([(t or "").encode() for t in batch.column(c).to_pylist()] for c in (2, 3))
-            for i, j in portions([len(x) + len(y) for x, y in zip(left, right)]):
-                near = pa.array(similarity(left[i:j], right[i:j]) >= threshold)
+            sizes = [x + y for x, y in zip(byte_sizes(batch.column(2)), byte_sizes(batch.column(3)))]
+            for i, j in portions(sizes):
+                left, right = ([(t or "").encode() for t in batch.column(c).slice(i, j - i).to_pylist()] for c in (2, 3))
+                near = pa.array(similarity(left, right) >= threshold)
                 part = batch.slice(i, j - i).select([0, 1]).filter(near)
                 yield pa.record_batch([part.column(0), part.column(1)], schema=schema)
 
@@ -132,34 +133,79 @@ def _links(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     return full.mapInArrow(_verify(threshold), "a long, b long")
 
 
+def _terms(batches):
+    """(node, shingle, times) of every text."""
+    schema = pa.schema([("node", pa.int64()), ("h", pa.int64()), ("times", pa.int64())])
+    for batch in batches:
+        ids, texts = batch.column(0).to_numpy(), batch.column(1)
+        for a, b in portions(byte_sizes(texts)):
+            doc, h, count = weighted([(t or "").encode() for t in texts.slice(a, b - a).to_pylist()])
+            yield pa.record_batch([pa.array(ids[a:b][doc]), pa.array(h.view(np.int64)), pa.array(count)], schema=schema)
+
+
+def _bounded(rows: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """rows(band, key, node, root) of mixed buckets with ``size`` and ``most``, without nodes that cannot link in their bucket.
+
+    size: shingles of the node; most: how many of them any other node here shares at all.  The overlap with another node is at
+    most ``most``, so similarity to a node of size s is at most most / (size + s - most): exact, nothing near is lost.
+    """
+    nodes = rows.select(F.col("node").alias("id")).distinct()
+    terms = texts.join(nodes, "id", "left_semi").dropDuplicates(["id"]).select("id", "text").mapInArrow(_terms, "node long, h long, times long")
+    shared = terms.groupBy("h").agg(F.count("*").alias("k"), F.min("node").alias("node"), F.sum("times").alias("times"))
+    alone = shared.where("k = 1").groupBy("node").agg(F.sum("times").alias("alone"))
+    size = terms.groupBy("node").agg(F.sum("times").alias("size"))
+    sized = size.join(alone, "node", "left").select("node", "size", (F.col("size") - F.coalesce("alone", F.lit(0))).alias("most"))
+    sized = graph.cut(sized.where(F.col("most") >= threshold * F.col("size")))
+    full = rows.join(sized, "node")
+    least = full.groupBy("band", "key").agg(F.min("size").alias("least"))
+    return graph.cut(full.join(least, ["band", "key"]).where(F.col("most") >= threshold * (F.col("size") + F.col("least") - F.col("most"))).drop("least"))
+
+
+def _mixed(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """rows(band, key, node, ...) with their component's root, of the buckets that hold several components."""
+    held = rows.join(classes, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    several = held.groupBy("band", "key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1").select("band", "key")
+    return held.join(several, ["band", "key"])
+
+
 def near_classes(docs: DataFrame, threshold: float = THRESHOLD, slots: int = SLOTS, bands: int = BANDS) -> DataFrame:
     """(doc_id, class_id) for every row of docs(doc_id, text, ...); class_id is the least doc_id of its class.
 
-    Equal word sequences are one node.  In each band bucket every node is verified against the bucket's
-    two pivots (least node, and least by a hash); whatever then still joins nodes of different
-    components in one bucket is verified pair by pair, so no link between candidates is lost.
+    Equal word sequences are one node.  In each band bucket every node is verified against pivots (the least node, the one that
+    meets most nodes over all bands, and then the one that shares most of its shingles: in a family of near copies, its centre).  Whatever then still joins nodes of
+    different components in one bucket is verified pair by pair, after bounds that rule pairs out exactly; no link between
+    candidates is lost, and a large family costs a star, not its square.
     """
-    spark = docs.sparkSession
+    graph.small_batches(docs.sparkSession)
     signed = graph.cut(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_sign(slots, bands), "doc_id long, words string, bands array<long>"))
     named = signed.groupBy("words").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands"))
     nodes = named.where("node is not null and size(bands) > 0")
     bucket = nodes.select("node", F.posexplode("bands").alias("band", "key"))
-    pivots = bucket.groupBy("band", "key").agg(F.min("node").alias("low"), F.min_by("node", F.xxhash64("node")).alias("odd"), F.count("*").alias("n")).where("n > 1").drop("n")
-    shared = graph.cut(bucket.join(pivots, ["band", "key"]))
-    pairs = shared.select("node", F.explode(F.array_distinct(F.array("low", "odd"))).alias("pivot")).where("node <> pivot").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
+    counts = bucket.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1")
+    multi = graph.cut(bucket.join(counts, ["band", "key"]))
+    meets = multi.groupBy("node").agg(F.sum("n").alias("meets"))
+    pivots = multi.join(meets, "node").groupBy("band", "key").agg(F.min("node").alias("low"), F.max_by("node", F.struct("meets", (-F.col("node")).alias("k"))).alias("centre"))
+    starred = multi.join(pivots, ["band", "key"]).select("node", F.explode(F.array_distinct(F.array("low", "centre"))).alias("pivot")).where("node <> pivot")
+    pairs = graph.cut(starred.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct())
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).where("id is not null")
     links = graph.cut(_links(pairs, texts, threshold))
     classes = graph.components(links)
-    held = shared.select("band", "key", "node").join(classes, "node", "left").select("band", "key", "node", F.coalesce("root", "node").alias("root"))
-    mixed = held.groupBy("band", "key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1").select("band", "key")
-    rest = graph.cut(held.join(mixed, ["band", "key"]))
-    if not rest.isEmpty():
-        other = rest.select("band", "key", F.col("node").alias("b"), F.col("root").alias("rb"))
-        cross = rest.select("band", "key", F.col("node").alias("a"), F.col("root").alias("ra")).join(other, ["band", "key"]).where("ra < rb")
-        cross = cross.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
-        more = graph.cut(_links(cross, texts, threshold))
-        if not more.isEmpty():
-            classes = graph.components(links.unionByName(more))
+    held = graph.cut(_mixed(multi, classes))
+    rest = _bounded(held, texts, threshold)
+    # A second star, around the node of each bucket that has least of its own, gathers what the first centre was too far from.
+    best = rest.groupBy("band", "key").agg(F.max_by("node", F.struct(F.col("most") / F.col("size"), (-F.col("node")).alias("k"))).alias("pivot"))
+    again = rest.join(best, ["band", "key"]).where("node <> pivot").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
+    again = graph.cut(again.join(pairs, ["a", "b"], "left_anti"))
+    links = graph.cut(links.unionByName(_links(again, texts, threshold)))
+    classes = graph.components(links)
+    rest = graph.cut(_mixed(rest.drop("root"), classes))
+    side = lambda x: rest.select("band", "key", F.col("node").alias(x), F.col("root").alias(f"r{x}"), F.col("size").alias(f"s{x}"), F.col("most").alias(f"m{x}"))
+    most = F.least("ma", "mb")
+    cross = side("a").join(side("b"), ["band", "key"]).where((F.col("ra") < F.col("rb")) & (most >= threshold * (F.col("sa") + F.col("sb") - most)))
+    cross = cross.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(pairs.unionByName(again), ["a", "b"], "left_anti")
+    more = graph.cut(_links(cross, texts, threshold))
+    if not more.isEmpty():
+        classes = graph.components(links.unionByName(more))
     roots = named.select("words", "node").join(classes, "node", "left").select("words", F.coalesce("root", "node").alias("class_id"))
     return signed.select("doc_id", "words").join(roots, "words", "left").select("doc_id", "class_id")
 
