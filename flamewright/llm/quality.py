@@ -72,7 +72,10 @@ def compile_rules(rules=RULES) -> Column:
 def judge(docs: DataFrame, rules=RULES) -> DataFrame:
     """docs with their measures, base_failed and kept."""
     base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return measures(docs).withColumn("base_failed", base).withColumn("kept", ~F.col("base_failed") & compile_rules(rules))
+    # The last test is always true; being non-deterministic it keeps later filters from being pushed below the measures,
+    # where each would work out every measure again.
+    barrier = F.monotonically_increasing_id() >= 0
+    return measures(docs).withColumn("base_failed", base).withColumn("kept", ~F.col("base_failed") & compile_rules(rules) & barrier)
 
 
 def oracle(rules=RULES) -> str:
