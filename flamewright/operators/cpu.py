@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.lineage import cut
 from ..functions.scope import Matcher, Scope, or_anonymous, source_type
-from .timebase import into_windows
+from .timebase import context, into_windows
 
 _NODES = "data struct<cpuProfile: struct<nodes: array<struct<id: bigint, callFrame: struct<functionName: string, url: string>, parent: bigint>>>>"
 _CHUNK = "data struct<cpuProfile: struct<samples: array<variant>>, timeDeltas: array<variant>>"
@@ -131,6 +131,14 @@ def matching_urls(events: DataFrame, matcher: Matcher, scope: Scope = Scope(), t
     return rows.select("trace_id", "rank", or_anonymous("name").alias("function"), F.round("self_us").alias("self_us"), "url")
 
 
+def stray_samples(events: DataFrame, slack_us: float = 30e6) -> DataFrame:
+    """(trace_id, stray, samples): samples whose time lies outside the trace's bounds by more than the slack, a sign of a broken clock."""
+    bounds = context(events).select("trace_id", "min_ts", "end_ts")
+    rows = samples(events).join(bounds, "trace_id")
+    stray = (F.col("sample_ts") < F.col("min_ts") - slack_us) | (F.col("sample_ts") > F.col("end_ts") + slack_us)
+    return rows.groupBy("trace_id").agg(F.count_if(stray).alias("stray"), F.count("*").alias("samples"))
+
+
 def ancestor_paths(tree: DataFrame) -> DataFrame:
     """(trace_id, node_id, path, cyclic): ids from root to node for tree(trace_id, node_id, parent).
 

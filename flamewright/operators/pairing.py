@@ -8,9 +8,12 @@ from ..functions.scope import Scope
 
 
 def bin_width(tasks: DataFrame, default: float = 1e6) -> float:
-    """A bin that most tasks fit in: the 90th percentile of their lengths (one aggregate row)."""
-    p = tasks.select(F.percentile_approx(F.col("stop") - F.col("start"), 0.9, 1000)).first()[0]
-    return float(p) if p and p > 0 else default
+    """A bin that most tasks fit in, from one aggregate row: the 90th percentile of their lengths, but at least a quarter of the
+    mean, so that a few giant tasks cannot list more than five bins a task overall."""
+    length = F.col("stop") - F.col("start")
+    p, mean = tasks.where(length >= 0).select(F.percentile_approx(length, 0.9, 1000), F.avg(length)).first()
+    width = max(float(p or 0), float(mean or 0) / 4)
+    return width if width > 0 else default
 
 
 def interval_join(tasks: DataFrame, events: DataFrame, keys: list[str], width: float | None = None) -> DataFrame:

@@ -135,6 +135,11 @@ def test_cpu_profile(medium):
     assert [r.line for r in cpu.folded(medium).orderBy("rank").collect()] == ["(root);shoot 20000", "(root);update 15000", "(root);shoot 11000"]
 
 
+def test_stray_samples(medium):
+    assert one(cpu.stray_samples(medium)) == {"trace_id": "medium", "stray": 0, "samples": 11}
+    assert one(cpu.stray_samples(medium, slack_us=-590_000))["stray"] > 0
+
+
 def test_parent_cycles_and_several_roots(spark):
     known = spark.createDataFrame([("t", 1, "a", "", None), ("t", 2, "b", "", 1), ("t", 3, "c", "", 9), ("t", 5, "x", "", 6), ("t", 6, "y", "", 5)], "trace_id string, node_id int, name string, url string, parent int").selectExpr("trace_id", "cast(node_id as decimal(20,0)) node_id", "name", "url", "cast(parent as decimal(20,0)) parent")
     own = spark.createDataFrame([("t", 2, 5.0), ("t", 3, 2.0), ("t", 5, 1.0)], "trace_id string, node_id int, self_us double").withColumn("node_id", F.col("node_id").cast("decimal(20,0)"))
