@@ -19,7 +19,7 @@ from __future__ import annotations
 import pyarrow as pa
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from . import graph
 from .shingles import byte_sizes, keys, mix, portions, similarity, weighted
@@ -133,32 +133,41 @@ def _links(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     return full.mapInArrow(_verify(threshold), "a long, b long")
 
 
-def _terms(batches):
-    """(node, shingle, times) of every text."""
-    schema = pa.schema([("node", pa.int64()), ("h", pa.int64()), ("times", pa.int64())])
+def _tokens(batches):
+    """(node, token) of every text; the j-th occurrence of a shingle is a token of its own, so overlaps of multisets count tokens."""
+    schema = pa.schema([("node", pa.int64()), ("token", pa.int64())])
     for batch in batches:
         ids, texts = batch.column(0).to_numpy(), batch.column(1)
         for a, b in portions(byte_sizes(texts)):
             doc, h, count = weighted([(t or "").encode() for t in texts.slice(a, b - a).to_pylist()])
-            yield pa.record_batch([pa.array(ids[a:b][doc]), pa.array(h.view(np.int64)), pa.array(count)], schema=schema)
+            j = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+            with np.errstate(over="ignore"):
+                token = mix(np.repeat(h, count) + j.astype(np.uint64) * keys(1, 9))
+            yield pa.record_batch([pa.array(ids[a:b][np.repeat(doc, count)]), pa.array(token.view(np.int64))], schema=schema)
 
 
-def _bounded(rows: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """rows(band, key, node, root) of mixed buckets with ``size`` and ``most``, without nodes that cannot link in their bucket.
+def _cross_pairs(roots: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """(a, b) of all nodes of different roots that may reach the threshold; roots has node and root.
 
-    size: shingles of the node; most: how many of them any other node here shares at all.  The overlap with another node is at
-    most ``most``, so similarity to a node of size s is at most most / (size + s - most): exact, nothing near is lost.
+    Prefix filter: with tokens ordered from rare to frequent, two texts of sizes m and n that reach the threshold share
+    o = t / (1 + t) * (m + n) tokens at least, hence one among the first m - o + 1 of the one and n - o + 1 of the other.  In a
+    family of near copies those are the tokens of their edits, so only texts with an edit in common meet.  Exact.
     """
-    nodes = rows.select(F.col("node").alias("id")).distinct()
-    terms = texts.join(nodes, "id", "left_semi").dropDuplicates(["id"]).select("id", "text").mapInArrow(_terms, "node long, h long, times long")
-    shared = terms.groupBy("h").agg(F.count("*").alias("k"), F.min("node").alias("node"), F.sum("times").alias("times"))
-    alone = shared.where("k = 1").groupBy("node").agg(F.sum("times").alias("alone"))
-    size = terms.groupBy("node").agg(F.sum("times").alias("size"))
-    sized = size.join(alone, "node", "left").select("node", "size", (F.col("size") - F.coalesce("alone", F.lit(0))).alias("most"))
-    sized = graph.cut(sized.where(F.col("most") >= threshold * F.col("size")))
-    full = rows.join(sized, "node")
-    least = full.groupBy("band", "key").agg(F.min("size").alias("least"))
-    return graph.cut(full.join(least, ["band", "key"]).where(F.col("most") >= threshold * (F.col("size") + F.col("least") - F.col("most"))).drop("least"))
+    ids = roots.select(F.col("node").alias("id"))
+    tokens = graph.written(texts.join(ids, "id", "left_semi").dropDuplicates(["id"]).select("id", "text").mapInArrow(_tokens, "node long, token long"))
+    often = tokens.groupBy("token").agg(F.count("*").alias("df"))
+    size = tokens.groupBy("node").agg(F.count("*").alias("size"))
+    ranked = tokens.join(often, "token").withColumn("pos", F.row_number().over(Window.partitionBy("node").orderBy("df", "token")))
+    head = ranked.join(size, "node").where((F.col("df") > 1) & (F.col("pos") <= F.col("size") - F.ceil(threshold * F.col("size")) + 1))
+    head = graph.written(head.join(roots, "node").select("node", "root", "token", "pos", "size"))
+    several = head.groupBy("token").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1").select("token")
+    head = head.join(several, "token")
+    side = lambda x: head.select("token", *[F.col(c).alias(c + x) for c in ("node", "root", "pos", "size")])
+    room = threshold / (1 + threshold) * (F.col("sizea") + F.col("sizeb")) - 1e-6
+    fits = (F.col("posa") - 1 <= F.col("sizea") - room) & (F.col("posb") - 1 <= F.col("sizeb") - room)
+    near = (F.least("sizea", "sizeb") >= threshold * F.greatest("sizea", "sizeb")) & fits
+    met = side("a").join(side("b"), "token").where((F.col("roota") < F.col("rootb")) & near)
+    return met.select(F.least("nodea", "nodeb").alias("a"), F.greatest("nodea", "nodeb").alias("b")).distinct()
 
 
 def _mixed(rows: DataFrame, classes: DataFrame) -> DataFrame:
@@ -171,10 +180,10 @@ def _mixed(rows: DataFrame, classes: DataFrame) -> DataFrame:
 def near_classes(docs: DataFrame, threshold: float = THRESHOLD, slots: int = SLOTS, bands: int = BANDS) -> DataFrame:
     """(doc_id, class_id) for every row of docs(doc_id, text, ...); class_id is the least doc_id of its class.
 
-    Equal word sequences are one node.  In each band bucket every node is verified against pivots (the least node, the one that
-    meets most nodes over all bands, and then the one that shares most of its shingles: in a family of near copies, its centre).  Whatever then still joins nodes of
-    different components in one bucket is verified pair by pair, after bounds that rule pairs out exactly; no link between
-    candidates is lost, and a large family costs a star, not its square.
+    Equal word sequences are one node.  In each band bucket every node is verified against two pivots (the least node, and the
+    one that meets most nodes over all bands, in a family of near copies its centre).  Nodes of buckets that still hold several
+    components are then joined exactly by a prefix filter and verified; no link between candidates is lost, and a large
+    family costs a star, not its square.
     """
     graph.small_batches(docs.sparkSession)
     signed = graph.cut(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_sign(slots, bands), "doc_id long, words string, bands array<long>"))
@@ -190,19 +199,8 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD, slots: int = SLO
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).where("id is not null")
     links = graph.cut(_links(pairs, texts, threshold))
     classes = graph.components(links)
-    held = graph.cut(_mixed(multi, classes))
-    rest = _bounded(held, texts, threshold)
-    # A second star, around the node of each bucket that has least of its own, gathers what the first centre was too far from.
-    best = rest.groupBy("band", "key").agg(F.max_by("node", F.struct(F.col("most") / F.col("size"), (-F.col("node")).alias("k"))).alias("pivot"))
-    again = rest.join(best, ["band", "key"]).where("node <> pivot").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
-    again = graph.cut(again.join(pairs, ["a", "b"], "left_anti"))
-    links = graph.cut(links.unionByName(_links(again, texts, threshold)))
-    classes = graph.components(links)
-    rest = graph.cut(_mixed(rest.drop("root"), classes))
-    side = lambda x: rest.select("band", "key", F.col("node").alias(x), F.col("root").alias(f"r{x}"), F.col("size").alias(f"s{x}"), F.col("most").alias(f"m{x}"))
-    most = F.least("ma", "mb")
-    cross = side("a").join(side("b"), ["band", "key"]).where((F.col("ra") < F.col("rb")) & (most >= threshold * (F.col("sa") + F.col("sb") - most)))
-    cross = cross.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(pairs.unionByName(again), ["a", "b"], "left_anti")
+    mixed = graph.cut(_mixed(multi, classes).select("node", "root").distinct())
+    cross = _cross_pairs(mixed, texts, threshold).join(pairs, ["a", "b"], "left_anti")
     more = graph.cut(_links(cross, texts, threshold))
     if not more.isEmpty():
         classes = graph.components(links.unionByName(more))

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.lineage import checkpoint_dir, cut
 
-__all__ = ["checkpoint_dir", "components", "cut", "small_batches"]
+__all__ = ["checkpoint_dir", "components", "cut", "small_batches", "written"]
 
 
 def small_batches(spark, rows: int = 1000) -> None:
@@ -16,6 +18,14 @@ def small_batches(spark, rows: int = 1000) -> None:
         spark.conf.set(key, rows)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """df as a Parquet table in the shared folder: smaller than a checkpoint for rows of numbers."""
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, root) for every node of links(a, b): root is the least node of its component.
 

@@ -207,6 +207,21 @@ def test_near_classes(spark, awkward, empty):
     assert rows(bagminhash.near_classes(empty)) == [] and rows(bagminhash.deduplicate(empty)) == []
 
 
+def test_a_family_of_near_copies(spark):
+    r = np.random.default_rng(11)
+    base = [f"w{k}" for k in range(150)]
+    docs = []
+    for i in range(90):
+        words = list(base)
+        for _ in range(int(r.integers(0, 9))):
+            words[int(r.integers(0, 12)) * 12] = f"alt{int(r.integers(0, 3))}"
+        docs.append((i, " ".join(words)))
+    docs += [(1000 + i, " ".join(f"x{int(k)}" for k in r.integers(0, 10_000, 120))) for i in range(30)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {x["doc_id"]: x["class_id"] for x in rows(bagminhash.near_classes(df))}
+    assert got == near_classes_brute(rows(df)) and 2 < len(set(got.values())) - 30 < 90
+
+
 def test_bag_signature_estimates_similarity():
     r = np.random.default_rng(5)
     words = [f"w{k}" for k in range(60)]
