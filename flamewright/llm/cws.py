@@ -50,10 +50,13 @@ def fingerprints(texts: list[bytes], samples: int = SAMPLES) -> np.ndarray:
         best[a : a + 1024] = _draws(term[a : a + 1024], times[a : a + 1024], samples)
     starts = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1])))
     ends = np.append(starts[1:], len(doc))
-    for a in range(0, len(starts), 64):
-        lo, hi = starts[a], ends[min(a + 64, len(starts)) - 1]
-        low = np.minimum.reduceat(best[which[lo:hi]], starts[a : a + 64] - lo, axis=0)
-        out[doc[starts[a : a + 64]]] = (low & np.uint64(0xFFFF)).astype(np.uint16)
+    # A few texts at a time, so that the rows gathered stay in the cache.
+    a = 0
+    while a < len(starts):
+        z = max(a + 1, int(np.searchsorted(ends, starts[a] + 1024, side="right")))
+        low = np.minimum.reduceat(best.take(which[starts[a] : ends[z - 1]], axis=0), starts[a:z] - starts[a], axis=0)
+        out[doc[starts[a:z]]] = (low & np.uint64(0xFFFF)).astype(np.uint16)
+        a = z
     return out
 
 
