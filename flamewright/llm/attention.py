@@ -21,7 +21,6 @@ from __future__ import annotations
 
 import collections
 import math
-import uuid
 import zlib
 
 import numpy as np
@@ -54,13 +53,13 @@ def start() -> dict[str, np.ndarray]:
     return p
 
 
-def layout(docs: list[list[int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def layout(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(input ids, target ids, document or -1) in blocks of STRIDE, and the blocks that hold targets; each document has a blank block ahead."""
     n = np.array([len(d) for d in docs], dtype=np.int64)
     blocks = -(-n // STRIDE) + 1
     first = (np.cumsum(blocks) - blocks + 1) * STRIDE
     total = int(blocks.sum()) * STRIDE
-    y = np.concatenate([np.asarray(d, dtype=np.int64) for d in docs])
+    y = np.concatenate(docs).astype(np.int64, copy=False)
     at = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(len(y))
     target, given, own = np.full(total, END), np.full(total, END), np.full(total, -1)
     target[at], own[at] = y, np.repeat(np.arange(len(docs)), n)
@@ -70,65 +69,75 @@ def layout(docs: list[list[int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
     return given.reshape(-1, STRIDE), target.reshape(-1, STRIDE), own.reshape(-1, STRIDE), real
 
 
+_KEYS, _CLASSES = np.ones(2 * STRIDE, dtype=np.float32), np.ones(CLASSES, dtype=np.float32)
+
+
+def _softmax(x: np.ndarray, ones: np.ndarray) -> np.ndarray:
+    """In place over the last axis.  Logits over 60 count as 60, which keeps float32 sums finite without a pass for the maximum."""
+    np.minimum(x, np.float32(60), out=x)
+    np.exp(x, out=x)
+    total = x @ ones.astype(x.dtype, copy=False)
+    x /= np.maximum(total, np.float32(1e-30))[..., None]
+    return x
+
+
 def forward(p, given, own, real):
     """Class probabilities [blocks, STRIDE, CLASSES] of the real blocks, and what the backward pass needs."""
     e = p["embed"][given]
-    k, v = e @ p["wk"], e @ p["wv"]
+    kv = e @ np.concatenate((p["wk"], p["wv"]), axis=1)
     er = e[real]
     q = er @ (p["wq"] * np.float32(WIDTH**-0.5))
-    kw, vw = np.concatenate((k[real - 1], k[real]), axis=1), np.concatenate((v[real - 1], v[real]), axis=1)
+    both = np.concatenate((kv[real - 1], kv[real]), axis=1)
+    kw, vw = both[:, :, :WIDTH], both[:, :, WIDTH:]
     s = q @ kw.transpose(0, 2, 1)
     s += p["place"] + _FUTURE
     blank = own < 0
     if blank.any():
         hide = np.concatenate((blank[real - 1], blank[real]), axis=1)
-        rows = np.flatnonzero(hide.any(axis=1))
+        rows = np.flatnonzero(hide[:, 0] | hide[:, -1])
         s[rows] += np.where(hide[rows], np.float32(-1e9), np.float32(0))[:, None, :]
-        s[:, np.arange(STRIDE), STRIDE + np.arange(STRIDE)] = np.maximum(s[:, np.arange(STRIDE), STRIDE + np.arange(STRIDE)], np.float32(-30))
-    s -= s.max(axis=2, keepdims=True)
-    np.exp(s, out=s)
-    s /= s.sum(axis=2, keepdims=True)
+        at = np.arange(STRIDE)
+        s[rows[:, None], at, STRIDE + at] = np.maximum(s[rows[:, None], at, STRIDE + at], np.float32(-30))
+    _softmax(s, _KEYS)
     o = s @ vw
     h = er + o @ p["wo"]
     z = h @ p["wc"]
     z += p["bc"]
-    z -= z.max(axis=2, keepdims=True)
-    np.exp(z, out=z)
-    z /= z.sum(axis=2, keepdims=True)
-    return z, (e, er, q, kw, vw, s, o, h)
+    return _softmax(z, _CLASSES), (e, er, q, kw, vw, s, o, h)
 
 
 def gradients(p, given, target, own, real):
     """(gradients, rows of the embedding with gradients) of the mean log loss of the class."""
     z, (e, er, q, kw, vw, s, o, h) = forward(p, given, own, real)
     mask = own[real] >= 0
-    n, i, j = np.float32(max(1, mask.sum())), *np.nonzero(mask)
-    d = z * (mask[:, :, None] / n)
+    i, j = np.nonzero(mask)
+    n = np.float32(max(1, len(i)))
+    d = z
+    d *= (mask / n).astype(z.dtype)[:, :, None]
     d[i, j, target[real][i, j] % CLASSES] -= 1 / n
     flat = lambda x: x.reshape(-1, x.shape[-1])
-    g = {"wc": flat(h).T @ flat(d), "bc": flat(d).sum(axis=0, keepdims=True)}
-    dh = d @ p["wc"].T
-    g["wo"] = flat(o).T @ flat(dh)
-    do = dh @ p["wo"].T
+    g = {"wc": flat(h).T @ flat(d), "bc": (np.ones(d.shape[0] * STRIDE, dtype=d.dtype) @ flat(d))[None, :]}
+    dh = flat(d) @ p["wc"].T
+    g["wo"] = flat(o).T @ dh
+    do = (dh @ p["wo"].T).reshape(o.shape)
     ds = do @ vw.transpose(0, 2, 1)
-    dvw = s.transpose(0, 2, 1) @ do
-    ds -= np.einsum("bij,bij->bi", ds, s)[:, :, None]
+    ds -= np.einsum("bij,bij->bi", do, o)[:, :, None]
     ds *= s
     g["place"] = ds.sum(axis=0)
     scale = np.float32(WIDTH**-0.5)
-    dq = (ds @ kw) * scale
-    dkw = ds.transpose(0, 2, 1) @ q
-    dk, dv = np.zeros_like(e), np.zeros_like(e)
-    for full, part in ((dk, dkw), (dv, dvw)):
-        full[real - 1] += part[:, :STRIDE]
-        full[real] += part[:, STRIDE:]
-    g["wq"], g["wk"], g["wv"] = flat(er).T @ flat(dq), flat(e).T @ flat(dk), flat(e).T @ flat(dv)
-    de = dk @ p["wk"].T + dv @ p["wv"].T
-    de[real] += dq @ p["wq"].T + dh
-    ids = given.ravel()
+    dq = flat(ds @ kw) * scale
+    part = np.concatenate((ds.transpose(0, 2, 1) @ q, s.transpose(0, 2, 1) @ do), axis=2)
+    dkv = np.zeros((*e.shape[:2], 2 * WIDTH), dtype=e.dtype)
+    dkv[real - 1] += part[:, :STRIDE]
+    dkv[real] += part[:, STRIDE:]
+    w = flat(e).T @ flat(dkv)
+    g["wq"], g["wk"], g["wv"] = flat(er).T @ dq, w[:, :WIDTH], w[:, WIDTH:]
+    de = dkv @ np.concatenate((p["wk"], p["wv"]), axis=1).T
+    de[real] += (dq @ p["wq"].T + dh).reshape(er.shape)
+    ids = given.ravel().astype(np.uint16)
     order = np.argsort(ids, kind="stable")
     begin = np.flatnonzero(np.concatenate(([True], ids[order][1:] != ids[order][:-1])))
-    return g, ids[order][begin], np.add.reduceat(flat(de)[order], begin, axis=0)
+    return g, ids[order][begin], np.add.reduceat(flat(de).T[:, order], begin, axis=1).T
 
 
 class Adam:
@@ -161,7 +170,7 @@ def train(p, docs) -> None:
         adam.update(*gradients(p, *layout(held)))
 
 
-def score_ids(p, log_share: np.ndarray, docs: list[list[int]]) -> np.ndarray:
+def score_ids(p, log_share: np.ndarray, docs: list[np.ndarray]) -> np.ndarray:
     """log10 probability of every id list; log_share: log10 of each id's share of its class."""
     out = np.zeros(len(docs))
     given, target, own, real = layout(docs)
@@ -176,9 +185,14 @@ def score_ids(p, log_share: np.ndarray, docs: list[list[int]]) -> np.ndarray:
     return out
 
 
-def lower(text: str | None) -> str:
-    """A-Z in lower case, nothing else changed."""
-    return (text or "").encode().lower().decode()
+def lower(text: str | None) -> bytes:
+    """UTF-8 with A-Z in lower case, nothing else changed."""
+    return (text or "").encode().lower()
+
+
+def ids_of(encode, data: bytes) -> np.ndarray:
+    """Ids of a lower-case text and the end."""
+    return np.array([*encode(data.decode()), END], dtype=np.uint16)
 
 
 _STATS = pa.schema([("row", pa.int32()), ("word", pa.string()), ("n", pa.int64()), ("v", pa.list_(pa.float32()))])
@@ -189,8 +203,12 @@ def _learn(tokenizer: str):
     def run(batches):
         encode, p = encoder(tokenizer), start()
         words: collections.Counter = collections.Counter()
-        ids_seen, given_seen, trained = np.zeros(VOCAB, np.int64), np.zeros(VOCAB, np.int64), 0
-        out = []
+        ids_seen, trained = np.zeros(VOCAB, np.int64), 0
+        out, held = [], []
+
+        def count_ids():
+            ids_seen[:] += np.bincount(np.concatenate(held), minlength=VOCAB)
+            held.clear()
 
         def word_rows():
             table = pa.array(list(words.keys()))
@@ -205,12 +223,13 @@ def _learn(tokenizer: str):
                     if held_out(doc_id):
                         continue
                     data = lower(text.as_py())
-                    words.update(data.encode().split())
+                    words.update(data.split())
                     words[END_WORD.encode()] += 1
-                    ids = encode(data) + [END]
-                    np.add.at(ids_seen, ids, 1)
-                    given_seen[END] += 1
+                    ids = ids_of(encode, data)
+                    held.append(ids)
                     trained += len(ids)
+                    if len(held) >= 64:
+                        count_ids()
                     if len(words) > 400_000:
                         for k in [k for k in words if type(k) is bytes]:
                             words[k.decode()] = words.pop(k)
@@ -218,6 +237,8 @@ def _learn(tokenizer: str):
                     yield ids
 
         train(p, documents())
+        if held:
+            count_ids()
         for k in list(words):
             words[k.decode()] = words.pop(k)
         if words:
@@ -235,19 +256,11 @@ def _learn(tokenizer: str):
     return run
 
 
-def _written(df: DataFrame) -> DataFrame:
-    """df as a Parquet table in the shared folder."""
-    spark = df.sparkSession
-    path = f"{graph.checkpoint_dir(spark).rstrip('/')}/attention-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def learn(docs: DataFrame, tokenizer: str) -> tuple[DataFrame, dict[str, np.ndarray], np.ndarray]:
     """(word counts, averaged parameters, id counts) of the training rows of docs(doc_id, text)."""
     graph.small_batches(docs.sparkSession)
-    stats = _written(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_learn(tokenizer), STATS))
-    words = _written(stats.where("word is not null").groupBy("word").agg(F.sum("n").alias("c")))
+    stats = graph.written(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_learn(tokenizer), STATS))
+    words = graph.written(stats.where("word is not null").groupBy("word").agg(F.sum("n").alias("c")))
     sums = [F.sum(F.col("v")[i].cast("double") * F.col("n")).alias(f"s{i}") for i in range(WIDTH)]
     p, seen = start(), np.zeros(VOCAB, np.int64)
     total = stats.where("row is not null").groupBy("row").agg(F.sum("n").alias("n"), *sums).toPandas()  # a row for each id and parameter row at most
@@ -282,12 +295,12 @@ def _score(tokenizer, p, share, head, den):
     def run(batches):
         encode, rid = encoder(tokenizer), TaskContext.get().partitionId() << 33
         for batch in batches:
-            begin, ids = 0, []
+            ids = []
             doc_ids, size = batch.column(0).to_pylist(), 0
             rows = []
             for k in range(len(doc_ids)):
                 data = lower(batch.column(1)[k].as_py())
-                words = collections.Counter(data.encode().split())
+                words = collections.Counter(data.split())
                 words[END_WORD.encode()] += 1
                 known, base, n, tail, times = 0, 0.0, 0, [], []
                 for w, c in words.items():
@@ -298,16 +311,16 @@ def _score(tokenizer, p, share, head, den):
                     else:
                         known += c
                         base += c * x
-                base += sum(times) * (math.log10(0.5) - den) - 0.0
+                base += sum(times) * (math.log10(0.5) - den)
                 rows.append((rid, doc_ids[k], held_out(doc_ids[k]), n, known, base, tail, times))
                 rid += 1
-                ids.append(encode(data) + [END])
+                ids.append(ids_of(encode, data))
                 size += len(ids[-1])
                 if size > 200_000 or k + 1 == len(doc_ids):
                     cols = list(zip(*rows))
                     scores = score_ids(p, share, ids)
                     yield pa.record_batch([pa.array(c, f.type) for c, f in zip([*cols[:6], scores, *cols[6:]], schema)], schema=schema)
-                    rows, ids, size, begin = [], [], 0, k + 1
+                    rows, ids, size = [], [], 0
 
     return run
 
@@ -318,7 +331,7 @@ def score(docs: DataFrame, tokenizer: str, head_words: int = HEAD_WORDS) -> Data
     n, v = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     den = math.log10(n + 0.5 * (v + 1))
     head = {r.word.encode(): math.log10(r.c + 0.5) - den for r in words.where(F.col("c") * head_words >= n).toLocalIterator()}  # at most head_words
-    scored = _written(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_score(tokenizer, p, log_shares(seen), head, den), _SCORED))
+    scored = graph.written(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_score(tokenizer, p, log_shares(seen), head, den), _SCORED))
     rare = words.where(F.col("c") * head_words < n)
     tails = scored.select("rid", F.explode(F.arrays_zip("tail", "times")).alias("x")).select("rid", F.col("x.tail").alias("word"), F.col("x.times").alias("k"))
     more = tails.join(rare, "word").groupBy("rid").agg(F.sum("k").alias("known_tail"), F.sum(F.col("k") * (F.log10(F.col("c") + 0.5) - math.log10(0.5))).alias("base_tail"))

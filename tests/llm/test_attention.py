@@ -86,7 +86,7 @@ def test_no_position_sees_later_ids_and_each_is_scored_once():
 def test_the_model_beats_id_frequencies_on_held_out_text(spark):
     docs = [(r["doc_id"], r["text"]) for r in rows(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))]
     encode = A.encoder(queries.tokenizer_path())
-    ids = [(A.held_out(i), encode(A.lower(t)) + [A.END]) for i, t in docs]
+    ids = [(A.held_out(i), A.ids_of(encode, A.lower(t))) for i, t in docs]
     train, test = [d for h, d in ids if not h], [d for h, d in ids if h]
     p = A.start()
     A.train(p, train)
