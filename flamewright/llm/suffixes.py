@@ -19,7 +19,6 @@ doc_id is kept; extra columns are ignored; an empty table gives no rows.
 from __future__ import annotations
 
 import hashlib
-import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -150,14 +149,6 @@ def _cut_out(length):
     return run
 
 
-def _written(df: DataFrame) -> DataFrame:
-    """df as a Parquet table in the shared folder (rows are numbers, so this is smaller than a checkpoint)."""
-    spark = df.sparkSession
-    path = f"{graph.checkpoint_dir(spark).rstrip('/')}/suffixes-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def _picked(rows: DataFrame, chosen: DataFrame) -> DataFrame:
     """rows joined with chosen on rk; a bounded list of keys is broadcast first so that other texts are not moved."""
     if chosen.count() <= BROADCAST_KEYS:
@@ -167,15 +158,15 @@ def _picked(rows: DataFrame, chosen: DataFrame) -> DataFrame:
 
 def repeated_blocks(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM, step: int = STEP) -> DataFrame:
     """(rk, parts): for every text of keyed(rk, text) with repeated windows, runs (p, n) of window starts."""
-    found = _written(keyed.mapInArrow(_emit_blocks(length, gram, step), "rk long, p int, n int, name long, whole long"))
+    found = graph.written(keyed.mapInArrow(_emit_blocks(length, gram, step), "rk long, p int, n int, name long, whole long"))
     names = found.groupBy("name").agg(F.count("*").alias("c"), F.min("whole").alias("w0"), F.max("whole").alias("w1")).where("c > 1")
-    shared = _written(found.join(names.withColumn("several", F.expr("w0 <> w1")).select("name", "several"), "name"))
+    shared = graph.written(found.join(names.withColumn("several", F.expr("w0 <> w1")).select("name", "several"), "name"))
     wholes = shared.groupBy("name", "whole").agg(F.count("*").alias("c"), F.min(F.struct("rk", "p", "n")).alias("one"), F.first("several").alias("several"))
-    wholes = _written(wholes)
+    wholes = graph.written(wholes)
     full = shared.select("rk", "p", "n", "name", "whole").join(wholes.where("c > 1").select("name", "whole"), ["name", "whole"]).select("rk", "p", "n")
     edge = wholes.where("several").groupBy("one.rk").agg(F.collect_list(F.struct("one.p", "one.n", (F.col("c") == 1).alias("alone"))).alias("parts"))
-    edge = _written(edge)
-    windows = _written(_picked(keyed.dropDuplicates(["rk"]), edge).select("rk", "text", "parts").mapInArrow(_emit_windows(length), "rk long, p int, alone boolean, key long"))
+    edge = graph.written(edge)
+    windows = graph.written(_picked(keyed.dropDuplicates(["rk"]), edge).select("rk", "text", "parts").mapInArrow(_emit_windows(length), "rk long, p int, alone boolean, key long"))
     twice = windows.groupBy("key").agg(F.count("*").alias("c"), F.max("alone").alias("alone")).where("c > 1 and alone").select("key")
     single = windows.where("alone").join(twice, "key").select("rk", "p", F.lit(1).alias("n"))
     return full.unionByName(single).groupBy("rk").agg(F.collect_set(F.struct("p", "n")).alias("parts"))
@@ -185,7 +176,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, step
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans, kept) for every row of docs(doc_id, text)."""
     graph.small_batches(docs.sparkSession)
     keyed = docs.select(F.xxhash64("doc_id", "text").alias("rk"), F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    parts = _written(repeated_blocks(keyed.select("rk", "text"), length, gram, step))
+    parts = graph.written(repeated_blocks(keyed.select("rk", "text"), length, gram, step))
     out = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans string, kept binary"
     if parts.count() > BROADCAST_KEYS:
         return keyed.join(parts, "rk", "left").select("doc_id", "text", "parts").mapInArrow(_cut_out(length), out)
