@@ -209,7 +209,7 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD, slots: int = SLO
 
 
 def deduplicate(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs that lead their class (the least doc_id); rows with a null doc_id stay when their class has no other."""
+    """One row for each class (its least doc_id); rows with a null doc_id cannot be told apart and all stay."""
     lead = near_classes(docs, **options).where("doc_id = class_id").select("doc_id").distinct()
     kept = docs.join(lead, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return kept.unionByName(docs.where("doc_id is null"))
