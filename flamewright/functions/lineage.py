@@ -16,7 +16,7 @@ def checkpoint_dir(spark) -> str:
     if not named:
         named = getattr(spark, "_flamewright_checkpoint_dir", None)
         if not named:
-            if not sc.master.startswith("local["):
+            if sc.master != "local" and not sc.master.startswith("local["):
                 raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
             named = os.path.join(tempfile.gettempdir(), "flamewright-" + uuid.uuid4().hex)
             spark._flamewright_checkpoint_dir = named
