@@ -1,13 +1,14 @@
 """LM scoring (operator 6): a causal self-attention model trained in numpy on subword ids.
 
-Model: an id is predicted as its class (id modulo CLASSES) from one attention head over the window before it, times the id's
-share of its class in the training text.  A window holds the STRIDE positions it scores and the STRIDE before them, so
+Model: a tree of two softmax levels over the whole vocabulary, both on the state of one attention head over the window before
+the id: first its class (id modulo CLASSES), then the id in its class, weighted by its share of the class in the training text times
+exp(state . its row of ``out``).  Rows of ids that never occurred are 0, so such ids keep their smoothed share.  A window holds the STRIDE positions it scores and the STRIDE before them, so
 windows overlap by half and every id is scored once, with STRIDE to 2*STRIDE - 1 ids of context; all windows of a batch are one masked
 attention product.
 
 Training reads every training document whole: each task makes one pass of Adam steps over its own documents from one common
-start, and the tasks' parameters are averaged, weighted by the ids they saw (rows of the embedding by the row's own
-count).  Sums go through an aggregation; the driver gets one row a vocabulary id and parameter row, however many
+start, and the tasks' parameters are averaged, weighted by the ids they saw (rows of the embedding and of out by the row's own
+count).  Sums go through an aggregation; the driver gets two rows a vocabulary id and one a parameter row, however many
 tasks there are.  Word and id counts come from the same pass.
 
 Word probabilities of the base score: words frequent enough (at least N / HEAD_WORDS, so at most HEAD_WORDS words) travel with
@@ -33,6 +34,8 @@ from .packing import encoder
 
 VOCAB, END, WIDTH, CLASSES, STRIDE = 50257, 50256, 16, 32, 16
 BATCH, RATE, HEAD_WORDS = 512, 2e-2, 1_000_000
+#: Step of the rows of out, which are rare: squares of their gradients are summed, not averaged.
+OUT_RATE = 0.1
 #: Stands for the end of a text among the words; no word holds white space.
 END_WORD = "\n"
 _DENSE = {"wq": (WIDTH, WIDTH), "wk": (WIDTH, WIDTH), "wv": (WIDTH, WIDTH), "wo": (WIDTH, WIDTH), "wc": (WIDTH, CLASSES), "bc": (1, CLASSES), "place": (STRIDE, 2 * STRIDE)}
@@ -50,6 +53,7 @@ def start() -> dict[str, np.ndarray]:
     p["wo"] *= np.float32(0.5)
     p["bc"][:], p["place"][:] = 0, 0
     p["embed"] = (r.standard_normal((VOCAB, WIDTH)) * 0.5).astype(np.float32)
+    p["out"] = np.zeros((VOCAB, WIDTH), dtype=np.float32)
     return p
 
 
@@ -106,8 +110,53 @@ def forward(p, given, own, real):
     return _softmax(z, _CLASSES), (e, er, q, kw, vw, s, o, h)
 
 
-def gradients(p, given, target, own, real):
-    """(gradients, rows of the embedding with gradients) of the mean log loss of the class."""
+def by_class(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted ids by class, and where each class begins."""
+    kind = ids % CLASSES
+    order = np.argsort(kind, kind="stable")
+    return ids[order], np.searchsorted(kind[order], np.arange(CLASSES + 1))
+
+
+def inner(out, share, active, h, t, n=None):
+    """Log probability of each id of t in its class, given the states h; active: sorted, at least all ids whose row of out is not 0.
+
+    With n also the gradients of -sum / n: by h, the rows in their order, and by those rows (all of t must be active).
+    """
+    rows, begin = by_class(active)
+    rest = share.copy()
+    rest[active] = 0
+    rest = np.bincount(np.arange(VOCAB) % CLASSES, rest, CLASSES).astype(h.dtype)
+    w, part = out[rows], share[rows].astype(h.dtype)
+    kind = t % CLASSES
+    order = np.argsort(kind, kind="stable")
+    to = np.searchsorted(kind[order], np.arange(CLASSES + 1))
+    hs, ts, total = h[order], t[order], np.empty(len(t), dtype=h.dtype)
+    dh, dw = (np.empty_like(hs), np.zeros_like(w)) if n else (None, None)
+    for c in np.flatnonzero(to[1:] > to[:-1]):
+        a, b, lo, hi = to[c], to[c + 1], begin[c], begin[c + 1]
+        x = hs[a:b] @ w[lo:hi].T
+        np.minimum(x, np.float32(60), out=x)
+        np.exp(x, out=x)
+        total[a:b] = x @ part[lo:hi] + rest[c]
+        if n:
+            x *= part[lo:hi]
+            x /= total[a:b, None] * n
+            x[np.arange(b - a), np.searchsorted(rows[lo:hi], ts[a:b])] -= 1 / n
+            dh[a:b], dw[lo:hi] = x @ w[lo:hi], x.T @ hs[a:b]
+    log = np.empty(len(t), dtype=h.dtype)
+    log[order] = np.minimum(np.einsum("ij,ij->i", hs, out[ts]), np.float32(60)) + np.log(np.maximum(share[ts], 1e-30)) - np.log(np.maximum(total, np.float32(1e-30)))
+    if not n:
+        return log
+    back = np.empty_like(dh)
+    back[order] = dh
+    return log, back, rows, dw
+
+
+def gradients(p, given, target, own, real, seen=None):
+    """(gradients, rows of the embedding with gradients) of the mean log loss of the class.
+
+    With seen (id counts so far, those of the targets among them) of the mean log loss of the id, and also (rows of out, their gradients).
+    """
     z, (e, er, q, kw, vw, s, o, h) = forward(p, given, own, real)
     mask = own[real] >= 0
     i, j = np.nonzero(mask)
@@ -118,6 +167,10 @@ def gradients(p, given, target, own, real):
     flat = lambda x: x.reshape(-1, x.shape[-1])
     g = {"wc": flat(h).T @ flat(d), "bc": (np.ones(d.shape[0] * STRIDE, dtype=d.dtype) @ flat(d))[None, :]}
     dh = flat(d) @ p["wc"].T
+    of_out = ()
+    if seen is not None:
+        _, back, *of_out = inner(p["out"], shares(seen), np.flatnonzero(seen), h[i, j], target[real][i, j], n)
+        dh.reshape(h.shape)[i, j] += back
     g["wo"] = flat(o).T @ dh
     do = (dh @ p["wo"].T).reshape(o.shape)
     ds = do @ vw.transpose(0, 2, 1)
@@ -137,7 +190,7 @@ def gradients(p, given, target, own, real):
     ids = given.ravel().astype(np.uint16)
     order = np.argsort(ids, kind="stable")
     begin = np.flatnonzero(np.concatenate(([True], ids[order][1:] != ids[order][:-1])))
-    return g, ids[order][begin], np.add.reduceat(flat(de).T[:, order], begin, axis=1).T
+    return g, ids[order][begin], np.add.reduceat(flat(de).T[:, order], begin, axis=1).T, *of_out
 
 
 class Adam:
@@ -146,42 +199,53 @@ class Adam:
         self.m = {k: np.zeros_like(v) for k, v in p.items()}
         self.v = {k: np.zeros_like(v) for k, v in p.items()}
 
-    def update(self, g, rows, of_rows) -> None:
+    def update(self, g, rows, of_rows, out_rows=(), of_out=()) -> None:
         self.step += 1
         rate = RATE * min(1.0, self.step / 20) * math.sqrt((1 - 0.99**self.step)) / (1 - 0.9**self.step)
         for k, at, grad in [*((k, slice(None), x) for k, x in g.items()), ("embed", rows, of_rows)]:
             self.m[k][at] = m = 0.9 * self.m[k][at] + 0.1 * grad
             self.v[k][at] = v = 0.99 * self.v[k][at] + 0.01 * grad * grad
             self.p[k][at] -= np.float32(rate) * m / (np.sqrt(v) + np.float32(1e-6))
+        if len(out_rows):
+            self.v["out"][out_rows] = v = self.v["out"][out_rows] + of_out * of_out
+            self.p["out"][out_rows] -= np.float32(OUT_RATE) * of_out / (np.sqrt(v) + np.float32(1e-6))
 
 
 def train(p, docs) -> None:
     """One pass over an iterable of id lists."""
     adam, held, size = Adam(p), [], 0
+    seen = np.zeros(VOCAB, np.int64)
+
+    def step():
+        seen[:] += np.bincount(np.concatenate(held), minlength=VOCAB)
+        adam.update(*gradients(p, *layout(held), seen))
+
     for d in docs:
         for a in range(0, len(d), BATCH * STRIDE):
             part = d[a : a + BATCH * STRIDE]
             held.append(part)
             size += len(part)
             if size >= BATCH * STRIDE:
-                adam.update(*gradients(p, *layout(held)))
+                step()
                 held, size = [], 0
     if held:
-        adam.update(*gradients(p, *layout(held)))
+        step()
 
 
 def score_ids(p, log_share: np.ndarray, docs: list[np.ndarray]) -> np.ndarray:
-    """log10 probability of every id list; log_share: log10 of each id's share of its class."""
+    """log10 probability of every id list; log_share: log10 of each id's smoothed share of its class."""
     out = np.zeros(len(docs))
+    share, active = 10.0**log_share, np.flatnonzero(p["out"].any(axis=1))
     given, target, own, real = layout(docs)
     for a in range(0, len(real), BATCH):
         part = real[a : a + BATCH]
         lo, hi = part[0] - 1, part[-1] + 1
-        z, _ = forward(p, given[lo:hi], own[lo:hi], part - lo)
+        z, held = forward(p, given[lo:hi], own[lo:hi], part - lo)
         own_part, t = own[part], target[part]
         i, j = np.nonzero(own_part >= 0)
         t = t[i, j]
-        out += np.bincount(own_part[i, j], np.log10(np.maximum(z[i, j, t % CLASSES], 1e-30)) + log_share[t], len(docs))
+        within = inner(p["out"], share, active, held[-1][i, j], t)
+        out += np.bincount(own_part[i, j], np.log10(np.maximum(z[i, j, t % CLASSES], 1e-30)) + within / math.log(10), len(docs))
     return out
 
 
@@ -247,9 +311,9 @@ def _learn(tokenizer: str):
         if trained:
             own = np.flatnonzero(ids_seen)
             dense = np.concatenate([p[k].reshape(-1, WIDTH) for k in _DENSE])
-            rows = np.concatenate((own, VOCAB + np.arange(len(dense))))
-            weight = np.concatenate((ids_seen[own], np.full(len(dense), trained)))
-            values = np.concatenate((p["embed"][own], dense)).astype(np.float32)
+            rows = np.concatenate((own, VOCAB + np.arange(len(dense)), VOCAB + len(dense) + own))
+            weight = np.concatenate((ids_seen[own], np.full(len(dense), trained), ids_seen[own]))
+            values = np.concatenate((p["embed"][own], dense, p["out"][own])).astype(np.float32)
             vectors = pa.ListArray.from_arrays(pa.array(np.arange(0, len(rows) * WIDTH + 1, WIDTH), pa.int32()), pa.array(values.ravel()))
             yield pa.record_batch([pa.array(rows, pa.int32()), pa.nulls(len(rows), pa.string()), pa.array(weight, pa.int64()), vectors], schema=_STATS)
 
@@ -263,14 +327,17 @@ def learn(docs: DataFrame, tokenizer: str) -> tuple[DataFrame, dict[str, np.ndar
     words = graph.written(stats.where("word is not null").groupBy("word").agg(F.sum("n").alias("c")))
     sums = [F.sum(F.col("v")[i].cast("double") * F.col("n")).alias(f"s{i}") for i in range(WIDTH)]
     p, seen = start(), np.zeros(VOCAB, np.int64)
-    total = stats.where("row is not null").groupBy("row").agg(F.sum("n").alias("n"), *sums).toPandas()  # a row for each id and parameter row at most
+    total = stats.where("row is not null").groupBy("row").agg(F.sum("n").alias("n"), *sums).toPandas()  # two rows for each id and one for each parameter row at most
     row, n = total["row"].to_numpy(), total["n"].to_numpy().astype(np.float64)
     mean = (total[[f"s{i}" for i in range(WIDTH)]].to_numpy() / n[:, None]).astype(np.float32) if len(row) else np.zeros((0, WIDTH), np.float32)
     ids = row < VOCAB
     p["embed"][row[ids]] = mean[ids]
     seen[row[ids]] = n[ids]
     if len(row):
-        dense = mean[~ids][np.argsort(row[~ids])]
+        end = VOCAB + sum(a * b for a, b in _DENSE.values()) // WIDTH
+        p["out"][row[row >= end] - end] = mean[row >= end]
+        inside = ~ids & (row < end)
+        dense = mean[inside][np.argsort(row[inside])]
         at = 0
         for k, shape in _DENSE.items():
             size = shape[0] * shape[1] // WIDTH
@@ -279,11 +346,15 @@ def learn(docs: DataFrame, tokenizer: str) -> tuple[DataFrame, dict[str, np.ndar
     return words, p, seen
 
 
-def log_shares(seen: np.ndarray) -> np.ndarray:
-    """log10 of each id's smoothed share of its class."""
+def shares(seen: np.ndarray) -> np.ndarray:
+    """Each id's smoothed share of its class."""
     c = seen + 0.5
     kind = np.arange(VOCAB) % CLASSES
-    return np.log10(c / np.bincount(kind, c)[kind])
+    return c / np.bincount(kind, c)[kind]
+
+
+def log_shares(seen: np.ndarray) -> np.ndarray:
+    return np.log10(shares(seen))
 
 
 _SCORED = "rid long, doc_id long, held_out boolean, n_tokens long, known long, base double, score double, tail array<string>, times array<int>"

@@ -93,3 +93,57 @@ def test_the_model_beats_id_frequencies_on_held_out_text(spark):
     seen = np.bincount(np.concatenate(train), minlength=A.VOCAB)
     plain = np.log10((seen + 0.5) / (seen + 0.5).sum())
     assert A.score_ids(p, A.log_shares(seen), test).sum() > sum(plain[d].sum() for d in map(np.array, test))
+
+
+def small_model(r, dtype=np.float64):
+    p = {k: v.astype(dtype) for k, v in A.start().items()}
+    seen = np.bincount(np.concatenate([r.integers(0, 90, 300), [A.END]]), minlength=A.VOCAB)
+    rows = np.flatnonzero(seen)
+    p["out"][rows] = r.standard_normal((len(rows), A.WIDTH))
+    return p, seen, rows
+
+
+def test_the_state_chooses_the_id_inside_its_class():
+    r = np.random.default_rng(3)
+    p, seen, rows = small_model(r)
+    share, h = A.shares(seen), r.standard_normal((2, A.WIDTH))
+    total = np.zeros((2, A.CLASSES))
+    of = np.zeros((2, A.VOCAB))
+    for k in range(2):
+        of[k] = np.exp(A.inner(p["out"], share, rows, np.repeat(h[k : k + 1], A.VOCAB, axis=0), np.arange(A.VOCAB)))
+        total[k] = np.bincount(np.arange(A.VOCAB) % A.CLASSES, of[k])
+    assert np.allclose(total, 1)
+    assert np.abs(of[0] - of[1]).max() > 0.1
+
+
+def test_gradients_of_the_whole_loss_match_differences():
+    r = np.random.default_rng(4)
+    p, seen, rows = small_model(r)
+    x = A.layout([np.append(r.choice(rows[:-1], 37), A.END), r.choice(rows, 5)])
+
+    def loss():
+        z, held = A.forward(p, x[0], x[2], x[3])
+        i, j = np.nonzero(x[2][x[3]] >= 0)
+        t = x[1][x[3]][i, j]
+        return -(np.log(z[i, j, t % A.CLASSES]) + A.inner(p["out"], A.shares(seen), rows, held[-1][i, j], t)).mean()
+
+    g, ids, of_ids, out_rows, of_out = A.gradients(p, *x, seen)
+    assert sorted(out_rows) == list(rows)
+    for k, at, want in [*((k, (0, 3), g[k][0, 3]) for k in g), ("embed", (ids[2], 3), of_ids[2, 3]), ("out", (out_rows[4], 2), of_out[4, 2])]:
+        held = p[k][at]
+        p[k][at] = held + 1e-5
+        up = loss()
+        p[k][at] = held - 1e-5
+        down = loss()
+        p[k][at] = held
+        assert abs((up - down) / 2e-5 - want) < 1e-6
+
+
+def test_the_query_beats_a_class_times_a_share_on_held_out_text(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    _, p, seen = A.learn(docs, queries.tokenizer_path())
+    encode = A.encoder(queries.tokenizer_path())
+    test = [A.ids_of(encode, A.lower(r["text"])) for r in rows(docs) if A.held_out(r["doc_id"])]
+    share, n = A.log_shares(seen), sum(map(len, test))
+    flat = {**p, "out": np.zeros_like(p["out"])}
+    assert A.score_ids(p, share, test).sum() > A.score_ids(flat, share, test).sum() + 0.2 * n
