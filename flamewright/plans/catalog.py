@@ -98,6 +98,12 @@ def names_by_count(spark, d):
     return inspect.names(tev(spark, d), SCOPE, "count")
 
 
+@query(f"""WITH {TEV}, g AS (SELECT trace_id, name, count(*) AS count, sum(dur) AS total FROM tev GROUP BY ALL)
+ SELECT trace_id, row_number() OVER (PARTITION BY trace_id ORDER BY count DESC, name)::INT AS rank, name, count, round(total) AS total_us, round(total / count) AS avg_us FROM g""")
+def names_by_count_all_threads(spark, d):
+    return inspect.names(tev(spark, d), sort="count")
+
+
 @query(f"""WITH {TEV}, n AS (SELECT trace_id, tid, name, count(*) AS n, sum(CASE WHEN name = 'RunTask' THEN dur ELSE 0 END) AS run FROM tev GROUP BY ALL),
  b AS (SELECT trace_id, tid, sum(n)::BIGINT AS events, sum(run) AS run FROM n GROUP BY ALL),
  t AS (SELECT trace_id, tid, name AS top_event FROM (SELECT *, row_number() OVER (PARTITION BY trace_id, tid ORDER BY n DESC, name) AS r FROM n) WHERE r = 1)
@@ -199,7 +205,17 @@ _KIDS = f"""t AS (SELECT trace_id, tid, seq AS task, ts AS start, ts + dur AS st
  p AS (SELECT t.trace_id, t.tid, t.task, k.name, k.dur FROM t JOIN e k ON k.trace_id = t.trace_id AND k.tid = t.tid AND k.ts BETWEEN t.start AND t.stop AND k.name <> 'RunTask' AND t.tid = 2)
  SELECT trace_id, tid, task, name, count(*) AS count, sum(dur) AS total FROM p GROUP BY ALL""")
 def interval_children(spark, d):
-    e = tev(spark, d).where("tid = 2")
+    return _children(tev(spark, d).where("tid = 2"))
+
+
+@query(f"""WITH {TEV}, t AS (SELECT trace_id, tid, seq AS task, ts AS start, ts + dur AS stop FROM tev WHERE name = 'RunTask'),
+ p AS (SELECT t.trace_id, t.tid, t.task, k.name, k.dur FROM t JOIN tev k ON k.trace_id = t.trace_id AND k.tid = t.tid AND k.ts BETWEEN t.start AND t.stop AND k.name <> 'RunTask')
+ SELECT trace_id, tid, task, name, count(*) AS count, sum(dur) AS total FROM p GROUP BY ALL""")
+def interval_children_all_threads(spark, d):
+    return _children(tev(spark, d))
+
+
+def _children(e: DataFrame) -> DataFrame:
     task = e.where("name = 'RunTask'").select("trace_id", "tid", F.col("seq").alias("task"), F.col("ts").alias("start"), (F.col("ts") + F.col("dur")).alias("stop"))
     kids = e.where("name <> 'RunTask'").select("trace_id", "tid", "name", "ts", "dur")
     return pairing.interval_join(task, kids, ["trace_id", "tid"]).groupBy("trace_id", "tid", "task", "name").agg(F.count("*").alias("count"), F.sum("dur").alias("total"))
@@ -452,3 +468,8 @@ def cumulative_pct(spark, d):
 def worst_task(spark, d):
     return timebase.worst_task(tev(spark, d), SCOPE)
 
+
+@query(f"""WITH {TEV} SELECT trace_id, arg_max(ts, (dur, seq)) AS ts, max(dur) AS dur FROM tev WHERE name = 'RunTask' GROUP BY trace_id""")
+def worst_task_all_threads(spark, d):
+    return timebase.worst_task(tev(spark, d))
+

@@ -32,3 +32,19 @@ def test_query(spark, con, sf, name):
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_children_of_every_thread(spark, sf):
+    """Against brute force over all threads of both traces."""
+    want = {}
+    events = [r for r in catalog.tev(spark, sf).collect()]
+    tasks = [r for r in events if r.name == "RunTask"]
+    for t in tasks:
+        for k in events:
+            if k.name != "RunTask" and (k.trace_id, k.tid) == (t.trace_id, t.tid) and t.ts <= k.ts <= t.ts + t.dur:
+                key = (t.trace_id, int(t.tid), t.seq, k.name)
+                n, total = want.get(key, (0, 0.0))
+                want[key] = (n + 1, total + k.dur)
+    got = catalog.QUERIES["interval_children_all_threads"](spark, sf).collect()
+    assert {(r.trace_id, r.tid, r.task, r.name): (r["count"], r.total) for r in got} == want
+    assert len({r.tid for r in got}) == 8
