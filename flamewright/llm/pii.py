@@ -3,8 +3,9 @@
 Base spans (email, ip, card, phone) are the protected entities.  Corpus co-occurrence then estimates what other
 terms give away: for entity v and term t within CONTEXT words of a mention,
 PMI(v;t) = log(P(t|v) / P(t)), with P(t|v) over v's distinct contexts and P(t) over all documents, and
-IC(v) = -log P(v).  A term whose PMI reaches ALPHA of IC for some entity, in at least SUPPORT distinct contexts,
-discloses it and is masked wherever it stands.  Equal contexts count once, so copies are no evidence.
+IC(v) = -log P(v).  A term whose PMI reaches ALPHA of IC for some entity discloses it and is masked wherever it stands.  Every
+entity is examined, also one with a single context; every word of two characters or more outside the base spans is a term, with
+digits or without.  Equal contexts count once.
 
 Defined cases: null text is empty; no spans give an empty string; repeated rows get equal results;
 nulls in other columns and extra columns pass through; an empty table gives no rows.
@@ -17,7 +18,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from . import graph, spans
 
 KINDS = ("email", "ip", "card", "phone", "term")
-CONTEXT, SUPPORT, ALPHA = 8, 3, 0.8
+CONTEXT, ALPHA = 8, 0.8
+#: Stands for a base span among the words of a text (a private-use character, taken out of the text itself).
+MARK = "\ue000"
 #: Rows of a table that may be broadcast; a longer one is joined by shuffle.
 BROADCAST_ROWS = 20_000
 
@@ -69,37 +72,68 @@ def _words(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(rf"[^{_SPACE}{_EDGE}](?:[^{_SPACE}]*[^{_SPACE}{_EDGE}])?"), F.lit(0))
 
 
-def disclosing_terms(docs: DataFrame, alpha: float = ALPHA, support: int = SUPPORT, context: int = CONTEXT) -> DataFrame:
+def _cut(text: Column, base: Column) -> Column:
+    """Words of text outside the base spans, and MARK in place of each run of overlapping spans."""
+    clean = F.when(F.contains(text, F.lit(MARK)), F.translate(text, MARK, " ")).otherwise(text)
+    return _words(spans.mask(clean, base, lambda kind, hit: F.lit(f" {MARK} ")))
+
+
+def _plain(text: Column, base: Column) -> Column:
+    return F.filter(_cut(text, base), lambda w: w != MARK)
+
+
+def _entity(kind: Column, hit: Column) -> Column:
+    return F.concat_ws(":", kind, F.lower(hit))
+
+
+def _marked(base: Column) -> Column:
+    """(entity, index of its mark) of each span; a span that starts inside another has that one's mark."""
+    order = F.array_sort(F.transform(base, lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("stop"), _entity(s["kind"], s["hit"]).alias("entity"))))
+    kind = "array<struct<entity:string,mark:int>>"
+    zero = F.struct(F.lit(0).alias("at"), F.lit(-1).alias("mark"), F.array().cast(kind).alias("out"))
+
+    def step(a, s):
+        fresh = s["start"] >= a["at"]
+        mark = F.when(fresh, a["mark"] + 1).otherwise(a["mark"])
+        return F.struct(F.when(fresh, -s["stop"]).otherwise(a["at"]).alias("at"), mark.alias("mark"), F.concat(a["out"], F.array(F.struct(s["entity"].alias("entity"), mark.alias("mark"))).cast(kind)).alias("out"))
+
+    return F.aggregate(order, zero, step, lambda a: a["out"])
+
+
+def contexts_of(docs: DataFrame, context: int = CONTEXT) -> DataFrame:
+    """(entity, terms, context) for each distinct context of an entity; docs has text and _base."""
+    personal = docs.where(F.size("_base") > 0).withColumn("_cut", _cut(F.col("text"), F.col("_base")))
+    personal = personal.select(F.explode(_marked(F.col("_base"))).alias("s"), F.filter("_cut", lambda w: w != MARK).alias("plain"), F.filter(F.transform("_cut", lambda w, i: F.when(w == MARK, i)), lambda i: i.isNotNull()).alias("at"))
+    # Plain words ahead of mark k: its place among all words less the k marks before it.
+    ahead = F.get(F.col("at"), F.col("s.mark")) - F.col("s.mark")
+    before = F.slice("plain", F.greatest(ahead - context, F.lit(0)) + 1, F.least(ahead, F.lit(context)))
+    words = F.array_distinct(F.concat(before, F.slice("plain", ahead + 1, F.lit(context))))
+    found = personal.select(F.col("s.entity").alias("entity"), F.filter(words, lambda w: F.length(w) > 1).alias("terms"))
+    return found.withColumn("context", F.xxhash64("terms")).dropDuplicates(["entity", "context"])
+
+
+def disclosing_terms(docs: DataFrame, alpha: float = ALPHA, context: int = CONTEXT) -> DataFrame:
     """(term, entity, pmi, ic) of every term that exceeds the disclosure threshold; docs has text and _base."""
-    personal = docs.where(F.size("_base") > 0)
-    mentions = personal.select(F.xxhash64("text").alias("doc"), "text", F.explode("_base").alias("s")).select(
-        F.concat_ws(":", "s.kind", F.lower("s.hit")).alias("entity"),
-        "doc",
-        F.substring("text", F.greatest(F.col("s.start") - 199, F.lit(1)), F.least(F.col("s.start"), F.lit(200))).alias("before"),
-        F.substring("text", F.col("s.end") + 1, F.lit(200)).alias("after"),
-    )
-    words = F.array_distinct(F.concat(F.slice(F.reverse(_words(F.col("before"))), 1, context), F.slice(_words(F.col("after")), 1, context)))
-    mentions = mentions.select("entity", "doc", F.filter(words, lambda w: (F.length(w) > 1) & ~w.rlike("[@0-9]")).alias("terms")).withColumn("context", F.xxhash64("terms"))
-    contexts = graph.cut(mentions.dropDuplicates(["entity", "context"]))
-    often = contexts.groupBy("entity").agg(F.count("*").alias("n_v")).where(F.col("n_v") >= support)
-    often, some = _small(often)
-    nothing = contexts.select(F.lit("").alias("term"), "entity", F.lit(0.0).alias("pmi"), F.lit(0.0).alias("ic")).limit(0)
+    contexts = graph.cut(contexts_of(docs, context))
+    n_v = contexts.groupBy("entity").agg(F.count("*").alias("n_v"))
+    df_v = docs.where(F.size("_base") > 0).select(F.explode(F.array_distinct(F.transform("_base", lambda s: _entity(s["kind"], s["hit"])))).alias("entity")).groupBy("entity").agg(F.count("*").alias("df_v"))
+    entities, some = _small(n_v.join(df_v, "entity"))
     if not some:
-        return nothing
+        return contexts.select(F.lit("").alias("term"), "entity", F.lit(0.0).alias("pmi"), F.lit(0.0).alias("ic")).limit(0)
     n = docs.count()
-    df_v = personal.select(F.explode(F.array_distinct(F.transform("_base", lambda s: F.concat_ws(":", s["kind"], F.lower(s["hit"]))))).alias("entity")).join(often, "entity").groupBy("entity").agg(F.count("*").alias("df_v"))
-    pair = contexts.join(often, "entity").select("entity", "n_v", F.explode("terms").alias("term"))
-    pair = pair.groupBy("entity", "term").agg(F.count("*").alias("n_vt"), F.first("n_v").alias("n_v")).where(F.col("n_vt") >= support)
-    pair, some = _small(pair.join(df_v, "entity"))
-    if not some:
-        return nothing
-    # The document frequency of every word, as in any word count: only the vocabulary is shuffled, and no word is joined row by row.
-    df_t = docs.select(F.explode(F.array_distinct(_words(F.col("text")))).alias("term")).groupBy("term").agg(F.count("*").alias("df_t"))
-    scored = pair.join(df_t, "term").select("term", "entity", F.log((F.col("n_vt") / F.col("n_v")) * n / F.col("df_t")).alias("pmi"), F.log(n / F.col("df_v")).alias("ic"))
-    return scored.where((F.col("ic") > 0) & (F.col("pmi") >= alpha * F.col("ic")))
-
-
-def find_personal(docs: DataFrame, alpha: float = ALPHA, support: int = SUPPORT, context: int = CONTEXT) -> DataFrame:
+    pair = contexts.select("entity", F.explode("terms").alias("term")).groupBy("entity", "term").agg(F.count("*").alias("n_vt")).join(entities, "entity")
+    ic = F.log(n / F.col("df_v"))
+    pair = graph.cut(pair.where(ic > 0).select("term", "entity", ic.alias("ic"), F.log((F.col("n_vt") / F.col("n_v")) * n).alias("top")))
+    # The document frequency of every word, as in any word count.  A term discloses when log df_t <= top - alpha * ic for some entity:
+    # the largest bound of each term decides first, one row a term, so that no frequent word is joined row by row.
+    df_t = docs.select(F.explode(F.array_distinct(_plain(F.col("text"), F.col("_base")))).alias("term")).groupBy("term").agg(F.count("*").alias("df_t"))
+    bound = pair.groupBy("term").agg(F.max(F.col("top") - alpha * F.col("ic")).alias("bound"))
+    over, _ = _small(bound.join(df_t, "term").where(F.log("df_t") <= F.col("bound") + 1e-9).select("term", "df_t"))
+    scored = pair.join(over, "term").select("term", "entity", (F.col("top") - F.log("df_t")).alias("pmi"), "ic")
+    return scored.where(F.col("pmi") >= alpha * F.col("ic") - 1e-9)
+
+
+def find_personal(docs: DataFrame, alpha: float = ALPHA, context: int = CONTEXT) -> DataFrame:
     """docs with base (map of the four kinds' spans as columns email, ip, card, phone under ``pii``) and all spans ``pii_spans``.
 
     The two columns are structs/arrays named pii and pii_spans; any column of docs with these names is replaced.
@@ -107,14 +141,14 @@ def find_personal(docs: DataFrame, alpha: float = ALPHA, support: int = SUPPORT,
     t = F.coalesce(F.col("text").cast("string"), F.lit(""))
     found = docs.withColumn("pii", F.struct(*[c.alias(k) for k, c in base_spans(t).items()]))
     base = found.select(t.alias("text"), F.concat(*[F.col(f"pii.{k}") for k in KINDS[:4]]).alias("_base"))
-    terms, some = _small(disclosing_terms(base, alpha, support, context).select("term").distinct())
+    terms, some = _small(disclosing_terms(base, alpha, context).select("term").distinct())
     every = F.concat(*[F.col(f"pii.{k}") for k in KINDS[:4]])
     if not some:
         return found.withColumn("pii_spans", every)
-    held = base.select("text", F.explode(F.array_distinct(_words(F.col("text")))).alias("term")).join(terms, "term")
+    held = base.select("text", F.explode(F.array_distinct(_plain(F.col("text"), F.col("_base")))).alias("term")).join(terms, "term")
     held, _ = _small(held.groupBy(F.xxhash64("text").alias("_k1"), F.hash("text").alias("_k2")).agg(F.sort_array(F.collect_set("term")).alias("_terms")))
     keyed = found.withColumn("_k1", F.xxhash64(t)).withColumn("_k2", F.hash(t)).join(held, ["_k1", "_k2"], "left")
-    quoted = F.array_join(F.transform("_terms", lambda w: F.concat(F.lit(r"\Q"), w, F.lit(r"\E"))), "|")
+    quoted = F.array_join(F.transform("_terms", lambda w: F.concat(F.lit(r"\Q"), F.replace(w, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))), "|")
     pattern = F.concat(F.lit(r"(?<![\p{L}\p{N}])(?:"), quoted, F.lit(r")(?![\p{L}\p{N}])"))
     extra = F.when(F.col("_terms").isNull(), F.array().cast(spans.SPAN)).otherwise(spans.find(t, pattern, "term"))
     return keyed.withColumn("pii_spans", F.concat(every, extra)).drop("_k1", "_k2", "_terms")

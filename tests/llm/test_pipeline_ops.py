@@ -248,3 +248,15 @@ def test_pipeline(spark, sf):
     assert sorted(r["doc_id"] for r in rows(single)) == sorted(set(classes.values())) and single.columns == docs.columns
     got = rows(p.run(spark, sf))
     assert got and {r["doc_id"] for r in got} <= set(classes.values())
+
+
+def test_a_single_mention_discloses_and_words_with_digits_count(spark):
+    url = "http://host.example/" + "p" * 300
+    docs = [(i, f"the usual words stand here and there in note {i % 5}") for i in range(300)]
+    docs += [(900, f"the usual jdoe42 {url} wrote from ann.lee@example.org about staff-77 and the usual words"), (901, "later jdoe42 and staff-77 came back"), (902, r"then quoted\Etext here")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    clean = {r["doc_id"]: r["text"] for r in rows(pii.sanitise(df))}
+    for i in (900, 901):
+        assert "jdoe42" not in clean[i] and "staff-77" not in clean[i] and "ann.lee" not in clean[i]
+    assert "the usual words" in clean[900]
+    assert clean[0] == docs[0][1]
