@@ -1,7 +1,7 @@
 """Secret scans (operator 9): base patterns plus a randomness test battery, SQL functions only.
 
-A candidate is a maximal run of at least MIN_LENGTH characters of [A-Za-z0-9+/_=-] with letters and digits.  Its encoding is
-inferred (hex, base32, base36, base62, base64), its characters become numbers in that alphabet, and three tests ask whether they
+A candidate is any maximal run of at least MIN_LENGTH characters of [A-Za-z0-9+/_=-].  Its encoding is
+inferred (decimal, hex, lower, upper, letters, base32, base36, base62, base64), its characters become numbers in that alphabet, and three tests ask whether they
 look drawn at random: chi-squared uniformity over the alphabet, runs above and below the middle, lag-one serial
 correlation.  The Bonferroni minimum of the three is the p-value for "random".  Benjamini-Hochberg, separately for
 each length class (short strings have weak tests), declares strings non-random at level Q over the whole corpus;
@@ -26,6 +26,10 @@ CLASSES = (24, 32, 40, 64, 128, 512, 2**31)
 
 # The alphabets in the order of their digit values.
 ALPHABETS = {
+    "decimal": "0123456789",
+    "lower": "abcdefghijklmnopqrstuvwxyz",
+    "upper": "ABCDEFGHIJKLMNOPQRSTUVWXYZ",
+    "letters": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz",
     "hex": "0123456789abcdef",
     "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567",
     "base36": "0123456789abcdefghijklmnopqrstuvwxyz",
@@ -69,7 +73,11 @@ def _tail(z: Column) -> Column:
 def encoding(s: Column) -> Column:
     """Name of the smallest alphabet that holds s, padding aside."""
     return (
-        F.when(s.rlike("^[0-9a-f]+$") | s.rlike("^[0-9A-F]+$"), "hex")
+        F.when(s.rlike("^[0-9]+$"), "decimal")
+        .when(s.rlike("^[0-9a-f]+$") | s.rlike("^[0-9A-F]+$"), "hex")
+        .when(s.rlike("^[a-z]+$"), "lower")
+        .when(s.rlike("^[A-Z]+$"), "upper")
+        .when(s.rlike("^[A-Za-z]+$"), "letters")
         .when(s.rlike("^[A-Z2-7]+=*$"), "base32")
         .when(s.rlike("^[0-9a-z]+$"), "base36")
         .when(s.rlike("^[0-9A-Za-z]+$"), "base62")
@@ -121,8 +129,8 @@ def _bin(p: Column) -> Column:
 
 
 def candidates(text: Column) -> Column:
-    """Spans of kind random with both letters and digits, before any test."""
-    return spans.find(text, CANDIDATE, "random", lambda x: x.rlike("[0-9]") & x.rlike("[A-Za-z]"))
+    """Spans of kind random before any test; only runs with fewer than two characters besides padding, which hold nothing to test, are left out."""
+    return spans.find(text, CANDIDATE, "random", lambda x: F.length(F.replace(x, F.lit("="), F.lit(""))) >= 2)
 
 
 def non_random_bins(found: DataFrame, q: float = Q) -> dict[int, int]:

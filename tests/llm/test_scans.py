@@ -142,3 +142,14 @@ def test_token_files_without_names(spark, tmp_path):
         np.array(ids, "<u2").tofile(tmp_path / name)
     got = {(r["file"].rsplit("/", 1)[-1], r["ordinal"]): r["n_tokens"] for r in rows(token_counts.scan(token_counts.read_token_files(spark, str(tmp_path), block_ids=2)))}
     assert got == {("a.bin", 0): 2, ("a.bin", 1): 0, ("a.bin", 2): 1, ("a.bin", None): 2, ("b.bin", 0): 0, ("c.bin", None): 3}
+
+
+def test_random_letters_and_digits_alone_are_tested(spark):
+    r = random.Random(11)
+    good = ["".join(r.choice(secrets.ALPHABETS[k]) for _ in range(40)) for k in ("letters", "lower", "upper", "decimal") for _ in range(10)]
+    plain = ["=" * 30, "-" * 30, "=" * 29 + "a", "a" * 30, "0" * 30, "supercalifragilisticexpialidociousnessesses"] * 5
+    docs = spark.createDataFrame([(i, f"x {s} y") for i, s in enumerate(good + plain)], "doc_id long, text string")
+    got = {r["doc_id"]: r["spans"] for r in rows(secrets.find_secrets(docs).select("doc_id", spans.joined(F.col("secret_spans")).alias("spans")))}
+    for k in range(4):
+        assert sum("random:" in got[i] for i in range(10 * k, 10 * k + 10)) >= 8
+    assert not any("random:" in got[i] for i in range(len(good), len(got)) if (i - len(good)) % 6 != 5)
