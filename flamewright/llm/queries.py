@@ -49,7 +49,6 @@ def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bagminhash.near_classes(_documents(spark, sf_dir))
 
 
-
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.remove_repeats(_documents(spark, sf_dir)).drop("kept", "spans")
 

@@ -66,21 +66,70 @@ def check_repeats(docs, got, length):
     return sum(k[2] for k in want)
 
 
+def check_passages(docs, got, length):
+    texts = [(r["doc_id"], re.findall(rb"[^\x20\x09-\x0D]+", (r["text"] or "").encode())) for r in docs]
+    seen = collections.Counter(tuple(t[p : p + length]) for _, t in texts for p in range(len(t) - length + 1))
+    want = collections.Counter()
+    for i, t in texts:
+        gone = np.zeros(len(t) + 1, dtype=bool)
+        for p in range(len(t) - length + 1):
+            if seen[tuple(t[p : p + length])] > 1:
+                gone[p : p + length] = True
+        want[(i, int((gone[1:] < gone[:-1]).sum()))] += 1
+    assert collections.Counter((r["doc_id"], r["n_passages"]) for r in got) == want
+    return sum(k[1] for k in want)
+
+
 def test_repeats(spark, sf, awkward, empty):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    assert check_repeats(rows(docs), rows(queries.op8_suffix_dedup(spark, sf)), 400)
-    short = [r for r in rows(awkward) if len(r["text"] or "") < 20_000]
-    small = awkward.where("text is null or length(text) < 20000")
-    check_repeats(short, rows(suffixes.remove_repeats(small)), 400)
+    got = rows(queries.op8_suffix_dedup(spark, sf))
+    assert check_repeats(rows(docs), got, 400) and check_passages(rows(docs), got, 51)
+    got = rows(suffixes.remove_repeats(awkward))
+    check_repeats(rows(awkward), got, 400)
+    check_passages(rows(awkward), got, 51)
     assert rows(suffixes.remove_repeats(empty)) == []
 
 
+def test_cover_holds_every_difference():
+    for v in (3, 7, 13, 21):
+        d = suffixes.cover(v)
+        assert {(a - b) % v for a in d for b in d} == set(range(v))
+    assert len(suffixes.cover(21)) == 5 and len(suffixes.cover(7)) == 3
+
+
 @pytest.mark.parametrize("seed", range(3))
-def test_repeats_at_small_lengths(spark, seed):
+@pytest.mark.parametrize("hot", [1 << 18, 3])
+def test_repeats_at_small_lengths(spark, seed, hot):
+    """Few letters, so that buckets are crowded; hot: buckets over it are counted instead of gathered."""
     r = random.Random(seed)
     pool = ["".join(r.choice("ab") for _ in range(r.randint(5, 90))) for _ in range(6)]
     docs = spark.createDataFrame([(i, "".join(r.choice(pool)[r.randint(0, 4) :] for _ in range(r.randint(0, 8)))) for i in range(60)], "doc_id long, text string")
-    assert check_repeats(rows(docs), rows(suffixes.remove_repeats(docs, length=40, gram=8, step=7)), 40)
+    assert check_repeats(rows(docs), rows(suffixes.remove_repeats(docs, suffixes.Kind(False, 40, 8, 7, 7), None, hot)), 40)
+    spaced = docs.withColumn("text", F.regexp_replace("text", "(...)", "$1 "))
+    assert check_passages(rows(spaced), rows(suffixes.remove_repeats(spaced, suffixes.Kind(False, 40, 8, 7, 13), suffixes.Kind(True, 12, 3, 5, 3), hot)), 12)
+
+
+def test_repeats_in_runs_periods_and_long_texts(spark, monkeypatch):
+    r = random.Random(4)
+    prose = lambda n: " ".join(f"w{r.randint(0, 400)}" for _ in range(n))
+    shared = prose(90)
+    texts = ["z" * 3000, "z" * 399, "ab" * 900, "x" + "ab" * 300, "abc" * 700 + "q", prose(9000) + " " + shared + " " + prose(5000), prose(40) + " " + shared, "\u00e9" * 700, None, "", "0123456789" * 41]
+    # One row a run of equal blocks, not one a byte.
+    assert len(suffixes.blocks([b"z" * 300_000])[0]) < 5 and len(suffixes.blocks([b"ab" * 150_000])[0]) < 20
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = rows(suffixes.remove_repeats(docs))
+    assert check_repeats(rows(docs), got, 400)
+    assert check_passages(rows(docs), got, 51)
+
+
+@pytest.mark.parametrize("stretch", [700, 1500])
+def test_blocks_of_long_texts_are_cut_alike(stretch, monkeypatch):
+    """Stretches split blocks; the windows they name are all the windows, each once."""
+    r = random.Random(5)
+    text = "".join(r.choice("abcd ") for _ in range(6000)).encode()
+    monkeypatch.setattr(suffixes, "STRETCH", stretch)
+    _, p, n, *_ = suffixes.blocks([text])
+    assert sorted(x for a, k in zip(p, n) for x in range(a, a + k)) == list(range(len(text) - 399))
 
 
 def base_secrets(t):
