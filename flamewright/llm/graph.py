@@ -11,11 +11,12 @@ from ..functions.lineage import checkpoint_dir, cut
 __all__ = ["checkpoint_dir", "components", "cut", "small_batches", "written"]
 
 
-def small_batches(spark, rows: int = 1000) -> None:
-    """Arrow batches of few rows, so that a worker never holds many texts at once (a session setting; a smaller one is kept)."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) > rows:
-        spark.conf.set(key, rows)
+def small_batches(spark, rows: int = 1000, size: int = 2 << 20) -> None:
+    """Arrow batches of few rows and bytes, so that a worker never holds many texts at once (session settings; smaller ones are kept)."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
+        held = int(spark.conf.get(key, "-1"))
+        if not 0 < held <= most:
+            spark.conf.set(key, str(most))
 
 
 def written(df: DataFrame) -> DataFrame:
