@@ -14,8 +14,8 @@ __all__ = ["checkpoint_dir", "components", "cut", "small_batches", "written"]
 def small_batches(spark, rows: int = 1000, size: int = 2 << 20) -> None:
     """Arrow batches of few rows and bytes, so that a worker never holds many texts at once (session settings; smaller ones are kept)."""
     for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
-        held = int(spark.conf.get(key, "-1"))
-        if not 0 < held <= most:
+        held = spark.conf.get(key, str(most + 1)).removesuffix("b")
+        if not held.isdigit() or not 0 < int(held) <= most:
             spark.conf.set(key, str(most))
 
 
