@@ -1,26 +1,29 @@
 """LM scoring (operator 6): a causal self-attention model trained in numpy on subword ids.
 
-Model: a tree of two softmax levels over the whole vocabulary, both on the state of one attention head over the window before
-the id: first its class (id modulo CLASSES), then the id in its class, weighted by its share of the class in the training text times
-exp(state . its row of ``out``).  Rows of ids that never occurred are 0, so such ids keep their smoothed share.  A window holds the STRIDE positions it scores and the STRIDE before them, so
-windows overlap by half and every id is scored once, with STRIDE to 2*STRIDE - 1 ids of context; all windows of a batch are one masked
-attention product.
-
-Training reads every training document whole: each task makes one pass of Adam steps over its own documents from one common
-start, and the tasks' parameters are averaged, weighted by the ids they saw (rows of the embedding and of out by the row's own
-count).  Sums go through an aggregation; the driver gets two rows a vocabulary id and one a parameter row, however many
-tasks there are.  Word and id counts come from the same pass.
+Model: one attention head over the window before the id gives a state; the id is read off the state down a tree over the whole
+vocabulary, a softmax over FAN branches at each node (hierarchical softmax).  The tree is the Huffman tree of the training ids' counts, so an id costs about
+log_FAN of its rarity, and a node starts at its branches' shares: the untrained model is the smoothed frequency of ids.  A window holds
+the STRIDE positions it scores and the STRIDE before them, so windows overlap by half and every id is scored once, with STRIDE to
+2*STRIDE - 1 ids of context; all windows of a batch are one masked attention product.
+
+Three passes.  ``read``: words and ids of every text are counted and its ids written beside it.  ``learn``: the training documents
+are dealt into ROUNDS parts by content; in each round tasks of at least TASK_IDS ids train on their documents of the part from the last round's
+parameters, and the tasks' parameters are averaged, weighted by the ids they saw (rows of the embedding and nodes of the tree by their own counts).  Every window
+of every training document is used once, in any layout.  Parameters travel as blocks of rows that are summed before the driver gets
+them: its share is a few MB, however many tasks there are.  ``score``: every id of every document once.
 
 Word probabilities of the base score: words frequent enough (at least N / HEAD_WORDS, so at most HEAD_WORDS words) travel with
 the scoring tasks; all other words are joined by shuffle, where none of them can be hot.
 
 Defined cases: null text is empty (one end token); a null doc_id reads as empty text in the split (training); repeated rows count
-each; with no training rows all counts are 0 and the model is the untrained start; extra columns are ignored; an empty table gives no rows.
+each and score alike; with no training rows all counts are 0 and the model is the untrained start; very long texts are trained on and scored in
+windows (a worker holds one text, its ids and a batch); ties in the tree's order go by id; extra columns are ignored, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import collections
+import heapq
 import math
 import zlib
 
@@ -32,28 +35,75 @@ from pyspark.sql import DataFrame, functions as F
 from . import graph
 from .packing import encoder
 
-VOCAB, END, WIDTH, CLASSES, STRIDE = 50257, 50256, 16, 32, 16
-BATCH, RATE, HEAD_WORDS = 512, 2e-2, 1_000_000
-#: Step of the rows of out, which are rare: squares of their gradients are summed, not averaged.
-OUT_RATE = 0.1
+VOCAB, END, WIDTH, STRIDE, FAN = 50257, 50256, 16, 8, 16
+BATCH, RATE, NODE_RATE, HEAD_WORDS = 1024, 3e-2, 0.15, 1_000_000
+#: Averaging rounds, and the ids that a training task has at least (fewer tasks when there are fewer ids).
+ROUNDS, TASK_IDS = 4, 4_000_000
+#: Share of the step in each round.
+RATES = (1.0, 0.7, 0.5, 0.35)
 #: Stands for the end of a text among the words; no word holds white space.
 END_WORD = "\n"
-_DENSE = {"wq": (WIDTH, WIDTH), "wk": (WIDTH, WIDTH), "wv": (WIDTH, WIDTH), "wo": (WIDTH, WIDTH), "wc": (WIDTH, CLASSES), "bc": (1, CLASSES), "place": (STRIDE, 2 * STRIDE)}
+_DENSE = {"wq": (WIDTH, WIDTH), "wk": (WIDTH, WIDTH), "wv": (WIDTH, WIDTH), "wo": (WIDTH, WIDTH), "place": (STRIDE, 2 * STRIDE)}
 _FUTURE = np.triu(np.full((STRIDE, 2 * STRIDE), -1e9, dtype=np.float32), STRIDE + 1)
+_KEYS, _FANS = np.ones(2 * STRIDE, dtype=np.float32), np.ones(FAN, dtype=np.float32)
+#: Rows of pairs (position, node) that share one matrix product.
+_GROUP = 16
 
 
 def held_out(doc_id) -> bool:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % 5 == 1
 
 
-def start() -> dict[str, np.ndarray]:
-    """The common start of all tasks."""
+class Tree:
+    """Huffman tree with FAN branches over the vocabulary.
+
+    Node 0 is the root; ``node[first[i]:first[i] + depth[i]]`` and ``branch`` are the way from the root to id i; bias: log shares of the branches.
+    """
+
+    def __init__(self, seen: np.ndarray):
+        mass = np.concatenate((seen + 0.5, np.full(-(len(seen) - 1) % (FAN - 1), 1e-9)))
+        n, inner = len(mass), (len(mass) - 1) // (FAN - 1)
+        heap = [(m, i) for i, m in enumerate(mass.tolist())]
+        heapq.heapify(heap)
+        parent, turn = np.full(n + inner, -1), np.zeros(n + inner, dtype=np.int64)
+        self.bias = np.zeros((inner, FAN), dtype=np.float32)
+        for k in range(inner):
+            own = [heapq.heappop(heap) for _ in range(FAN)]
+            total = sum(m for m, _ in own)
+            for j, (m, i) in enumerate(own):
+                parent[i], turn[i], self.bias[inner - 1 - k, j] = n + k, j, math.log(m / total)
+            heapq.heappush(heap, (total, n + k))
+        at, ways = np.arange(len(seen)), []
+        while (parent[at] >= 0).any():
+            live = parent[at] >= 0
+            ways.append(np.where(live, (inner - 1 - (parent[at] - n)) * FAN + turn[at], -1))
+            at = np.where(live, parent[at], at)
+        ways = np.array(ways[::-1]).T  # a row an id, leaves at the right
+        self.depth = (ways >= 0).sum(axis=1)
+        self.first = np.cumsum(self.depth) - self.depth
+        flat = ways[ways >= 0]
+        self.node, self.branch = (flat // FAN).astype(np.uint16), (flat % FAN).astype(np.int64)
+
+    def pairs(self, ids: np.ndarray):
+        """(ids' positions, node, branch) of the ways to ids, level by level, and where each level begins."""
+        n, first = self.depth[ids], self.first[ids]
+        who, at, levels = [np.arange(len(ids))], [first], [0, len(ids)]
+        while len(own := who[-1][n[who[-1]] > len(who)]):
+            at.append(first[own] + len(who))
+            who.append(own)
+            levels.append(levels[-1] + len(own))
+        at = np.concatenate(at)
+        return np.concatenate(who), self.node[at], self.branch[at], levels
+
+
+def start(tree: Tree) -> dict[str, np.ndarray]:
+    """The common start of all tasks; node: the weights of each node's branches, the last row being added whatever the state."""
     r = np.random.default_rng(20)
     p = {k: (r.standard_normal(s) * WIDTH**-0.5).astype(np.float32) for k, s in _DENSE.items()}
     p["wo"] *= np.float32(0.5)
-    p["bc"][:], p["place"][:] = 0, 0
+    p["place"][:] = 0
     p["embed"] = (r.standard_normal((VOCAB, WIDTH)) * 0.5).astype(np.float32)
-    p["out"] = np.zeros((VOCAB, WIDTH), dtype=np.float32)
+    p["node"] = np.concatenate((np.zeros((len(tree.bias), WIDTH, FAN), np.float32), tree.bias[:, None, :]), axis=1)
     return p
 
 
@@ -69,11 +119,9 @@ def layout(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     target[at], own[at] = y, np.repeat(np.arange(len(docs)), n)
     given[at] = np.concatenate(([END], y[:-1]))
     given[first] = END
-    real = np.setdiff1d(np.arange(total // STRIDE), first // STRIDE - 1, assume_unique=True)
-    return given.reshape(-1, STRIDE), target.reshape(-1, STRIDE), own.reshape(-1, STRIDE), real
-
-
-_KEYS, _CLASSES = np.ones(2 * STRIDE, dtype=np.float32), np.ones(CLASSES, dtype=np.float32)
+    blank = np.zeros(total // STRIDE, dtype=bool)
+    blank[first // STRIDE - 1] = True
+    return given.reshape(-1, STRIDE), target.reshape(-1, STRIDE), own.reshape(-1, STRIDE), np.flatnonzero(~blank)
 
 
 def _softmax(x: np.ndarray, ones: np.ndarray) -> np.ndarray:
@@ -85,8 +133,8 @@ def _softmax(x: np.ndarray, ones: np.ndarray) -> np.ndarray:
     return x
 
 
-def forward(p, given, own, real):
-    """Class probabilities [blocks, STRIDE, CLASSES] of the real blocks, and what the backward pass needs."""
+def attend(p, given, own, real):
+    """States [blocks, STRIDE, WIDTH] of the real blocks, and what the backward pass needs."""
     e = p["embed"][given]
     kv = e @ np.concatenate((p["wk"], p["wv"]), axis=1)
     er = e[real]
@@ -104,74 +152,68 @@ def forward(p, given, own, real):
         s[rows[:, None], at, STRIDE + at] = np.maximum(s[rows[:, None], at, STRIDE + at], np.float32(-30))
     _softmax(s, _KEYS)
     o = s @ vw
-    h = er + o @ p["wo"]
-    z = h @ p["wc"]
-    z += p["bc"]
-    return _softmax(z, _CLASSES), (e, er, q, kw, vw, s, o, h)
-
+    return er + o @ p["wo"], (e, er, q, kw, vw, s, o)
 
-def by_class(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted ids by class, and where each class begins."""
-    kind = ids % CLASSES
-    order = np.argsort(kind, kind="stable")
-    return ids[order], np.searchsorted(kind[order], np.arange(CLASSES + 1))
 
+def descend(node, tree: Tree, h: np.ndarray, t: np.ndarray, back: bool = False):
+    """Log probability of each id of t given the states h; with back also the gradients of minus its mean: by h, (nodes, by their rows).
 
-def inner(out, share, active, h, t, n=None):
-    """Log probability of each id of t in its class, given the states h; active: sorted, at least all ids whose row of out is not 0.
-
-    With n also the gradients of -sum / n: by h, the rows in their order, and by those rows (all of t must be active).
-    """
-    rows, begin = by_class(active)
-    rest = share.copy()
-    rest[active] = 0
-    rest = np.bincount(np.arange(VOCAB) % CLASSES, rest, CLASSES).astype(h.dtype)
-    w, part = out[rows], share[rows].astype(h.dtype)
-    kind = t % CLASSES
-    order = np.argsort(kind, kind="stable")
-    to = np.searchsorted(kind[order], np.arange(CLASSES + 1))
-    hs, ts, total = h[order], t[order], np.empty(len(t), dtype=h.dtype)
-    dh, dw = (np.empty_like(hs), np.zeros_like(w)) if n else (None, None)
-    for c in np.flatnonzero(to[1:] > to[:-1]):
-        a, b, lo, hi = to[c], to[c + 1], begin[c], begin[c + 1]
-        x = hs[a:b] @ w[lo:hi].T
-        np.minimum(x, np.float32(60), out=x)
-        np.exp(x, out=x)
-        total[a:b] = x @ part[lo:hi] + rest[c]
-        if n:
-            x *= part[lo:hi]
-            x /= total[a:b, None] * n
-            x[np.arange(b - a), np.searchsorted(rows[lo:hi], ts[a:b])] -= 1 / n
-            dh[a:b], dw[lo:hi] = x @ w[lo:hi], x.T @ hs[a:b]
-    log = np.empty(len(t), dtype=h.dtype)
-    log[order] = np.minimum(np.einsum("ij,ij->i", hs, out[ts]), np.float32(60)) + np.log(np.maximum(share[ts], 1e-30)) - np.log(np.maximum(total, np.float32(1e-30)))
-    if not n:
-        return log
-    back = np.empty_like(dh)
-    back[order] = dh
-    return log, back, rows, dw
-
-
-def gradients(p, given, target, own, real, seen=None):
-    """(gradients, rows of the embedding with gradients) of the mean log loss of the class.
-
-    With seen (id counts so far, those of the targets among them) of the mean log loss of the id, and also (rows of out, their gradients).
+    Pairs (position, node of the way) are ordered by node and multiplied in groups of one node each.
     """
-    z, (e, er, q, kw, vw, s, o, h) = forward(p, given, own, real)
-    mask = own[real] >= 0
-    i, j = np.nonzero(mask)
-    n = np.float32(max(1, len(i)))
-    d = z
-    d *= (mask / n).astype(z.dtype)[:, :, None]
-    d[i, j, target[real][i, j] % CLASSES] -= 1 / n
+    owner, nodes, branch, levels = tree.pairs(t)
+    order = np.argsort(nodes, kind="stable")
+    nodes, branch, who = nodes[order], branch[order], owner[order]
+    run = np.flatnonzero(np.concatenate(([True], nodes[1:] != nodes[:-1])))
+    size = np.diff(np.append(run, len(nodes)))
+    groups = -(-size // _GROUP)
+    ahead = np.cumsum(groups) - groups
+    slot = np.arange(len(nodes)) + np.repeat(ahead * _GROUP - run, size)
+    total = int(groups.sum())
+    x = np.zeros((total * _GROUP, WIDTH + 1), dtype=h.dtype)
+    x[slot, :WIDTH] = h[who]
+    x[slot, WIDTH] = 1
+    x = x.reshape(total, _GROUP, WIDTH + 1)
+    w = node[np.repeat(nodes[run], groups)]
+    z = x @ w
+    np.minimum(z, np.float32(60), out=z)
+    flat = z.reshape(-1, FAN)
+    log = flat[slot, branch].astype(np.float64)
+    np.exp(z, out=z)
+    sums = z @ _FANS.astype(z.dtype, copy=False)
+    log -= np.log(np.maximum(sums.ravel()[slot], 1e-30))
+    out = np.bincount(who, log, len(t))
+    if not back:
+        return out
+    sums *= len(t)
+    z /= np.maximum(sums, np.float32(1e-30))[..., None]
+    flat[slot, branch] -= h.dtype.type(1 / len(t))
+    pad = np.ones(len(flat), dtype=bool)
+    pad[slot] = False
+    flat[pad] = 0
+    dx = (z @ w[:, :WIDTH].transpose(0, 2, 1)).reshape(-1, WIDTH)
+    place = np.empty(len(slot), dtype=np.int64)
+    place[order] = slot
+    dh = dx[place[: len(t)]]
+    for lo, hi in zip(levels[1:], levels[2:]):
+        dh[owner[lo:hi]] += dx[place[lo:hi]]
+    dw = x.transpose(0, 2, 1) @ z
+    several = np.flatnonzero(groups > 1)
+    of_nodes = dw[ahead]
+    for k in several:
+        of_nodes[k] = dw[ahead[k] : ahead[k] + groups[k]].sum(axis=0)
+    return out, dh, nodes[run], of_nodes
+
+
+def gradients(p, tree, given, target, own, real):
+    """(gradients, rows of the embedding and their gradients, nodes and theirs) of the mean log loss."""
+    h, (e, er, q, kw, vw, s, o) = attend(p, given, own, real)
+    i, j = np.nonzero(own[real] >= 0)
+    _, back, nodes, of_nodes = descend(p["node"], tree, h[i, j], target[real][i, j], True)
+    dh = np.zeros_like(h)
+    dh[i, j] = back
     flat = lambda x: x.reshape(-1, x.shape[-1])
-    g = {"wc": flat(h).T @ flat(d), "bc": (np.ones(d.shape[0] * STRIDE, dtype=d.dtype) @ flat(d))[None, :]}
-    dh = flat(d) @ p["wc"].T
-    of_out = ()
-    if seen is not None:
-        _, back, *of_out = inner(p["out"], shares(seen), np.flatnonzero(seen), h[i, j], target[real][i, j], n)
-        dh.reshape(h.shape)[i, j] += back
-    g["wo"] = flat(o).T @ dh
+    dh = flat(dh)
+    g = {"wo": flat(o).T @ dh}
     do = (dh @ p["wo"].T).reshape(o.shape)
     ds = do @ vw.transpose(0, 2, 1)
     ds -= np.einsum("bij,bij->bi", do, o)[:, :, None]
@@ -190,63 +232,54 @@ def gradients(p, given, target, own, real, seen=None):
     ids = given.ravel().astype(np.uint16)
     order = np.argsort(ids, kind="stable")
     begin = np.flatnonzero(np.concatenate(([True], ids[order][1:] != ids[order][:-1])))
-    return g, ids[order][begin], np.add.reduceat(flat(de).T[:, order], begin, axis=1).T, *of_out
+    return g, ids[order][begin], np.add.reduceat(flat(de)[order], begin, axis=0), nodes, of_nodes
 
 
-class Adam:
-    def __init__(self, p):
-        self.p, self.step = p, 0
-        self.m = {k: np.zeros_like(v) for k, v in p.items()}
+class Steps:
+    """Adam for the dense parameters and the embedding; the tree's nodes, most of them rare, divide by the root of their summed squares."""
+
+    def __init__(self, p, rate: float):
+        self.p, self.step, self.rate = p, 0, rate
+        self.m = {k: np.zeros_like(v) for k, v in p.items() if k != "node"}
         self.v = {k: np.zeros_like(v) for k, v in p.items()}
 
-    def update(self, g, rows, of_rows, out_rows=(), of_out=()) -> None:
+    def update(self, g, rows, of_rows, nodes, of_nodes) -> None:
         self.step += 1
-        rate = RATE * min(1.0, self.step / 20) * math.sqrt((1 - 0.99**self.step)) / (1 - 0.9**self.step)
+        rate = self.rate * min(1.0, self.step / 5) * math.sqrt((1 - 0.99**self.step)) / (1 - 0.9**self.step)
         for k, at, grad in [*((k, slice(None), x) for k, x in g.items()), ("embed", rows, of_rows)]:
             self.m[k][at] = m = 0.9 * self.m[k][at] + 0.1 * grad
             self.v[k][at] = v = 0.99 * self.v[k][at] + 0.01 * grad * grad
             self.p[k][at] -= np.float32(rate) * m / (np.sqrt(v) + np.float32(1e-6))
-        if len(out_rows):
-            self.v["out"][out_rows] = v = self.v["out"][out_rows] + of_out * of_out
-            self.p["out"][out_rows] -= np.float32(OUT_RATE) * of_out / (np.sqrt(v) + np.float32(1e-6))
+        self.v["node"][nodes] = v = self.v["node"][nodes] + of_nodes * of_nodes
+        self.p["node"][nodes] -= np.float32(NODE_RATE * self.rate / RATE) * of_nodes / (np.sqrt(v) + np.float32(1e-6))
 
 
-def train(p, docs) -> None:
+def train(p, tree, docs, rate: float = RATE) -> None:
     """One pass over an iterable of id lists."""
-    adam, held, size = Adam(p), [], 0
-    seen = np.zeros(VOCAB, np.int64)
-
-    def step():
-        seen[:] += np.bincount(np.concatenate(held), minlength=VOCAB)
-        adam.update(*gradients(p, *layout(held), seen))
-
+    steps, held, size = Steps(p, rate), [], 0
     for d in docs:
         for a in range(0, len(d), BATCH * STRIDE):
             part = d[a : a + BATCH * STRIDE]
             held.append(part)
             size += len(part)
             if size >= BATCH * STRIDE:
-                step()
+                steps.update(*gradients(p, tree, *layout(held)))
                 held, size = [], 0
     if held:
-        step()
+        steps.update(*gradients(p, tree, *layout(held)))
 
 
-def score_ids(p, log_share: np.ndarray, docs: list[np.ndarray]) -> np.ndarray:
-    """log10 probability of every id list; log_share: log10 of each id's smoothed share of its class."""
+def score_ids(p, tree, docs: list[np.ndarray]) -> np.ndarray:
+    """log10 probability of every id list."""
     out = np.zeros(len(docs))
-    share, active = 10.0**log_share, np.flatnonzero(p["out"].any(axis=1))
     given, target, own, real = layout(docs)
     for a in range(0, len(real), BATCH):
         part = real[a : a + BATCH]
         lo, hi = part[0] - 1, part[-1] + 1
-        z, held = forward(p, given[lo:hi], own[lo:hi], part - lo)
-        own_part, t = own[part], target[part]
-        i, j = np.nonzero(own_part >= 0)
-        t = t[i, j]
-        within = inner(p["out"], share, active, held[-1][i, j], t)
-        out += np.bincount(own_part[i, j], np.log10(np.maximum(z[i, j, t % CLASSES], 1e-30)) + within / math.log(10), len(docs))
-    return out
+        h, _ = attend(p, given[lo:hi], own[lo:hi], part - lo)
+        i, j = np.nonzero(own[part] >= 0)
+        out += np.bincount(own[part][i, j], descend(p["node"], tree, h[i, j], target[part][i, j]), len(docs))
+    return out / math.log(10)
 
 
 def lower(text: str | None) -> bytes:
@@ -259,119 +292,165 @@ def ids_of(encode, data: bytes) -> np.ndarray:
     return np.array([*encode(data.decode()), END], dtype=np.uint16)
 
 
-_STATS = pa.schema([("row", pa.int32()), ("word", pa.string()), ("n", pa.int64()), ("v", pa.list_(pa.float32()))])
-STATS = "row int, word string, n long, v array<float>"
+_READ = pa.schema([("part", pa.int32()), ("doc_id", pa.int64()), ("text", pa.string()), ("ids", pa.binary()), ("word", pa.string()), ("id", pa.int32()), ("n", pa.int64())])
+#: Parts of the first pass's table besides 0 to ROUNDS - 1, the training documents: held-out documents, counts.
+_HELD, _COUNTS = -1, -2
 
 
-def _learn(tokenizer: str):
+def _read(tokenizer: str, flush: int = 1 << 20, most_words: int = 400_000):
     def run(batches):
-        encode, p = encoder(tokenizer), start()
+        encode = encoder(tokenizer)
         words: collections.Counter = collections.Counter()
-        ids_seen, trained = np.zeros(VOCAB, np.int64), 0
-        out, held = [], []
+        seen = np.zeros(VOCAB, np.int64)
+        rows, size = [], 0
 
-        def count_ids():
-            ids_seen[:] += np.bincount(np.concatenate(held), minlength=VOCAB)
-            held.clear()
+        def counts(names, ids, n):
+            k = len(n)
+            nulls = [pa.nulls(k, t) for t in (pa.int64(), pa.string(), pa.binary())]
+            return pa.record_batch([pa.array(np.full(k, _COUNTS), pa.int32()), *nulls, names, ids, pa.array(n, pa.int64())], schema=_READ)
 
         def word_rows():
-            table = pa.array(list(words.keys()))
-            n = len(table)
-            out.append(pa.record_batch([pa.nulls(n, pa.int32()), table, pa.array(list(words.values()), pa.int64()), pa.nulls(n, pa.list_(pa.float32()))], schema=_STATS))
+            # Words of several rows of counts are added up later; a text's words are decoded here, never cut.
+            out = counts(pa.array([w.decode() for w in words]), pa.nulls(len(words), pa.int32()), list(words.values()))
             words.clear()
+            return out
 
         def documents():
-            nonlocal trained
-            for batch in batches:
-                for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                    if held_out(doc_id):
-                        continue
-                    data = lower(text.as_py())
+            n = len(rows)
+            part, ids, texts, coded = zip(*rows)
+            nulls = [pa.nulls(n, t) for t in (pa.string(), pa.int32(), pa.int64())]
+            return pa.record_batch([pa.array(part, pa.int32()), pa.array(ids, pa.int64()), pa.array(texts, pa.string()), pa.array(coded, pa.binary()), *nulls], schema=_READ)
+
+        for batch in batches:
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                text = text.as_py()
+                data = lower(text)
+                ids = ids_of(encode, data)
+                if held_out(doc_id):
+                    part = _HELD
+                else:
+                    part = zlib.crc32(data) % ROUNDS
                     words.update(data.split())
                     words[END_WORD.encode()] += 1
-                    ids = ids_of(encode, data)
-                    held.append(ids)
-                    trained += len(ids)
-                    if len(held) >= 64:
-                        count_ids()
-                    if len(words) > 400_000:
-                        for k in [k for k in words if type(k) is bytes]:
-                            words[k.decode()] = words.pop(k)
-                        word_rows()
-                    yield ids
-
-        train(p, documents())
-        if held:
-            count_ids()
-        for k in list(words):
-            words[k.decode()] = words.pop(k)
+                    np.add.at(seen, ids, 1)
+                rows.append((part, doc_id, text, ids.tobytes()))
+                size += len(data)
+                if size > flush:
+                    yield documents()
+                    rows, size = [], 0
+                if len(words) > most_words:
+                    yield word_rows()
+        if rows:
+            yield documents()
         if words:
-            word_rows()
-        yield from out
-        if trained:
-            own = np.flatnonzero(ids_seen)
-            dense = np.concatenate([p[k].reshape(-1, WIDTH) for k in _DENSE])
-            rows = np.concatenate((own, VOCAB + np.arange(len(dense)), VOCAB + len(dense) + own))
-            weight = np.concatenate((ids_seen[own], np.full(len(dense), trained), ids_seen[own]))
-            values = np.concatenate((p["embed"][own], dense, p["out"][own])).astype(np.float32)
-            vectors = pa.ListArray.from_arrays(pa.array(np.arange(0, len(rows) * WIDTH + 1, WIDTH), pa.int32()), pa.array(values.ravel()))
-            yield pa.record_batch([pa.array(rows, pa.int32()), pa.nulls(len(rows), pa.string()), pa.array(weight, pa.int64()), vectors], schema=_STATS)
+            yield word_rows()
+        own = np.flatnonzero(seen)
+        if len(own):
+            yield counts(pa.nulls(len(own), pa.string()), pa.array(own, pa.int32()), seen[own])
 
     return run
 
 
-def learn(docs: DataFrame, tokenizer: str) -> tuple[DataFrame, dict[str, np.ndarray], np.ndarray]:
-    """(word counts, averaged parameters, id counts) of the training rows of docs(doc_id, text)."""
+def read(docs: DataFrame, tokenizer: str) -> DataFrame:
+    """The first pass over docs(doc_id, text), as a table by part: documents with their ids, and counts of words and ids of the training ones."""
     graph.small_batches(docs.sparkSession)
-    stats = graph.written(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_learn(tokenizer), STATS))
-    words = graph.written(stats.where("word is not null").groupBy("word").agg(F.sum("n").alias("c")))
-    sums = [F.sum(F.col("v")[i].cast("double") * F.col("n")).alias(f"s{i}") for i in range(WIDTH)]
-    p, seen = start(), np.zeros(VOCAB, np.int64)
-    total = stats.where("row is not null").groupBy("row").agg(F.sum("n").alias("n"), *sums).toPandas()  # two rows for each id and one for each parameter row at most
-    row, n = total["row"].to_numpy(), total["n"].to_numpy().astype(np.float64)
-    mean = (total[[f"s{i}" for i in range(WIDTH)]].to_numpy() / n[:, None]).astype(np.float32) if len(row) else np.zeros((0, WIDTH), np.float32)
-    ids = row < VOCAB
-    p["embed"][row[ids]] = mean[ids]
-    seen[row[ids]] = n[ids]
-    if len(row):
-        end = VOCAB + sum(a * b for a, b in _DENSE.values()) // WIDTH
-        p["out"][row[row >= end] - end] = mean[row >= end]
-        inside = ~ids & (row < end)
-        dense = mean[inside][np.argsort(row[inside])]
-        at = 0
-        for k, shape in _DENSE.items():
-            size = shape[0] * shape[1] // WIDTH
-            p[k] = dense[at : at + size].reshape(shape)
-            at += size
-    return words, p, seen
+    slim = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    return graph.written(slim.mapInArrow(_read(tokenizer), "part int, doc_id long, text string, ids binary, word string, id int, n long"), "part")
+
 
+#: Rows of a block of parameters that travel together.
+_BLOCK = {"embed": 1024, "node": 128, "dense": 1 << 20}
+_SUMS = pa.schema([("block", pa.string()), ("weight", pa.binary()), ("value", pa.binary())])
 
-def shares(seen: np.ndarray) -> np.ndarray:
-    """Each id's smoothed share of its class."""
-    c = seen + 0.5
-    kind = np.arange(VOCAB) % CLASSES
-    return c / np.bincount(kind, c)[kind]
 
+def _tables(p) -> dict[str, np.ndarray]:
+    """The parameters as matrices; dense ones as one row."""
+    return {"embed": p["embed"], "node": p["node"].reshape(len(p["node"]), -1), "dense": np.concatenate([p[k].ravel() for k in _DENSE])[None, :]}
 
-def log_shares(seen: np.ndarray) -> np.ndarray:
-    return np.log10(shares(seen))
+
+def _train(p, tree, rate):
+    def run(batches):
+        own = {k: v.copy() for k, v in p.items()}
+        seen = np.zeros(VOCAB, np.int64)
+
+        def documents():
+            for batch in batches:
+                for data in batch.column(0):
+                    ids = np.frombuffer(data.as_buffer(), dtype=np.uint16)
+                    np.add.at(seen, ids, 1)
+                    yield ids
+
+        train(own, tree, documents(), rate)
+        if not seen.any():
+            return
+        visits = np.bincount(tree.node, np.repeat(seen, tree.depth), len(tree.bias))
+        weights = {"embed": seen, "node": visits, "dense": np.array([seen.sum()])}
+        for name, table in _tables(own).items():
+            for a in range(0, len(table), _BLOCK[name]):
+                w = weights[name][a : a + _BLOCK[name]].astype(np.float64)
+                if w.any():
+                    yield pa.record_batch([pa.array([f"{name}:{a}"]), pa.array([w.tobytes()], pa.binary()), pa.array([table[a : a + _BLOCK[name]].tobytes()], pa.binary())], schema=_SUMS)
+
+    return run
+
+
+def _mean(batches):
+    """Rows of a block from several tasks -> one row: the sum of weights and the weighted mean."""
+    sums: dict[str, list] = {}
+    for batch in batches:
+        for name, w, v in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
+            w = np.frombuffer(w.as_buffer(), np.float64)
+            v = np.frombuffer(v.as_buffer(), np.float32).reshape(len(w), -1) * w[:, None]
+            if name in sums:
+                sums[name][0] += w
+                sums[name][1] += v
+            else:
+                sums[name] = [w.copy(), v]
+    for name, (w, v) in sums.items():
+        yield pa.record_batch([pa.array([name]), pa.array([w.tobytes()], pa.binary()), pa.array([(v / np.maximum(w, 1)[:, None]).astype(np.float32).tobytes()], pa.binary())], schema=_SUMS)
+
+
+def learn(table: DataFrame, rounds: int = ROUNDS, task_ids: int = TASK_IDS) -> tuple[dict[str, np.ndarray], Tree]:
+    """Parameters and tree from the table that ``read`` wrote."""
+    seen = np.zeros(VOCAB, np.int64)
+    for r in table.where((F.col("part") == _COUNTS) & F.col("id").isNotNull()).groupBy("id").agg(F.sum("n").alias("n")).collect():  # one row an id of the vocabulary at most
+        seen[r.id] = r.n
+    tree = Tree(seen)
+    p = start(tree)
+    n = int(table.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    for k in range(rounds if seen.any() else 0):
+        own = table.where(F.col("part") == k).select("ids")
+        own = own.coalesce(max(1, int(seen.sum() // (rounds * task_ids))))
+        summed = own.mapInArrow(_train(p, tree, RATE * RATES[k % len(RATES)]), "block string, weight binary, value binary")
+        means = summed.repartition(min(n, 64), "block").mapInArrow(_mean, "block string, weight binary, value binary").collect()  # the parameters, once
+        tables = _tables(p)
+        for r in means:
+            name, a = r.block.split(":")
+            w = np.frombuffer(r.weight, np.float64)
+            v = np.frombuffer(r.value, np.float32).reshape(len(w), -1)
+            tables[name][int(a) : int(a) + len(w)][w > 0] = v[w > 0]
+        p["node"] = tables["node"].reshape(p["node"].shape)
+        at = 0
+        for name, shape in _DENSE.items():
+            size = shape[0] * shape[1]
+            p[name] = tables["dense"][0, at : at + size].reshape(shape)
+            at += size
+    return p, tree
 
 
 _SCORED = "rid long, doc_id long, held_out boolean, n_tokens long, known long, base double, score double, tail array<string>, times array<int>"
 
 
-def _score(tokenizer, p, share, head, den):
+def _score(p, tree, head, den):
     schema = pa.schema([("rid", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("tail", pa.list_(pa.string())), ("times", pa.list_(pa.int32()))])
 
     def run(batches):
-        encode, rid = encoder(tokenizer), TaskContext.get().partitionId() << 33
+        rid = TaskContext.get().partitionId() << 33
         for batch in batches:
-            ids = []
-            doc_ids, size = batch.column(0).to_pylist(), 0
-            rows = []
-            for k in range(len(doc_ids)):
-                data = lower(batch.column(1)[k].as_py())
-                words = collections.Counter(data.split())
+            rows, ids, size = [], [], 0
+            doc_ids, parts = batch.column(0).to_pylist(), batch.column(3).to_pylist()
+            for k, (doc_id, part) in enumerate(zip(doc_ids, parts)):
+                words = collections.Counter(lower(batch.column(1)[k].as_py()).split())
                 words[END_WORD.encode()] += 1
                 known, base, n, tail, times = 0, 0.0, 0, [], []
                 for w, c in words.items():
@@ -383,13 +462,13 @@ def _score(tokenizer, p, share, head, den):
                         known += c
                         base += c * x
                 base += sum(times) * (math.log10(0.5) - den)
-                rows.append((rid, doc_ids[k], held_out(doc_ids[k]), n, known, base, tail, times))
+                rows.append((rid, doc_id, part == _HELD, n, known, base, tail, times))
                 rid += 1
-                ids.append(ids_of(encode, data))
+                ids.append(np.frombuffer(batch.column(2)[k].as_buffer(), dtype=np.uint16))
                 size += len(ids[-1])
                 if size > 200_000 or k + 1 == len(doc_ids):
                     cols = list(zip(*rows))
-                    scores = score_ids(p, share, ids)
+                    scores = score_ids(p, tree, ids)
                     yield pa.record_batch([pa.array(c, f.type) for c, f in zip([*cols[:6], scores, *cols[6:]], schema)], schema=schema)
                     rows, ids, size = [], [], 0
 
@@ -398,11 +477,14 @@ def _score(tokenizer, p, share, head, den):
 
 def score(docs: DataFrame, tokenizer: str, head_words: int = HEAD_WORDS) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row of docs(doc_id, text)."""
-    words, p, seen = learn(docs, tokenizer)
+    table = read(docs, tokenizer)
+    words = graph.written(table.where((F.col("part") == _COUNTS) & F.col("word").isNotNull()).groupBy("word").agg(F.sum("n").alias("c")))
+    p, tree = learn(table)
     n, v = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     den = math.log10(n + 0.5 * (v + 1))
     head = {r.word.encode(): math.log10(r.c + 0.5) - den for r in words.where(F.col("c") * head_words >= n).toLocalIterator()}  # at most head_words
-    scored = graph.written(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_score(tokenizer, p, log_shares(seen), head, den), _SCORED))
+    every = table.where(F.col("part") != _COUNTS).select("doc_id", "text", "ids", "part")
+    scored = graph.written(every.mapInArrow(_score(p, tree, head, den), _SCORED))
     rare = words.where(F.col("c") * head_words < n)
     tails = scored.select("rid", F.explode(F.arrays_zip("tail", "times")).alias("x")).select("rid", F.col("x.tail").alias("word"), F.col("x.times").alias("k"))
     more = tails.join(rare, "word").groupBy("rid").agg(F.sum("k").alias("known_tail"), F.sum(F.col("k") * (F.log10(F.col("c") + 0.5) - math.log10(0.5))).alias("base_tail"))

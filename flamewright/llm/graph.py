@@ -19,11 +19,14 @@ def small_batches(spark, rows: int = 1000, size: int = 2 << 20) -> None:
             spark.conf.set(key, str(most))
 
 
-def written(df: DataFrame) -> DataFrame:
-    """df as a Parquet table in the shared folder: smaller than a checkpoint for rows of numbers."""
+def written(df: DataFrame, by: str | None = None) -> DataFrame:
+    """df as a Parquet table in the shared folder (in a folder for each value of ``by``): smaller than a checkpoint for rows of numbers."""
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    if by:
+        df.write.partitionBy(by).option("compression", "zstd").parquet(path)
+    else:
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
