@@ -8,7 +8,17 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.lineage import checkpoint_dir, cut
 
-__all__ = ["checkpoint_dir", "components", "cut", "small_batches", "written"]
+__all__ = ["checkpoint_dir", "columns", "components", "cut", "fields", "small_batches", "written"]
+
+
+def columns(df: DataFrame) -> list:
+    """All columns of df, whatever characters their names hold."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
+def fields(df: DataFrame, *but: str) -> list:
+    """The columns of df out of a struct ``row``, save those named in ``but``: inner columns beside row cannot clash with them."""
+    return [F.col("row")[c].alias(c) for c in df.columns if c.lower() not in but]
 
 
 def small_batches(spark, rows: int = 1000, size: int = 2 << 20) -> None:
@@ -23,10 +33,8 @@ def written(df: DataFrame, by: str | None = None) -> DataFrame:
     """df as a Parquet table in the shared folder (in a folder for each value of ``by``): smaller than a checkpoint for rows of numbers."""
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
-    if by:
-        df.write.partitionBy(by).option("compression", "zstd").parquet(path)
-    else:
-        df.write.parquet(path)
+    writer = df.write.option("compression", "zstd")
+    (writer.partitionBy(by) if by else writer).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

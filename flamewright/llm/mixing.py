@@ -5,7 +5,8 @@ only that bucket's rows are summed again by the next bits, and so on, until the
 The result is one threshold a source, and the mix is a filter: no sort, no ranking of documents.
 
 Defined cases: null text has size 0; a null source is a source of its own, ordered last; rows with the same id and
-text share a hash and are taken alike; an empty table gives no rows; extra columns pass through in ``mix``.
+text share a hash and are taken alike (ties); very long texts are counted whole, and a source's words come within half of what shares the boundary hash of its
+target; an empty table gives no rows; extra columns pass through in ``mix`` whatever their names.
 """
 
 from __future__ import annotations
@@ -104,8 +105,8 @@ def takes(docs: DataFrame, **options) -> DataFrame:
 def mix(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs as often as the mix takes them; a filter on each row's own hash, no document is moved."""
     _, by = plan(docs, **options)
-    by = _bounded(by.select(F.col("source").alias("_s"), "epochs", "threshold"))
-    text = F.col("text").cast("string")
-    times = (F.col("epochs") + (hash_of(F.col("doc_id"), text) < F.col("threshold")).cast("long")).cast("int")
-    out = docs.join(by, F.col("source").eqNullSafe(F.col("_s"))).withColumn("_times", times)
-    return out.where("_times > 0").withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("_times")))).select(*docs.columns)
+    by = _bounded(by.select(F.col("source").alias("of"), "epochs", "threshold"))
+    held = docs.select(F.struct(*graph.columns(docs)).alias("row"), F.col("source").alias("source"), hash_of(F.col("doc_id"), F.col("text").cast("string")).alias("h"))
+    times = (F.col("epochs") + (F.col("h") < F.col("threshold")).cast("long")).cast("int")
+    out = held.join(by, F.col("source").eqNullSafe(F.col("of"))).select("row", times.alias("times"))
+    return out.where("times > 0").select("row", F.explode(F.array_repeat(F.lit(1), F.col("times")))).select(*graph.fields(docs))

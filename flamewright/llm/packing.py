@@ -6,13 +6,16 @@ made once for a pattern of lengths and repeated as often as the counts allow: th
 counts and the patterns, whatever the number of documents.  Pieces then find their place by their rank
 within their length: rank inside the task plus the counts of the tasks before.
 
-Defined cases: null text is empty (one end token); empty tables give no rows; repeated rows are packed each;
-nulls and extra columns are ignored.
+Defined cases: null text is empty (one end token); strings of special tokens in a text become their ids; very long texts are cut in pieces (a worker
+holds one text and its ids); ties: of equal lengths the earlier piece of the earlier task goes first; repeated rows are packed each; a null doc_id is
+kept; extra columns are ignored whatever their names; empty tables give no rows.
 """
 
 from __future__ import annotations
 
 import base64
+import functools
+import json
 import zlib
 
 import numpy as np
@@ -25,9 +28,10 @@ from . import graph
 CAPACITY, END_ID = 1024, 2
 
 
-def encoder(path: str):
-    """Byte-level BPE of a tokenizers file: list of texts -> list of id lists, special strings as ordinary text.
+def encoder(path: str, special: bool = False):
+    """Byte-level BPE of a tokenizers file: text -> list of ids.
 
+    special: strings of the file's special tokens in a text become their ids, as the tokenizers library does by itself; else they are ordinary text.
     The ids come from the file's own merges; tiktoken runs them faster when the same vocabulary lies beside it as
     ranks, with the same ids (tests compare the two).
     """
@@ -38,13 +42,17 @@ def encoder(path: str):
 
         with open(ranks_path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        return own.encode_ordinary
+        named = {}
+        if special:
+            with open(path, encoding="utf-8") as f:
+                named = {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
+        own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=named)
+        return functools.partial(own.encode, allowed_special="all") if named else own.encode_ordinary
     except (ImportError, FileNotFoundError):
         from tokenizers import Tokenizer
 
         slow = Tokenizer.from_file(path)
-        slow.encode_special_tokens = True
+        slow.encode_special_tokens = not special
         return lambda text: slow.encode(text, add_special_tokens=False).ids
 
 
@@ -108,7 +116,7 @@ def _pieces(path: str, capacity: int, end_id: int):
     schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("task", pa.int32()), ("rank", pa.int64())])
 
     def run(batches):
-        encode = encoder(path)
+        encode = encoder(path, special=True)
         task, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, dtype=np.int64)
         for batch in batches:
             rows = []

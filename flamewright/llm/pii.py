@@ -7,8 +7,9 @@ IC(v) = -log P(v).  A term whose PMI reaches ALPHA of IC for some entity disclos
 entity is examined, also one with a single context; every word of two characters or more outside the base spans is a term, with
 digits or without.  Equal contexts count once.
 
-Defined cases: null text is empty; no spans give an empty string; repeated rows get equal results;
-nulls in other columns and extra columns pass through; an empty table gives no rows.
+Defined cases: null text is empty; no spans give an empty string; repeated rows get equal results and count as documents each; ties:
+a term at the threshold is masked, of terms that fit at one place the longest is; very long texts are read whole (one text in memory); nulls in
+other columns and extra columns pass through whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -133,33 +134,43 @@ def disclosing_terms(docs: DataFrame, alpha: float = ALPHA, context: int = CONTE
     return scored.where(F.col("pmi") >= alpha * F.col("ic") - 1e-9)
 
 
-def find_personal(docs: DataFrame, alpha: float = ALPHA, context: int = CONTEXT) -> DataFrame:
-    """docs with base (map of the four kinds' spans as columns email, ip, card, phone under ``pii``) and all spans ``pii_spans``.
+def _pattern(terms: Column) -> Column:
+    """A regular expression for the terms as whole words, the longest that fits winning; \\E inside a term cannot end its quotation."""
+    longest = F.transform(F.array_sort(F.transform(terms, lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))), lambda x: x["w"])
+    quoted = F.array_join(F.transform(longest, lambda w: F.concat(F.lit(r"\Q"), F.replace(w, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))), "|")
+    return F.concat(F.lit(r"(?<![\p{L}\p{N}])(?:"), quoted, F.lit(r")(?![\p{L}\p{N}])"))
 
-    The two columns are structs/arrays named pii and pii_spans; any column of docs with these names is replaced.
-    """
-    t = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    found = docs.withColumn("pii", F.struct(*[c.alias(k) for k, c in base_spans(t).items()]))
-    base = found.select(t.alias("text"), F.concat(*[F.col(f"pii.{k}") for k in KINDS[:4]]).alias("_base"))
+
+def _held(docs: DataFrame, alpha: float, context: int) -> DataFrame:
+    """(row, text, pii, spans): a row of docs as a struct, so that no inner name clashes with its columns, with base and all spans."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    found = docs.select(F.struct(*graph.columns(docs)).alias("row"), text.alias("text"))
+    found = found.withColumn("pii", F.struct(*[c.alias(k) for k, c in base_spans(F.col("text")).items()]))
+    found = found.withColumn("base", F.concat(*[F.col(f"pii.{k}") for k in KINDS[:4]]))
+    base = found.select("text", F.col("base").alias("_base"))
     terms, some = _small(disclosing_terms(base, alpha, context).select("term").distinct())
-    every = F.concat(*[F.col(f"pii.{k}") for k in KINDS[:4]])
     if not some:
-        return found.withColumn("pii_spans", every)
-    held = base.select("text", F.explode(F.array_distinct(_plain(F.col("text"), F.col("_base")))).alias("term")).join(terms, "term")
-    held, _ = _small(held.groupBy(F.xxhash64("text").alias("_k1"), F.hash("text").alias("_k2")).agg(F.sort_array(F.collect_set("term")).alias("_terms")))
-    keyed = found.withColumn("_k1", F.xxhash64(t)).withColumn("_k2", F.hash(t)).join(held, ["_k1", "_k2"], "left")
-    quoted = F.array_join(F.transform("_terms", lambda w: F.concat(F.lit(r"\Q"), F.replace(w, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))), "|")
-    pattern = F.concat(F.lit(r"(?<![\p{L}\p{N}])(?:"), quoted, F.lit(r")(?![\p{L}\p{N}])"))
-    extra = F.when(F.col("_terms").isNull(), F.array().cast(spans.SPAN)).otherwise(spans.find(t, pattern, "term"))
-    return keyed.withColumn("pii_spans", F.concat(every, extra)).drop("_k1", "_k2", "_terms")
-
-
-def sanitise(docs: DataFrame, **options) -> DataFrame:
-    """docs with personal data replaced by its kind; disclosing terms become <term> (with digits or capitals: their shape's name).  n_chars follows."""
-    found = find_personal(docs, **options)
-    t = F.col("text").cast("string")
+        return found.withColumnRenamed("base", "spans")
+    # A text is named by two hashes (96 bits); its words travel with them, never with the text.
+    named = base.select(F.xxhash64("text").alias("k1"), F.hash("text").alias("k2"), F.explode(F.array_distinct(_plain(F.col("text"), F.col("_base")))).alias("term"))
+    own, _ = _small(named.join(terms, "term").groupBy("k1", "k2").agg(F.sort_array(F.collect_set("term")).alias("terms")))
+    keyed = found.withColumn("k1", F.xxhash64("text")).withColumn("k2", F.hash("text")).join(own, ["k1", "k2"], "left")
+    extra = F.when(F.col("terms").isNull(), F.array().cast(spans.SPAN)).otherwise(spans.find(F.col("text"), _pattern(F.col("terms")), "term"))
+    return keyed.select("row", "text", "pii", F.concat("base", extra).alias("spans"))
+
+
+def find_personal(docs: DataFrame, alpha: float = ALPHA, context: int = CONTEXT) -> DataFrame:
+    """docs with its base spans (the four kinds as fields email, ip, card, phone of ``pii``) and all spans ``pii_spans``.
+
+    Columns of docs with these two names are replaced; all others stay.
+    """
+    return _held(docs, alpha, context).select(*graph.fields(docs, "pii", "pii_spans"), "pii", F.col("spans").alias("pii_spans"))
+
+
+def sanitise(docs: DataFrame, alpha: float = ALPHA, context: int = CONTEXT) -> DataFrame:
+    """docs with personal data replaced by its kind; disclosing terms become <term> (with a capital ahead: <name>).  n_chars follows; a null text stays null."""
     label = lambda kind, hit: F.when(kind == "term", F.when(hit.rlike("^[\\p{Lu}]"), F.lit("<name>")).otherwise(F.lit("<term>"))).otherwise(F.concat(F.lit("<"), kind, F.lit(">")))
-    out = found.withColumn("text", spans.mask(t, F.col("pii_spans"), label))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars")))
-    return out.select(*docs.columns)
+    clean = F.when(F.col("row")["text"].isNotNull(), spans.mask(F.col("text"), F.col("spans"), label))
+    held = _held(docs, alpha, context).select("row", clean.alias("clean"))
+    new = {"text": F.col("clean"), "n_chars": F.coalesce(F.length("clean").cast("long"), F.col("row")["n_chars"]) if "n_chars" in docs.columns else None}
+    return held.select(*[new[c].alias(c) if new.get(c) is not None else F.col("row")[c].alias(c) for c in docs.columns])

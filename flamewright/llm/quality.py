@@ -4,13 +4,16 @@ Every rule is a ratio of two measures with bounds; ``compile_rules`` turns the t
 column.  No user function runs, nothing is shuffled, each document is judged from its own whole text.
 
 Defined cases: null or word-less text has all measures 0 and fails; ties at a bound pass; repeated rows
-are judged alike; other columns are left as they are; an empty table gives no rows.
+are judged alike; very long texts are judged whole (one text and its word arrays in memory) and no rule rejects them for their length; extra columns pass
+through whatever their names, see ``judge``; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from . import graph
+
 SPACE = r"\x20\x09-\x0D"
 WORD = rf"[^{SPACE}]+"
 
@@ -24,7 +27,7 @@ STOP_WORDS = (
 
 #: measure / per, kept while low <= ratio <= high (None: unbounded).
 RULES = (
-    ("length", "n_words", None, 50, 100_000),
+    ("length", "n_words", None, 50, None),
     ("repeated_words", "n_repeat_words", "n_words", None, 0.5),
     ("mean_word", "word_chars", "n_words", 2.0, 12.0),
     ("symbols", "n_symbols", "n_words", None, 0.1),
@@ -33,26 +36,30 @@ RULES = (
 )
 
 
-def measures(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words and n_stop (long)."""
-    t = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    out = docs.withColumn("_words", F.regexp_extract_all(t, F.lit(WORD), 0))
-    out = out.withColumn("_lines", F.filter(F.split(t, "\n", -1), lambda x: x.rlike(WORD)))
-    out = out.withColumn("n_words", F.size("_words").cast("long"))
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_stop")
+
+
+def measures(docs: DataFrame) -> DataFrame:
+    """(row, n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words, n_stop): a row of docs as a struct and its measures (long)."""
+    t = F.col("t")
+    out = docs.select(F.struct(*graph.columns(docs)).alias("row"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("t"))
+    out = out.withColumn("words", F.regexp_extract_all(t, F.lit(WORD), 0))
+    out = out.withColumn("lines", F.filter(F.split(t, "\n", -1), lambda x: x.rlike(WORD)))
+    out = out.withColumn("n_words", F.size("words").cast("long"))
     # A window of three words is named by a 64-bit hash; the arrays live for one row.
-    out = out.withColumn("_windows", F.when(F.size("_words") >= 3, F.slice(F.transform("_words", lambda w, i: F.xxhash64(w, F.get(F.col("_words"), i + 1), F.get(F.col("_words"), i + 2))), F.lit(1), F.size("_words") - 2)))
-    out = out.withColumn("_again", F.size(F.array_distinct("_windows")) < F.size("_windows"))
-    out = out.withColumn("_sorted", F.when(F.col("_again"), F.array_sort(F.transform("_windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
-    near = lambda x, k: F.get(F.col("_sorted"), k - 1)["h"].eqNullSafe(x["h"]) | F.get(F.col("_sorted"), k + 1)["h"].eqNullSafe(x["h"])
-    out = out.withColumn("_starts", F.filter("_sorted", near))
+    out = out.withColumn("windows", F.when(F.size("words") >= 3, F.slice(F.transform("words", lambda w, i: F.xxhash64(w, F.get(F.col("words"), i + 1), F.get(F.col("words"), i + 2))), F.lit(1), F.size("words") - 2)))
+    out = out.withColumn("again", F.size(F.array_distinct("windows")) < F.size("windows"))
+    out = out.withColumn("ordered", F.when(F.col("again"), F.array_sort(F.transform("windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
+    near = lambda x, k: F.get(F.col("ordered"), k - 1)["h"].eqNullSafe(x["h"]) | F.get(F.col("ordered"), k + 1)["h"].eqNullSafe(x["h"])
+    out = out.withColumn("starts", F.filter("ordered", near))
     return out.select(
-        *docs.columns,
+        "row",
         "n_words",
         F.length(F.regexp_replace(t, rf"[{SPACE}]+", "")).cast("long").alias("word_chars"),
         F.length(F.regexp_replace(t, r"[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
-        F.size("_lines").cast("long").alias("n_lines"),
-        (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
-        F.when(F.col("_again"), F.size(F.array_distinct(F.flatten(F.transform("_starts", lambda x: F.array(x["i"], x["i"] + 1, x["i"] + 2)))))).otherwise(0).cast("long").alias("n_repeat_words"),
+        F.size("lines").cast("long").alias("n_lines"),
+        (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
+        F.when(F.col("again"), F.size(F.array_distinct(F.flatten(F.transform("starts", lambda x: F.array(x["i"], x["i"] + 1, x["i"] + 2)))))).otherwise(0).cast("long").alias("n_repeat_words"),
         F.regexp_count(t, F.lit(rf"(?<![^{SPACE}])(?iu:{'|'.join(STOP_WORDS)})(?![^{SPACE}.,;:!?])")).cast("long").alias("n_stop"),
     )
 
@@ -69,8 +76,7 @@ def compile_rules(rules=RULES) -> Column:
     return verdict
 
 
-def judge(docs: DataFrame, rules=RULES) -> DataFrame:
-    """docs with their measures, base_failed and kept."""
+def _judged(docs: DataFrame, rules) -> DataFrame:
     base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     # The last test is always true; being non-deterministic it keeps later filters from being pushed below the measures,
     # where each would work out every measure again.
@@ -78,6 +84,17 @@ def judge(docs: DataFrame, rules=RULES) -> DataFrame:
     return measures(docs).withColumn("base_failed", base).withColumn("kept", ~F.col("base_failed") & compile_rules(rules) & barrier)
 
 
+def judge(docs: DataFrame, rules=RULES) -> DataFrame:
+    """docs with their measures, base_failed and kept; columns of docs with one of these names give way, all others stay."""
+    new = (*MEASURES, "base_failed", "kept")
+    return _judged(docs, rules).select(*graph.fields(docs, *new), *new)
+
+
+def keep(docs: DataFrame, rules=RULES) -> DataFrame:
+    """The rows of docs that no rule rejects, with all their columns."""
+    return _judged(docs, rules).where("kept").select(*graph.fields(docs))
+
+
 def oracle(rules=RULES) -> str:
     """The same verdicts as DuckDB SQL over the documents view."""
     tests = []

@@ -3,12 +3,18 @@
 A candidate is any maximal run of at least MIN_LENGTH characters of [A-Za-z0-9+/_=-].  Its encoding is
 inferred (decimal, hex, lower, upper, letters, base32, base36, base62, base64), its characters become numbers in that alphabet, and three tests ask whether they
 look drawn at random: chi-squared uniformity over the alphabet, runs above and below the middle, lag-one serial
-correlation.  The Bonferroni minimum of the three is the p-value for "random".  Benjamini-Hochberg, separately for
-each length class (short strings have weak tests), declares strings non-random at level Q over the whole corpus;
-candidates that stay random are secrets.  The p-values are only ever summed in a fixed histogram of length class and p bin.
-
-Defined cases: null text is empty; equal strings get equal verdicts; repeated rows get equal results; other columns pass
-through (a column named secrets or secret_spans is replaced); an empty table gives no rows.
+correlation.  Their least p-value, corrected for being the least of three, is the string's p-value for "random": even between 0 and 1 for random strings,
+near 0 for others (less so for short ones, whose tests are weak).
+
+What is reported are strings that look random, so the false discoveries to control are ordinary strings among them.  For each length
+class a histogram over the whole corpus gives their number: above p = TOP only random strings are left, which tells how many
+random strings there are and how many of them lie above any bound; what else lies above it is false.  The bound is the least one, Q at least, above which
+the false ones are at most a share Q (an excess within two standard errors of chance does not count).  The p-values are only ever summed in a
+fixed histogram of length class and p bin.
+
+Defined cases: null text is empty; equal strings get equal verdicts; repeated rows get equal results and count each; ties at the bound are reported;
+very long texts and runs are read whole, in linear time; extra columns pass through whatever their names, save that columns
+named secrets or secret_spans are replaced; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -17,10 +23,10 @@ import math
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from . import spans
+from . import graph, spans
 
 KINDS = ("assign", "access", "hex", "random")
-MIN_LENGTH, Q, BINS = 20, 0.01, 400
+MIN_LENGTH, Q, BINS, TOP = 20, 0.01, 400, 0.5
 #: Upper lengths of the classes.
 CLASSES = (24, 32, 40, 64, 128, 512, 2**31)
 
@@ -86,7 +92,7 @@ def encoding(s: Column) -> Column:
 
 
 def randomness(s: Column) -> Column:
-    """p-value of "s is random in its encoding": least of the three tests' p-values, times three."""
+    """p-value of "s is random in its encoding": chance that the least of three p-values is as small as here."""
     name = encoding(s)
     body = F.regexp_replace(F.when(name == "hex", F.lower(s)).otherwise(F.translate(s, "-_", "+/")), "=+", "")
     alphabet = F.element_at(F.create_map(*[x for k, v in ALPHABETS.items() for x in (F.lit(k), F.lit(v))]), name)
@@ -113,7 +119,7 @@ def _battery(v: Column, alphabet: Column, body: Column, size: Column) -> Column:
     around = sums(lambda x: (x - mean) * (x - mean))
     serial = steps(lambda x, y: (x - mean) * (y - mean)) / F.greatest(around, F.lit(1e-9)) * F.sqrt(n)
     least = F.least(_tail(z_chi), 2 * _tail(F.abs((runs - expected) / spread)), 2 * _tail(F.abs(serial)))
-    return F.least(F.lit(1.0), 3 * least)
+    return 1 - F.pow(1 - F.least(F.lit(1.0), F.greatest(F.lit(0.0), least)), 3)
 
 
 def length_class(hit: Column) -> Column:
@@ -133,28 +139,29 @@ def candidates(text: Column) -> Column:
     return spans.find(text, CANDIDATE, "random", lambda x: F.length(F.replace(x, F.lit("="), F.lit(""))) >= 2)
 
 
-def non_random_bins(found: DataFrame, q: float = Q) -> dict[int, int]:
-    """For each length class the highest bin whose p-values Benjamini-Hochberg rejects (-1: none); found has hit and p."""
+def random_bins(found: DataFrame, q: float = Q) -> dict[int, int]:
+    """For each length class the least bin whose strings are reported; found has hit and p."""
     table = found.groupBy(length_class(F.col("hit")).alias("c"), _bin(F.col("p")).alias("b")).agg(F.count("*").alias("n"))
     rows = table.collect()  # at most classes x BINS rows
+    edge = lambda b: 10 ** ((b - BINS) / 20)
+    least, top = (math.ceil(BINS + 20 * math.log10(x) - 1e-9) for x in (q, TOP))
     out = {}
     for c in range(len(CLASSES)):
         hist = {r.b: r.n for r in rows if r.c == c}
-        total, upto, out[c] = sum(hist.values()), 0, -1
-        for b in sorted(hist):
-            upto += hist[b]
-            if 10 ** ((b + 1 - BINS) / 20) * total <= q * upto:
-                out[c] = b
+        above = lambda b: sum(n for k, n in hist.items() if k >= b)  # noqa: B023, E731
+        random = above(top) / (1 - edge(top))
+        false = lambda b: above(b) - random * (1 - edge(b)) - 2 * math.sqrt(above(b))  # noqa: B023, E731
+        out[c] = next((b for b in range(least, top) if false(b) <= q * above(b)), top)
     return out
 
 
 def find_secrets(docs: DataFrame, q: float = Q) -> DataFrame:
     """docs with ``secrets`` (struct of the base kinds' spans) and ``secret_spans`` (all spans in order)."""
-    t = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    hits = docs.select(F.explode(F.transform(candidates(t), lambda s: s["hit"])).alias("hit"))
-    limit = non_random_bins(hits.withColumn("p", randomness(F.col("hit"))), q)
-    top = lambda hit: F.get(F.array(*[F.lit(limit[k]) for k in sorted(limit)]), length_class(hit))
-    out = docs.withColumn("secrets", F.struct(*[c.alias(k) for k, c in base_spans(t).items()]))
-    out = out.withColumn("_random", F.filter(candidates(t), lambda s: _bin(randomness(s["hit"])) > top(s["hit"])))
-    every = F.concat(*[F.col(f"secrets.{k}") for k in KINDS[:3]], F.col("_random"))
-    return out.withColumn("secret_spans", in_order(every)).drop("_random")
+    held = docs.select(F.struct(*graph.columns(docs)).alias("row"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    hits = held.select(F.explode(F.transform(candidates(F.col("text")), lambda s: s["hit"])).alias("hit"))
+    low = random_bins(hits.withColumn("p", randomness(F.col("hit"))), q)
+    bound = lambda hit: F.get(F.array(*[F.lit(low[k]) for k in sorted(low)]), length_class(hit))
+    random = F.filter(candidates(F.col("text")), lambda s: _bin(randomness(s["hit"])) >= bound(s["hit"]))
+    base = held.select("row", F.struct(*[c.alias(k) for k, c in base_spans(F.col("text")).items()]).alias("secrets"), random.alias("random"))
+    every = F.concat(*[F.col(f"secrets.{k}") for k in KINDS[:3]], F.col("random"))
+    return base.select(*graph.fields(docs, "secrets", "secret_spans"), "secrets", in_order(every).alias("secret_spans"))

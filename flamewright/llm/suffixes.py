@@ -46,7 +46,7 @@ class Kind(NamedTuple):
     length: int
     gram: int
     step: int
-    period: int
+    period: int  # at most 31: shifts are bits of an int
 
 
 #: Bytes: strings of 400.  Words: passages of over 50.
@@ -189,23 +189,23 @@ def samples(units: list[np.ndarray], parts: list[list], kind: Kind) -> tuple[np.
     text = np.searchsorted(begins, at, side="right") - 1
     chosen = np.isin((at - begins[text]) % v, cover(v))
     at, text = at[chosen], text[chosen]
-    shifts, lonely = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
+    shifts, lonely = np.zeros(len(at), np.int32), np.zeros(len(at), np.int32)
     for d in range(v):
         # A window that starts in the text before is no window of this one.
         own = wanted[at - d] & (at - d >= begins[text])
-        shifts |= own.astype(np.int64) << d
-        lonely |= (own & alone[at - d]).astype(np.int64) << d
+        shifts |= own.astype(np.int32) << d
+        lonely |= (own & alone[at - d]).astype(np.int32) << d
     some = shifts > 0
     at, text, shifts, lonely = at[some], text[some], shifts[some], lonely[some]
     around = np.concatenate((buf[at[:, None] + np.arange(1 - v, 0)], buf[at[:, None] + length - v + np.arange(v)]), axis=1) if len(at) else np.zeros((0, 2 * v - 1), buf.dtype)
     return text, at - begins[text], shifts, lonely, digests(buf, at, at + length - v), around
 
 
-_SAMPLES = "rk long, id long, p int, shifts long, lonely long, r0 long, r1 long, around binary"
+_SAMPLES = "rk long, id long, p int, shifts int, lonely int, r0 long, r1 long, around binary"
 
 
 def _emit_samples(kind):
-    schema = pa.schema([("rk", pa.int64()), ("id", pa.int64()), ("p", pa.int32()), ("shifts", pa.int64()), ("lonely", pa.int64()), ("r0", pa.int64()), ("r1", pa.int64()), ("around", pa.binary())])
+    schema = pa.schema([("rk", pa.int64()), ("id", pa.int64()), ("p", pa.int32()), ("shifts", pa.int32()), ("lonely", pa.int32()), ("r0", pa.int64()), ("r1", pa.int64()), ("around", pa.binary())])
 
     def run(batches):
         for batch in batches:
@@ -296,7 +296,7 @@ def _sort_buckets(kind, most: int = 1 << 16):
 def _hot_ties(members: DataFrame, kind: Kind) -> DataFrame:
     """Tied windows of members whose buckets are too large to gather: suffixes counted by rank, shift and symbols."""
     v, size = kind.period, 8 if kind.words else 1
-    bit = lambda d: F.call_function("shiftleft", F.lit(1).cast("long"), d)
+    bit = lambda d: F.call_function("shiftleft", F.lit(1), d)
     at = F.explode(F.filter(F.sequence(F.lit(0), F.lit(v - 1)), lambda d: F.col("shifts").bitwiseAND(bit(d)) != 0)).alias("d")
     each = members.select("rk", "id", "p", "lonely", "r0", "r1", "around", at)
     each = each.withColumn("text", F.substring("around", (v - 1 - F.col("d")) * size + 1, F.lit(v * size)))
@@ -316,11 +316,12 @@ def _picked(rows: DataFrame, chosen: DataFrame) -> DataFrame:
 def repeated_windows(keyed: DataFrame, kind: Kind = BYTES, hot: int = HOT) -> DataFrame:
     """(rk, id, parts): for every text of keyed(rk, id, text) with repeated windows, runs (p, n) of window starts."""
     found = graph.written(keyed.select("rk", "id", "text").mapInArrow(_emit_blocks(kind), _BLOCKS))
-    names = graph.written(found.groupBy("name").agg(F.sum("t").alias("c"), F.min("w0").alias("least"), F.max("w0").alias("most")).where("c > 1").selectExpr("name", "least <> most as several"))
+    names = graph.written(found.groupBy("name").agg(F.sum("t").alias("c")).where("c > 1").select("name"))
     shared = graph.written(found.join(names, "name"))
-    wholes = graph.written(shared.groupBy("w0", "w1").agg(F.sum("t").alias("c"), F.min(F.struct("rk", "id", "p", F.expr("cast(n / t as int) as n"))).alias("one"), F.first("several").alias("several")))
+    wholes = graph.written(shared.groupBy("w0", "w1").agg(F.sum("t").alias("c"), F.min(F.struct("rk", "id", "p", F.expr("cast(n / t as int) as n"))).alias("one"), F.first("name").alias("name")))
+    several = graph.written(wholes.groupBy("name").agg(F.count("*").alias("c")).where("c > 1").select("name"))
     full = shared.select("rk", "id", "p", "n", "w0", "w1").join(wholes.where("c > 1").select("w0", "w1"), ["w0", "w1"]).select("rk", "id", "p", "n")
-    edge = graph.written(wholes.where("several").groupBy("one.rk", "one.id").agg(F.collect_list(F.struct("one.p", "one.n", (F.col("c") == 1).alias("alone"))).alias("parts")))
+    edge = graph.written(wholes.join(several, "name").groupBy("one.rk", "one.id").agg(F.collect_list(F.struct("one.p", "one.n", (F.col("c") == 1).alias("alone"))).alias("parts")))
     members = graph.written(_picked(keyed.select("rk", "id", "text").dropDuplicates(["rk", "id"]), edge).select("rk", "id", "text", "parts").mapInArrow(_emit_samples(kind), _SAMPLES))
     large = graph.cut(members.groupBy("r0", "r1").agg(F.count("*").alias("c")).where(F.col("c") > hot).select("r0", "r1"))
     own = members

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from flamewright.llm import bagminhash, mixing, packing, pii, quality, queries, shingles, spans
+from flamewright.llm import bagminhash, mixing, packing, pii, quality, queries, secrets, shingles, spans
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -115,6 +115,26 @@ def test_mixing(spark, awkward, where):
         assert times == collections.Counter({r["doc_id"]: r["taken"] // r["size"] for r in got if r["taken"]})
 
 
+CLASHES = ("epochs", "threshold", "_s", "s", "h", "of", "times", "row", "kept", "n_words", "words", "lines", "pii", "pii_spans", "_k1", "k1", "terms", "base", "spans", "clean", "secrets", "secret_spans", "_random", "term", "a.b", "class_id", "node")
+
+
+def test_columns_whose_names_clash_pass_through(spark):
+    """No operator that returns documents loses, doubles or confuses a column for its name."""
+    words = " ".join(f"the word{i} of thing{i}" for i in range(30))
+    docs = [(i, f"{words} mail x{i}@y.org about item {i}", "s" + str(i % 2), *[f"{c}{i}" for c in CLASHES]) for i in range(6)]
+    docs.append((6, None, None, *[None for _ in CLASHES]))
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string, " + ", ".join(f"`{c}` string" for c in CLASHES))
+    same = lambda out: {tuple(r[c] for c in CLASHES) for r in out.collect()} <= {x[3:] for x in docs} and out.columns == df.columns
+    kept, mixed, clean, single = quality.keep(df), mixing.mix(df), pii.sanitise(df), bagminhash.deduplicate(df)
+    assert kept.count() == 6 and same(kept) and same(mixed) and mixed.count() and same(clean) and clean.count() == 7 and same(single) and single.count()
+    assert mixing.takes(df).count() == 7
+    assert all(r["text"] is None or "<email>" in r["text"] for r in clean.collect())
+    for out, new in ((quality.judge(df), {*quality.MEASURES, "base_failed", "kept"}), (pii.find_personal(df), {"pii", "pii_spans"}), (secrets.find_secrets(df), {"secrets", "secret_spans"})):
+        assert sorted(out.columns) == sorted(set(df.columns) | new) and out.count() == 7
+        left = [c for c in CLASHES if c not in new]
+        assert {tuple(r[c] for c in left) for r in out.collect()} == {tuple(x[3 + CLASHES.index(c)] for c in left) for x in docs}
+
+
 def test_mixing_empty(empty):
     assert rows(mixing.takes(empty)) == [] and rows(mixing.mix(empty)) == []
 
@@ -145,11 +165,13 @@ def test_packing(spark, awkward, empty):
 
     path = queries.tokenizer_path()
     tok = Tokenizer.from_file(path)
-    tok.encode_special_tokens = True
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     bins, least = check_packing(rows(docs), rows(packing.pack(docs, path)), tok)
     assert bins <= 1.02 * least + 1
     check_packing(rows(awkward), rows(packing.pack(awkward, path)), tok)
+    special = spark.createDataFrame([(1, "<|endoftext|>"), (2, "one<|endoftext|> two <|endoftext|>three <|endoftext"), (3, " <|endoftext|><|endoftext|>" * 700), (4, "plain")], "doc_id long, text string")
+    check_packing(rows(special), rows(packing.pack(special, path)), tok)
+    assert packing.encoder(path, special=True)("a<|endoftext|>")[-1] == 50256 and 50256 not in packing.encoder(path)("a<|endoftext|>")
     assert rows(packing.pack(empty, path)) == []
 
 
