@@ -14,7 +14,7 @@ from flamewright.llm.queries import tokenizer_path
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that no rule rejects."""
-    return quality.judge(docs).where("kept").select(*docs.columns)
+    return quality.keep(docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
