@@ -85,15 +85,17 @@ class Tree:
         self.node, self.branch = (flat // FAN).astype(np.uint16), (flat % FAN).astype(np.int64)
 
     def pairs(self, ids: np.ndarray):
-        """(ids' positions, node, branch) of the ways to ids, level by level, and where each level begins."""
+        """(ids' positions, node, branch) of the ways to ids below the root, level by level, and where each level begins."""
         n, first = self.depth[ids], self.first[ids]
-        who, at, levels = [np.arange(len(ids))], [first], [0, len(ids)]
-        while len(own := who[-1][n[who[-1]] > len(who)]):
-            at.append(first[own] + len(who))
+        who, at, levels = [], [], [0]
+        own = np.flatnonzero(n > 1)
+        while len(own):
             who.append(own)
+            at.append(first[own] + len(who))
             levels.append(levels[-1] + len(own))
-        at = np.concatenate(at)
-        return np.concatenate(who), self.node[at], self.branch[at], levels
+            own = own[n[own] > len(who) + 1]
+        at = np.concatenate([np.zeros(0, np.int64), *at])
+        return np.concatenate([np.zeros(0, np.int64), *who]), self.node[at], self.branch[at], levels
 
 
 def start(tree: Tree) -> dict[str, np.ndarray]:
@@ -155,15 +157,29 @@ def attend(p, given, own, real):
     return er + o @ p["wo"], (e, er, q, kw, vw, s, o)
 
 
+def _choices(z: np.ndarray, at, branch: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Log probabilities of branches (rows ``at`` of z, flattened) and the sums of exp(z), which replaces z."""
+    np.minimum(z, np.float32(60), out=z)
+    log = z.reshape(-1, FAN)[at, branch].astype(np.float64)
+    np.exp(z, out=z)
+    sums = z @ _FANS.astype(z.dtype, copy=False)
+    log -= np.log(np.maximum(sums.ravel()[at], 1e-30))
+    return log, sums
+
+
 def descend(node, tree: Tree, h: np.ndarray, t: np.ndarray, back: bool = False):
     """Log probability of each id of t given the states h; with back also the gradients of minus its mean: by h, (nodes, by their rows).
 
-    Pairs (position, node of the way) are ordered by node and multiplied in groups of one node each.
+    All positions pass the root; pairs (position, node further down) are ordered by node and multiplied in groups of one node each.
     """
+    first, every = tree.branch[tree.first[t]], np.arange(len(t))
+    top = h @ node[0, :WIDTH]
+    top += node[0, WIDTH]
+    out, top_sums = _choices(top, every, first)
     owner, nodes, branch, levels = tree.pairs(t)
     order = np.argsort(nodes, kind="stable")
     nodes, branch, who = nodes[order], branch[order], owner[order]
-    run = np.flatnonzero(np.concatenate(([True], nodes[1:] != nodes[:-1])))
+    run = np.flatnonzero(np.concatenate((np.ones(min(1, len(nodes)), dtype=bool), nodes[1:] != nodes[:-1])))
     size = np.diff(np.append(run, len(nodes)))
     groups = -(-size // _GROUP)
     ahead = np.cumsum(groups) - groups
@@ -175,33 +191,30 @@ def descend(node, tree: Tree, h: np.ndarray, t: np.ndarray, back: bool = False):
     x = x.reshape(total, _GROUP, WIDTH + 1)
     w = node[np.repeat(nodes[run], groups)]
     z = x @ w
-    np.minimum(z, np.float32(60), out=z)
-    flat = z.reshape(-1, FAN)
-    log = flat[slot, branch].astype(np.float64)
-    np.exp(z, out=z)
-    sums = z @ _FANS.astype(z.dtype, copy=False)
-    log -= np.log(np.maximum(sums.ravel()[slot], 1e-30))
-    out = np.bincount(who, log, len(t))
+    log, sums = _choices(z, slot, branch)
+    out += np.bincount(who, log, len(t))
     if not back:
         return out
-    sums *= len(t)
-    z /= np.maximum(sums, np.float32(1e-30))[..., None]
-    flat[slot, branch] -= h.dtype.type(1 / len(t))
+    n = h.dtype.type(1 / len(t))
+    top /= np.maximum(top_sums * len(t), np.float32(1e-30))[:, None]
+    top[every, first] -= n
+    dh = top @ node[0, :WIDTH].T
+    z /= np.maximum(sums * len(t), np.float32(1e-30))[..., None]
+    flat = z.reshape(-1, FAN)
+    flat[slot, branch] -= n
     pad = np.ones(len(flat), dtype=bool)
     pad[slot] = False
     flat[pad] = 0
     dx = (z @ w[:, :WIDTH].transpose(0, 2, 1)).reshape(-1, WIDTH)
     place = np.empty(len(slot), dtype=np.int64)
     place[order] = slot
-    dh = dx[place[: len(t)]]
-    for lo, hi in zip(levels[1:], levels[2:]):
+    for lo, hi in zip(levels, levels[1:]):
         dh[owner[lo:hi]] += dx[place[lo:hi]]
     dw = x.transpose(0, 2, 1) @ z
-    several = np.flatnonzero(groups > 1)
-    of_nodes = dw[ahead]
-    for k in several:
-        of_nodes[k] = dw[ahead[k] : ahead[k] + groups[k]].sum(axis=0)
-    return out, dh, nodes[run], of_nodes
+    of_nodes = np.concatenate((np.concatenate((h.T @ top, top.sum(axis=0)[None, :]))[None], dw[ahead]))
+    for k in np.flatnonzero(groups > 1):
+        of_nodes[k + 1] = dw[ahead[k] : ahead[k] + groups[k]].sum(axis=0)
+    return out, dh, np.concatenate((np.zeros(1, nodes.dtype), nodes[run])), of_nodes
 
 
 def gradients(p, tree, given, target, own, real):
