@@ -17,53 +17,54 @@ from flamewright.sources import traces
 FRAME = inspect.FRAME_EVENT
 
 
-def x(name, ts, dur=None, tid=1, pid=2, ph="X", **more):
+def x(name, ts, dur=None, tid=11, pid=40, ph="X", **more):
     e = {"name": name, "ph": ph, "ts": ts, "tid": tid, "pid": pid, "cat": "devtools.timeline", **more}
     return e if dur is None else {**e, "dur": dur}
 
 
-def chunk(ts, nodes, samples, deltas, pid=2):
+def chunk(ts, nodes, samples, deltas, pid=40):
     listed = [{"id": i, "callFrame": {"functionName": n, "url": u}, "parent": p} for i, n, u, p in nodes]
-    return {"name": "ProfileChunk", "ph": "P", "ts": ts, "pid": pid, "tid": 65, "args": {"data": {"cpuProfile": {"nodes": listed, "samples": samples}, "timeDeltas": deltas}}}
+    return {"name": "ProfileChunk", "ph": "P", "ts": ts, "pid": pid, "tid": 91, "args": {"data": {"cpuProfile": {"nodes": listed, "samples": samples}, "timeDeltas": deltas}}}
 
 
 def frame(a, b):
-    return [x(FRAME, a, tid=7, ph="b"), x(FRAME, b, tid=7, ph="e")]
-
-
-URL = "http://x/src/weapon.ts"
-MEDIUM = [
-    {"name": "thread_name", "cat": "__metadata", "ph": "M", "ts": 0, "pid": 1, "tid": 0},
-    {"name": "Profile", "ph": "P", "ts": 1_000_000, "pid": 2, "tid": 65},
-    x("RunTask", 1_000_000, 600_000), x("MajorGC", 1_002_000, 5_000), x("DroppedFrame", 1_003_000, tid=7, ph="I"), x("DroppedFrame", 1_004_000, tid=7, ph="I"),
-    x("FunctionCall", 1_005_000, 40_000, args={"data": {"functionName": "handleInput"}}), x("WebSocketSend", 1_006_000, 500, args={"data": {"msg": "player_shoot"}}),
-    x("RunTask", 1_008_000, 60_000), x("MinorGC", 1_010_000, 1_000), x("V8.GCScavenger", 1_011_000, 500),
-    *frame(1_000_000, 1_016_000), *frame(1_017_000, 1_037_000), *frame(1_050_000, 1_070_000), x("RunTask", 1_050_000, 20_000),
-    chunk(1_060_000, [(1, "(root)", "", None), (2, "shoot", URL, 1), (3, "update", "http://x/src/game.ts", 1)], [2, 3, 2, 3, 2, 3, 2], [5000] * 7),
-    *frame(1_100_000, 1_120_000), chunk(1_100_000, [(1, "(root)", "", None), (4, "shoot", URL, 1)], [4, 4, 4, 4], [4000, 3000, -1000, 4000]),
-    x("RunTask", 1_100_000, 80_000, tid=3), *frame(1_200_000, 1_250_000), x("MinorGC", 1_200_000, 2_000), x("CppGC.MarkAtomicPrologue", 1_200_500, 300),
+    return [x(FRAME, a, tid=23, ph="b"), x(FRAME, b, tid=23, ph="e")]
+
+
+PASTRY, ICING = "http://oven.test/js/pastry.js", "http://oven.test/js/icing.js"
+#: A bakery's page: two and a bit seconds, main thread 11, one long task, a profile of three functions.
+BAKERY = [
+    {"name": "process_labels", "cat": "__metadata", "ph": "M", "ts": 0, "pid": 31, "tid": 0},
+    x("RunTask", 7_000_000, 30_000), x("FunctionCall", 7_004_000, 9_000, args={"data": {"functionName": "kneadDough"}}), x("MinorGC", 7_015_000, 1_200),
+    x("RunTask", 7_050_000, 75_000, tid=12), *frame(7_100_000, 7_116_000), *frame(7_116_500, 7_150_500),
+    x("RunTask", 7_200_000, 520_000), x("Layout", 7_230_000, 14_000), x("FunctionCall", 7_260_000, 70_000, args={"data": {"functionName": "bakeLoaf"}}),
+    {"name": "Profile", "ph": "P", "ts": 7_290_000, "pid": 40, "tid": 91}, *frame(7_300_000, 7_308_000), x("WebSocketReceive", 7_301_000, 250, args={"data": {"note": "oven_ready"}}),
+    chunk(7_310_000, [(10, "(root)", "", None), (11, "proof", PASTRY, 10), (12, "glaze", ICING, 11)], [11, 12, 12, 11, 12], [1000, 2000, 3000, 4000, -500]),
+    chunk(7_350_000, [(13, "proof", PASTRY, 12)], [13, 13, 11], [2500, 1500, 6000]),
+    x("MajorGC", 7_400_000, 22_000), x("V8.GCScavenger", 7_450_000, 800), x("CppGC.Sweep", 7_460_000, 450), x("DroppedFrame", 7_500_000, tid=23, ph="I"),
+    *frame(7_900_000, 7_990_000), x("RunTask", 8_000_000, 55_000), x("DroppedFrame", 8_020_000, tid=23, ph="I"), x("MinorGC", 8_030_000, 3_000), x("RunTask", 9_100_000, 5_000),
 ]
 
 
 @pytest.fixture(scope="module")
 def folder(tmp_path_factory):
     d = tmp_path_factory.mktemp("traces")
-    (d / "medium.json").write_text(json.dumps({"traceEvents": MEDIUM, "metadata": {"cpuThrottling": 4, "hostDPR": 2}}))
-    with gzip.open(d / "medium.json.gz", "wt") as f:
-        f.write(json.dumps({"traceEvents": MEDIUM}))
-    (d / "other.json").write_text(json.dumps({"traceEvents": [e for e in MEDIUM if e["name"] != "MajorGC"] + [x("TracingStartedInBrowser", 1_000_001, ph="I", args={"data": {"frames": [{"url": ""}, {"url": "about:blank"}, {"url": "http://page/"}]}})]}))
+    (d / "bakery.json").write_text(json.dumps({"traceEvents": BAKERY, "metadata": {"cpuThrottling": 6, "hostDPR": 1.5}}))
+    with gzip.open(d / "bakery.json.gz", "wt") as f:
+        f.write(json.dumps({"traceEvents": BAKERY}))
+    (d / "other.json").write_text(json.dumps({"traceEvents": [e for e in BAKERY if e["name"] != "MajorGC"] + [x("TracingStartedInBrowser", 7_000_001, ph="I", args={"data": {"frames": [{"url": ""}, {"url": "about:blank"}, {"url": "http://page/"}]}})]}))
     (d / "broken.txt").write_text("no trace")
     return str(d)
 
 
 @pytest.fixture(scope="module")
-def medium(spark, folder):
-    return traces.read_traces(spark, f"{folder}/medium.json").cache()
+def bakery(spark, folder):
+    return traces.read_traces(spark, f"{folder}/bakery.json").cache()
 
 
 @pytest.fixture(scope="module")
 def session(spark, folder):
-    return TraceSession.open(spark, f"{folder}/medium.json")
+    return TraceSession.open(spark, f"{folder}/bakery.json")
 
 
 def one(df):
@@ -76,14 +77,14 @@ def make(spark, tmp_path, events, name="t"):
     return traces.read_traces(spark, str(p))
 
 
-def test_reading(spark, folder, medium, tmp_path):
-    assert medium.count() == len(MEDIUM) and medium.agg(F.max("seq")).first()[0] == len(MEDIUM) - 1
-    assert [traces.trace_stem(p) for p in traces.list_traces(spark, folder)] == ["medium", "other"]
+def test_reading(spark, folder, bakery, tmp_path):
+    assert bakery.count() == len(BAKERY) and bakery.agg(F.max("seq")).first()[0] == len(BAKERY) - 1
+    assert [traces.trace_stem(p) for p in traces.list_traces(spark, folder)] == ["bakery", "other"]
     assert traces.list_traces(spark, folder)[0].endswith(".gz")
     both = traces.read_folder(spark, folder)
-    assert {r.trace_id: r["count"] for r in both.groupBy("trace_id").count().collect()} == {"medium": len(MEDIUM), "other": len(MEDIUM)}
-    meta = one(traces.read_metadata(spark, f"{folder}/medium.json", medium))
-    assert meta["cpu_throttling"] == 4 and meta["page_url"] is None
+    assert {r.trace_id: r["count"] for r in both.groupBy("trace_id").count().collect()} == {"bakery": len(BAKERY), "other": len(BAKERY)}
+    meta = one(traces.read_metadata(spark, f"{folder}/bakery.json", bakery))
+    assert meta["cpu_throttling"] == 6 and meta["page_url"] is None
     assert traces.page_urls(traces.read_traces(spark, f"{folder}/other.json")).first().page_url == "http://page/"
     traces.save(both, str(tmp_path / "saved"))
     assert traces.load(spark, str(tmp_path / "saved")).count() == both.count()
@@ -101,43 +102,46 @@ def test_lenient_and_strict_fields(spark, tmp_path):
         traces.read_traces(spark, str(tmp_path / "bad.json")).collect()
 
 
-def test_time_base_and_main_thread(spark, medium, tmp_path):
-    c = one(timebase.context(medium))
-    assert (c["min_ts"], c["end_ts"], int(c["main_tid"])) == (1_000_000, 1_600_000, 1)
+def test_time_base_and_main_thread(spark, bakery, tmp_path):
+    c = one(timebase.context(bakery))
+    assert (c["min_ts"], c["end_ts"], int(c["main_tid"])) == (7_000_000, 9_105_000, 11)
     tie = make(spark, tmp_path, [x("RunTask", 1, 5, tid=9), x("RunTask", 2, 5, tid=4)])
     assert int(one(timebase.context(tie))["main_tid"]) == 4
     assert int(one(timebase.context(make(spark, tmp_path, [x("A", 1)])))["main_tid"]) == 0
 
 
-def test_anchor_priority(spark, medium, tmp_path):
-    a = one(timebase.find_anchor(medium, Matcher("shoot")))
-    assert (a["ts"], a["kind"], a["label"]) == (1_005_000, "cpu-profile", "shoot")
-    a = one(timebase.find_anchor(medium, Matcher("WEAPON")))
-    assert (a["ts"], a["kind"]) == (1_005_000, "cpu-profile")
-    a = one(timebase.find_anchor(medium, Matcher("handle")))
-    assert (a["ts"], a["kind"]) == (1_005_000, "FunctionCall")
-    a = one(timebase.find_anchor(medium, Matcher("player_")))
-    assert (a["ts"], a["kind"], a["label"]) == (1_006_000, "args", "player_shoot")
-    assert timebase.find_anchor(medium, Matcher("absent")).count() == 0
+def test_anchor_priority(spark, bakery, tmp_path):
+    # The profile starts at 7,290,000; proof is seen first after 1,000, glaze after 3,000.
+    a = one(timebase.find_anchor(bakery, Matcher("glaze")))
+    assert (a["ts"], a["kind"], a["label"]) == (7_293_000, "cpu-profile", "glaze")
+    a = one(timebase.find_anchor(bakery, Matcher("PASTRY.")))
+    assert (a["ts"], a["kind"], a["label"]) == (7_291_000, "cpu-profile", PASTRY)
+    a = one(timebase.find_anchor(bakery, Matcher("loaf")))
+    assert (a["ts"], a["kind"], a["label"]) == (7_260_000, "FunctionCall", "bakeLoaf")
+    a = one(timebase.find_anchor(bakery, Matcher("oven_")))
+    assert (a["ts"], a["kind"], a["label"]) == (7_301_000, "args", "oven_ready")
+    assert timebase.find_anchor(bakery, Matcher("absent")).count() == 0
     with pytest.raises(ValueError):
         Matcher("")
 
 
-def test_cpu_profile(medium):
-    own = {int(r.node_id): r.self_us for r in cpu.self_times(medium).collect()}
-    assert own == {2: 20_000, 3: 15_000, 4: 11_000}
-    win = {int(r.node_id): r.self_us for r in cpu.self_times(medium, Scope((1_000_000, 1_030_000))).collect()}
-    assert sum(win.values()) == 30_000
-    rows = cpu.matching_functions(medium, Matcher("shoot")).collect()
-    assert [r.self_us for r in rows] == [20_000, 11_000] and sum(r.pct for r in rows) == pytest.approx(31 / 46 * 100)
-    tree = cpu.call_tree(cpu.nodes(medium), cpu.self_times(medium), url=Matcher("weapon.ts")).orderBy("rank").collect()
-    assert [(r.depth, r.function, r.inclusive_us) for r in tree] == [(0, "(root)", 46_000), (1, "shoot", 20_000), (1, "shoot", 11_000)]
-    assert [r.line for r in cpu.folded(medium).orderBy("rank").collect()] == ["(root);shoot 20000", "(root);update 15000", "(root);shoot 11000"]
+def test_cpu_profile(bakery):
+    # A sample weighs its delta, falling ones nothing: proof (11) 1,000 + 4,000 + 6,000, glaze 2,000 + 3,000, proof (13) 2,500 + 1,500.
+    own = {int(r.node_id): r.self_us for r in cpu.self_times(bakery).collect()}
+    assert own == {11: 11_000, 12: 5_000, 13: 4_000}
+    # Starts of the samples: 7,291,000 and 1,000, 3,000, 6,000, 10,000 later; the second chunk's clock stands at 7,299,500 + 2,500.
+    win = {int(r.node_id): r.self_us for r in cpu.self_times(bakery, Scope((7_291_500, 7_302_000))).collect()}
+    assert win == {11: 4_000, 12: 5_000, 13: 2_500}
+    rows = cpu.matching_functions(bakery, Matcher("proof")).collect()
+    assert [r.self_us for r in rows] == [11_000, 4_000] and sum(r.pct for r in rows) == pytest.approx(75)
+    tree = cpu.call_tree(cpu.nodes(bakery), cpu.self_times(bakery), url=Matcher("icing.js")).orderBy("rank").collect()
+    assert [(r.depth, r.function, r.inclusive_us) for r in tree] == [(0, "(root)", 20_000), (1, "proof", 20_000), (2, "glaze", 9_000)]
+    assert [r.line for r in cpu.folded(bakery).orderBy("rank").collect()] == ["(root);proof 11000", "(root);proof;glaze 5000", "(root);proof;glaze;proof 4000"]
 
 
-def test_stray_samples(medium):
-    assert one(cpu.stray_samples(medium)) == {"trace_id": "medium", "stray": 0, "samples": 11}
-    assert one(cpu.stray_samples(medium, slack_us=-590_000))["stray"] > 0
+def test_stray_samples(bakery):
+    assert one(cpu.stray_samples(bakery)) == {"trace_id": "bakery", "stray": 0, "samples": 8}
+    assert one(cpu.stray_samples(bakery, slack_us=-300_000))["stray"] > 0
 
 
 def test_parent_cycles_and_several_roots(spark):
@@ -155,25 +159,29 @@ def test_deep_stacks_need_no_recursion_limit(spark):
     assert cpu.ancestor_paths(known).agg(F.max(F.size("path")), F.sum(F.size("path"))).first()[:] == (n, n * (n + 1) // 2)
 
 
-def test_frames_gc_and_long_tasks(medium):
-    f = one(inspect.frames(medium))
-    assert (f["count"], f["max_us"], f["p50_us"], f["dropped_frames"]) == (5, 50_000, 20_000, 2)
-    assert {r.group: (r["count"], r.total_us) for r in inspect.gc(medium).collect()} == {inspect.GC_GROUPS[0]: (1, 5_000), inspect.GC_GROUPS[1]: (3, 3_500), inspect.GC_GROUPS[2]: (1, 300)}
-    lt = one(inspect.gc_long_tasks(medium))
-    assert (lt["count"], lt["total_us"], lt["top_us"]) == (2, 660_000, [600_000, 60_000])
+def test_frames_gc_and_long_tasks(bakery):
+    # Frames of 16,000, 34,000, 8,000 and 90,000: the nearest rank of the half is place 1 + round(1.5) of 4.
+    f = one(inspect.frames(bakery))
+    assert (f["count"], f["max_us"], f["avg_us"], f["p50_us"], f["p99_us"], f["dropped_frames"]) == (4, 90_000, 37_000, 34_000, 90_000, 2)
+    assert {r.group: (r["count"], r.total_us) for r in inspect.gc(bakery).collect()} == {inspect.GC_GROUPS[0]: (1, 22_000), inspect.GC_GROUPS[1]: (3, 5_000), inspect.GC_GROUPS[2]: (1, 450)}
+    lt = one(inspect.gc_long_tasks(bakery))
+    assert (lt["count"], lt["total_us"], lt["top_us"]) == (2, 575_000, [520_000, 55_000])
 
 
-def test_delta_windows(medium):
-    w = timebase.windows_around(1_005_000)
-    assert w == {"pre": (405_000, 905_000), "shoot": (905_000, 1_105_000), "post": (1_105_000, 1_605_000)}
-    rows = {r.metric: r for r in delta.delta_rows(delta.window_stats(medium, w)).collect()}
+def test_delta_windows(bakery):
+    w = timebase.windows_around(7_301_000)
+    assert w == {"pre": (6_701_000, 7_201_000), "shoot": (7_201_000, 7_401_000), "post": (7_401_000, 7_901_000)}
+    rows = {r.metric: r for r in delta.delta_rows(delta.window_stats(bakery, w)).collect()}
     assert len(rows) == 13
-    shoot = {k: v.shoot for k, v in rows.items()}
-    assert (shoot["CPU samples"], shoot["frames"], shoot["dropped frames"], shoot["long tasks ≥50ms"], shoot["main busy (RunTask)"], shoot["JS (FunctionCall)"], shoot["GC (Major+Minor)"], shoot["GC count"]) == (46_000, 3, 2, 2, 680_000, 40_000, 6_000, 2)
-    assert (rows["frames"].post, rows["GC (Major+Minor)"].post, rows["GC count"].post, rows["CPU samples"].pre) == (1, 2_000, 1, 0)
-    same = delta.compare_windows(*[delta.delta_rows(delta.window_stats(medium, w))] * 2).collect()
+    # The long task starts at 7,200,000 and so counts before; only the major collection and the second call start during.
+    before = {k: v.pre for k, v in rows.items()}
+    assert (before["frames"], before["frame max"], before["long tasks ≥50ms"], before["main busy (RunTask)"], before["JS (FunctionCall)"], before["GC count"], before["CPU samples"]) == (2, 34_000, 1, 550_000, 9_000, 1, 0)
+    during = {k: v.shoot for k, v in rows.items()}
+    assert (during["frames"], during["dropped frames"], during["main busy (RunTask)"], during["JS (FunctionCall)"], during["GC (Major+Minor)"], during["GC count"], during["CPU samples"]) == (1, 0, 0, 70_000, 22_000, 1, 20_000)
+    assert (rows["frames"].post, rows["dropped frames"].post, rows["GC (Major+Minor)"].post, rows["CPU samples"].post) == (0, 1, 0, 0)
+    same = delta.compare_windows(*[delta.delta_rows(delta.window_stats(bakery, w))] * 2).collect()
     assert len(same) == 13 and all(r.diff_shoot == 0 and r.diff_delta == 0 for r in same)
-    assert one(delta.top_cpu(medium, w).where("win = 'shoot' and rank = 1"))["function"] == "shoot"
+    assert one(delta.top_cpu(bakery, w).where("win = 'shoot' and rank = 1"))["function"] == "proof"
 
 
 def stack_oracle(rows):
@@ -232,23 +240,23 @@ def test_scroll_reflow_layout_style_jank(spark, tmp_path):
     assert [(c.first, c.last, c.dropped, c.max_run_us) for c in j] == [(18, 18, 1, 0), (0, 0, 0, 200_000)]
 
 
-def test_inspectors(medium):
-    assert [r.name for r in inspect.names(medium, top=2).orderBy("rank").collect()] == ["RunTask", "FunctionCall"]
-    t = {int(r.tid): r for r in inspect.threads(medium).collect()}
-    assert t[1].runtask_us == 680_000 and t[7].top_event == FRAME
-    listed = inspect.events_list(medium, NameFilter(("RunTask",)), sort="dur").orderBy("rank").collect()
-    assert [r.dur_us for r in listed] == [600_000, 80_000, 60_000, 20_000] and listed[0].total == 4
-    line = inspect.timeline(medium, bucket_ms=100).orderBy("bucket").collect()
-    assert len(line) == 6 and sum(r.events for r in line) == medium.where("ts >= 1000000").count() and line[0].busy == 1.0
-    task = inspect.tasks(medium, top=1).first()
-    assert task.dur_us == 600_000 and task.top_function_call.name == "handleInput" and {c.name for c in task.children} >= {"MajorGC", "WebSocketSend"}
-    assert inspect.find(medium, Matcher("player_shoot")).first().hit == "player_shoot"
-    assert inspect.find(medium, Matcher("^msg$", regex=True)).count() == 1
-    assert inspect.find(medium, Matcher("null")).count() == 2
+def test_inspectors(bakery):
+    assert [r.name for r in inspect.names(bakery, top=2).orderBy("rank").collect()] == ["RunTask", "FunctionCall"]
+    t = {int(r.tid): r for r in inspect.threads(bakery).collect()}
+    assert t[11].runtask_us == 610_000 and t[12].runtask_us == 75_000 and t[23].top_event == FRAME
+    listed = inspect.events_list(bakery, NameFilter(("RunTask",)), sort="dur").orderBy("rank").collect()
+    assert [r.dur_us for r in listed] == [520_000, 75_000, 55_000, 30_000, 5_000] and listed[0].total == 5
+    line = inspect.timeline(bakery, bucket_ms=500).orderBy("bucket").collect()
+    assert len(line) == 5 and sum(r.events for r in line) == bakery.where("ts >= 7000000").count() and line[0].busy == 1.0 and line[4].runtask_us == 5_000
+    task = inspect.tasks(bakery, top=1).first()
+    assert task.dur_us == 520_000 and task.top_function_call.name == "bakeLoaf" and {c.name for c in task.children} >= {"MajorGC", "WebSocketReceive", "Layout"}
+    assert inspect.find(bakery, Matcher("oven_ready")).first().hit == "oven_ready"
+    assert inspect.find(bakery, Matcher("^note$", regex=True)).count() == 1
+    assert inspect.find(bakery, Matcher("glaze")).count() == 1
 
 
 def test_sections_and_envelopes(session):
-    o = Options(events="RunTask", function="shoot", find="weapon.ts", names=True, threads=True, stacks=True, task=True, timeline=True, jank=True, memory=True, input=True, async_=True, anchor="shoot", delta=True, calltree=True, gc=True, frames=True)
+    o = Options(events="RunTask", function="proof", find="pastry.js", names=True, threads=True, stacks=True, task=True, timeline=True, jank=True, memory=True, input=True, async_=True, anchor="glaze", delta=True, calltree=True, gc=True, frames=True)
     sections = session.sections(o)
     assert [k for k, _, _ in sections] == ["jank", "memory", "input", "async", "timeline", "task", "names", "threads", "events", "functions", "stacks", "calltree", "gc", "frames", "find", "delta"]
     got = json.loads(blocks.envelope(session.name, sections))["sections"]
@@ -261,21 +269,21 @@ def test_sections_and_envelopes(session):
 
 
 def test_reports(spark, folder, tmp_path):
-    path = f"{folder}/medium.json"
+    path = f"{folder}/bakery.json"
     md = cli.run(spark, [path, "--compare", f"{folder}/other.json"])
-    assert "## Overview" in md and "**CPU Throttle**: 4x" in md and "## Comparison: medium (A) vs other (B)" in md and "### Notes" in md
+    assert "## Overview" in md and "**CPU Throttle**: 6x" in md and "## Comparison: bakery (A) vs other (B)" in md and "### Notes" in md
     page = cli.run(spark, [path, "--html"])
     assert page.startswith("<!doctype html>") and "<svg" in page and "<script" not in page
     assert json.loads(cli.run(spark, [path, "--worst", "--json"]))["sections"]["events"]
-    assert cli.run(spark, [path, "--flame"]).splitlines()[0] == "(root);shoot 20000"
-    merged = json.loads(cli.run(spark, [path, "--compare", f"{folder}/other.json", "--anchor", "shoot", "--delta", "--json"]))
+    assert cli.run(spark, [path, "--flame"]).splitlines()[0] == "(root);proof 11000"
+    merged = json.loads(cli.run(spark, [path, "--compare", f"{folder}/other.json", "--anchor", "oven_ready", "--delta", "--json"]))
     assert len(merged["compare"]) == 13 and {r["metric"]: r["diff_shoot"] for r in merged["compare"]}["GC count"] == -1
-    assert cli.run(spark, [folder]) == "medium\nother\n"
+    assert cli.run(spark, [folder]) == "bakery\nother\n"
 
 
 def test_repl(spark, folder):
-    r = cli.Repl(spark, f"{folder}/medium.json")
-    assert r.answer("quit") is None and f"{len(MEDIUM)} events" in r.answer("status")
+    r = cli.Repl(spark, f"{folder}/bakery.json")
+    assert r.answer("quit") is None and f"{len(BAKERY)} events" in r.answer("status")
     assert "Duration stats" in r.answer("stats RunTask") and "# gc" in r.answer("gc --csv")
     assert r.answer("throttle 3") == "throttle = 3x\n" and r.answer("nonsense").startswith("? unknown")
     assert cli.words("find 'a b' \"c\\\"d\" e\\ f") == ["find", "a b", 'c"d', "e f"]
@@ -288,12 +296,12 @@ def test_chart_decimation():
     assert len(got) == 700 and got[0] == points[0] and got[-1] == points[-1]
 
 
-def test_live_timeline(spark, tmp_path, medium):
+def test_live_timeline(spark, tmp_path, bakery):
     from flamewright.streaming import live
 
-    medium.coalesce(1).write.json(str(tmp_path / "in"))
+    bakery.coalesce(1).write.json(str(tmp_path / "in"))
     q = live.live_timeline(live.read_events(spark, str(tmp_path / "in"))).writeStream.outputMode("complete").format("memory").queryName("live").start()
     q.processAllAvailable()
     rows = spark.sql("select * from live").collect()
     q.stop()
-    assert sum(r.events for r in rows) == medium.count() and sum(r.dropped for r in rows) == 2 and sum(r.runtask_us for r in rows) == 760_000
+    assert sum(r.events for r in rows) == bakery.count() and sum(r.dropped for r in rows) == 2 and sum(r.runtask_us for r in rows) == 685_000
