@@ -9,7 +9,7 @@ import time
 
 from pyspark.sql import SparkSession
 
-from flamewright.plans import catalog
+from flamewright.plans import catalog, catalog_sections  # noqa: F401  (registers its queries in catalog)
 
 
 def main() -> None:

@@ -4,7 +4,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from flamewright.plans import catalog
+from flamewright.plans import catalog, catalog_sections  # noqa: F401
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -45,6 +45,6 @@ def test_children_of_every_thread(spark, sf):
                 key = (t.trace_id, int(t.tid), t.seq, k.name)
                 n, total = want.get(key, (0, 0.0))
                 want[key] = (n + 1, total + k.dur)
-    got = catalog.QUERIES["interval_children_all_threads"](spark, sf).collect()
+    got = catalog.QUERIES["interval_children"](spark, sf).collect()
     assert {(r.trace_id, r.tid, r.task, r.name): (r["count"], r.total) for r in got} == want
     assert len({r.tid for r in got}) == 8
