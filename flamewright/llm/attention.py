@@ -498,6 +498,7 @@ def score(docs: DataFrame, tokenizer: str, head_words: int = HEAD_WORDS) -> Data
     head = {r.word.encode(): math.log10(r.c + 0.5) - den for r in words.where(F.col("c") * head_words >= n).toLocalIterator()}  # at most head_words
     every = table.where(F.col("part") != _COUNTS).select("doc_id", "text", "ids", "part")
     scored = graph.written(every.mapInArrow(_score(p, tree, head, den), _SCORED))
+    graph.release(table)
     rare = words.where(F.col("c") * head_words < n)
     tails = scored.select("rid", F.explode(F.arrays_zip("tail", "times")).alias("x")).select("rid", F.col("x.tail").alias("word"), F.col("x.times").alias("k"))
     more = tails.join(rare, "word").groupBy("rid").agg(F.sum("k").alias("known_tail"), F.sum(F.col("k") * (F.log10(F.col("c") + 0.5) - math.log10(0.5))).alias("base_tail"))

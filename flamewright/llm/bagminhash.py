@@ -10,8 +10,9 @@ the signature take about one draw per shingle.
 
 Defined cases: null text counts as empty; texts without words are one class; repeated rows and
 equal word sequences share a class; rows with a null doc_id get the class of their words (null when no
-row with these words has an id); rows that share a doc_id share its class; extra columns are ignored;
-an empty table gives no rows.
+row with these words has an id); rows that share a doc_id share its class; ties: a pair at the threshold is linked, a class is named by its
+least doc_id; very long texts are signed and compared whole (one text and about 100 bytes a word in memory); extra columns are ignored in
+``near_classes`` and kept in ``deduplicate``, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -6,8 +6,9 @@ least a.  Two texts agree in a sample with probability sum(min S)/sum(max S), th
 The gamma variates come from a table of 65,536 quantiles; a sample keeps 16 bits of its pair.
 
 Defined cases: null text is empty; texts without words share one fingerprint; equal texts have equal fingerprints;
-documents are ordered by descending doc_id, null ids last, ties by text; repeated rows follow one another; extra columns are
-ignored; an empty table gives no rows.
+documents are ordered by descending doc_id, null ids last, ties by text; repeated rows follow one another; of very long texts the terms are
+drawn in slices of SLICE, so that the draws never take more than 150 MB (the text and 16 bytes a word are held); extra columns are
+ignored whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ from . import graph
 from .shingles import keys, weighted
 
 SAMPLES = 64
+#: Terms drawn at once.
+SLICE = 1 << 18
 _TABLE: dict[str, np.ndarray] = {}
 
 
@@ -39,6 +42,16 @@ def fingerprints(texts: list[bytes], samples: int = SAMPLES) -> np.ndarray:
     out = np.full((len(texts), samples), 0xFFFF, dtype=np.uint16)
     if not len(h):
         return out
+    low = np.full((len(texts), samples), np.iinfo(np.uint64).max)
+    for a in range(0, len(h), SLICE):
+        _gather(low, doc[a : a + SLICE], h[a : a + SLICE], count[a : a + SLICE], samples)
+    own = np.unique(doc)
+    out[own] = (low[own] & np.uint64(0xFFFF)).astype(np.uint16)
+    return out
+
+
+def _gather(low: np.ndarray, doc: np.ndarray, h: np.ndarray, count: np.ndarray, samples: int) -> None:
+    """Lower each text's draws to the least ones of its terms; doc is sorted."""
     # Terms that several texts share with one multiplicity are drawn once.
     order = np.lexsort((count, h))
     new = np.concatenate(([True], (h[order][1:] != h[order][:-1]) | (count[order][1:] != count[order][:-1])))
@@ -50,14 +63,16 @@ def fingerprints(texts: list[bytes], samples: int = SAMPLES) -> np.ndarray:
         best[a : a + 1024] = _draws(term[a : a + 1024], times[a : a + 1024], samples)
     starts = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1])))
     ends = np.append(starts[1:], len(doc))
-    # A few texts at a time, so that the rows gathered stay in the cache.
+    # A few texts at a time, so that the rows gathered stay in the cache; a long text a part at a time.
     a = 0
     while a < len(starts):
         z = max(a + 1, int(np.searchsorted(ends, starts[a] + 1024, side="right")))
-        low = np.minimum.reduceat(best.take(which[starts[a] : ends[z - 1]], axis=0), starts[a:z] - starts[a], axis=0)
-        out[doc[starts[a:z]]] = (low & np.uint64(0xFFFF)).astype(np.uint16)
+        for lo in range(starts[a], ends[z - 1], 1 << 15):
+            hi = min(lo + (1 << 15), ends[z - 1])
+            cut = np.maximum(starts[a:z], lo) - lo if z > a + 1 else np.zeros(1, np.int64)
+            least = np.minimum.reduceat(best.take(which[lo:hi], axis=0), cut, axis=0)
+            low[doc[starts[a:z]]] = np.minimum(low[doc[starts[a:z]]], least)
         a = z
-    return out
 
 
 def _draws(term: np.ndarray, times: np.ndarray, samples: int) -> np.ndarray:
@@ -162,12 +177,14 @@ def compare_with_next(docs: DataFrame, samples: int = SAMPLES, buckets: int | No
     firsts = sorted((r.bucket, r.first) for r in dealt.groupBy("bucket").agg(F.max("doc_id").alias("first")).collect())  # one row a range
     if not firsts:
         return spark.createDataFrame([], OUT)
-    before = {b: firsts[k - 1][0] for k, (b, _) in enumerate(firsts)}
-    is_first = F.lit(False)
-    for b, first in firsts:
-        is_first = is_first | ((F.col("bucket") == b) & F.col("doc_id").eqNullSafe(F.lit(first).cast("long")))
-    target = F.element_at(F.create_map(*[F.lit(x) for kv in before.items() for x in kv]), F.col("bucket"))
-    ghosts = F.when(is_first, F.array(F.struct(F.col("bucket").alias("b"), F.lit(False).alias("ghost")), F.struct(target.alias("b"), F.lit(True).alias("ghost")))).otherwise(F.array(F.struct(F.col("bucket").alias("b"), F.lit(False).alias("ghost"))))
+    # By range: its first id, and the range ahead of it among those that hold rows (of the first: the last), which also gets that document.
+    first, ahead = [None] * (len(cuts) + 2), [0] * (len(cuts) + 2)
+    for k, (b, i) in enumerate(firsts):
+        first[b], ahead[b] = i, firsts[k - 1][0]
+    at = lambda values, kind: F.get(F.array(*[F.lit(v).cast(kind) for v in values]), F.col("bucket"))
+    copies = [F.struct(F.col("bucket").alias("b"), F.lit(False).alias("ghost")), F.struct(at(ahead, "int").alias("b"), F.lit(True).alias("ghost"))]
+    ghosts = F.when(F.col("doc_id").eqNullSafe(at(first, "long")), F.array(*copies)).otherwise(F.array(copies[0]))
     spread = dealt.select(F.explode(ghosts).alias("g"), "doc_id", "text").select("g.b", "g.ghost", "doc_id", "text")
-    ordered = spread.repartition(n, "b").sortWithinPartitions("b", "ghost", F.col("doc_id").desc_nulls_last(), "text")
+    # A range a task, by its number.
+    ordered = spread.repartitionById(len(cuts) + 2, F.col("b").cast("int")).sortWithinPartitions("b", "ghost", F.col("doc_id").desc_nulls_last(), "text")
     return ordered.mapInArrow(_compare(samples), OUT)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.lineage import checkpoint_dir, cut
 
-__all__ = ["checkpoint_dir", "columns", "components", "cut", "fields", "small_batches", "written"]
+__all__ = ["checkpoint_dir", "columns", "components", "cut", "fields", "release", "small_batches", "written"]
 
 
 def columns(df: DataFrame) -> list:
@@ -35,7 +35,21 @@ def written(df: DataFrame, by: str | None = None) -> DataFrame:
     path = f"{checkpoint_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(by) if by else writer).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._written_path = path
+    return table
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables that ``written`` made and nothing reads any more.
+
+    What was made of them must be written itself.  The driver is asked to collect garbage, which lets Spark delete the shuffle files of finished jobs.
+    """
+    jvm, spark = tables[0].sparkSession.sparkContext._jvm, tables[0].sparkSession
+    for t in tables:
+        path = jvm.org.apache.hadoop.fs.Path(t._written_path)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    jvm.System.gc()
 
 
 def components(links: DataFrame) -> DataFrame:

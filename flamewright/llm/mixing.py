@@ -19,6 +19,8 @@ WEIGHTS, SHARE, MOST = (5, 2, 1), 1.5, 2.0
 BITS, HASH_BITS = 12, 60
 #: Sources that may be broadcast; a longer table is joined by shuffle.
 BROADCAST_ROWS = 20_000
+#: Sources ordered by one task.
+RANGE_ROWS = 100_000
 
 
 def size_of(text: Column) -> Column:
@@ -30,22 +32,36 @@ def hash_of(doc_id: Column, text: Column) -> Column:
     return F.shiftrightunsigned(F.xxhash64(doc_id, text), 64 - HASH_BITS)
 
 
+def _dealt(df: DataFrame, *order: Column) -> tuple[DataFrame, Column]:
+    """df in ranges of the order, of RANGE_ROWS rows on average, with the range's number as ``_range``; and the order."""
+    return graph.cut(df.repartitionByRange(1 + df.count() // RANGE_ROWS, *order).withColumn("_range", F.spark_partition_id())), order
+
+
+def _before(dealt: DataFrame, order, **values: Column) -> DataFrame:
+    """dealt with the sum of each value over all rows before the row: inside its range, and over the ranges before it."""
+    inside = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    sums = dealt.groupBy("_range").agg(*[F.sum(v).alias(f"_sum_{k}") for k, v in values.items()])
+    ranges = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # over one row a range
+    ahead = sums.select("_range", *[F.coalesce(F.sum(f"_sum_{k}").over(ranges), F.lit(0)).alias(f"_ahead_{k}") for k in values])
+    out = dealt.join(F.broadcast(ahead), "_range")
+    return out.withColumns({k: F.col(f"_ahead_{k}") + F.coalesce(F.sum(v).over(inside), F.lit(0)) for k, v in values.items()}).drop(*[f"_ahead_{k}" for k in values])
+
+
 def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
     """(source, source_size, target): sizes has one row a source.
 
     Resharing the excess by weight ends at one fill level: target = min(most * size, level * weight).  With the
     sources in order of most * size / weight, the level is the largest (budget left) / (weight left).
     """
-    rank = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last()))
-    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), ((rank - 1) % len(weights) + 1).cast("int"))
-    out = sizes.withColumn("_w", weight).withColumn("_cap", most * F.col("source_size"))
-    order = Window.orderBy(F.col("_cap") / F.col("_w"), F.col("source").asc_nulls_last())
-    whole = Window.partitionBy(F.lit(1))
-    budget = share * F.sum("source_size").over(whole)
-    before = F.coalesce(F.sum("_cap").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    left = F.sum("_w").over(order.rowsBetween(0, Window.unboundedFollowing))
-    level = F.max("_l").over(whole)
-    return out.withColumn("_l", (budget - before) / left).select("source", "source_size", F.least("_cap", level * F.col("_w")).alias("target"))
+    dealt, order = _dealt(sizes, F.col("source").asc_nulls_last())
+    ranked = _before(dealt, order, _rank=F.lit(1)).drop("_range")
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("_rank") % len(weights) + 1).cast("int"))
+    out = ranked.withColumn("_w", weight).withColumn("_cap", most * F.col("source_size")).drop("_rank")
+    dealt, order = _dealt(out, F.col("_cap") / F.col("_w"), F.col("source").asc_nulls_last())
+    total, weight = dealt.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.coalesce(F.sum("_w"), F.lit(0.0))).first()
+    filled = _before(dealt, order, _caps=F.col("_cap"), _ws=F.col("_w"))
+    level = filled.agg(F.max((share * total - F.col("_caps")) / (weight - F.col("_ws")))).first()[0]
+    return dealt.select("source", "source_size", F.least("_cap", F.lit(level or 0.0) * F.col("_w")).alias("target"))
 
 
 def thresholds(slim: DataFrame, wanted: DataFrame) -> DataFrame:

@@ -34,6 +34,7 @@ def keys(n: int, stream: int) -> np.ndarray:
 class Words:
     """Word hashes of a list of byte strings: ``doc`` (index of the text) and ``hash`` for each word."""
 
+    STRETCH = 1 << 20
     _powers: dict[str, np.ndarray] = {}
 
     def __init__(self, texts: list[bytes]):
@@ -47,11 +48,18 @@ class Words:
         start, end = edge[0::2], edge[1::2]
         self.start, self.end = start, end
         self.doc = np.searchsorted(self.begins, start, side="right") - 1
-        up, down = self.powers(len(buf) + 1)
-        with np.errstate(over="ignore"):
-            sums = np.zeros(len(buf) + 1, dtype=np.uint64)
-            np.cumsum(keys(256, 1)[buf] * up[: len(buf)], out=sums[1:])
-            self.hash = mix((sums[end] - sums[start]) * down[start])
+        self.hash = np.empty(len(start), dtype=np.uint64)
+        a = 0
+        while a < len(start):
+            # As many words as lie in STRETCH bytes, one at least, so that long texts take no more memory than their words do.
+            b = max(a + 1, int(np.searchsorted(end, start[a] + self.STRETCH, side="right")))
+            lo, hi = start[a], end[b - 1]
+            up, down = self.powers(hi - lo + 1)
+            with np.errstate(over="ignore"):
+                sums = np.zeros(hi - lo + 1, dtype=np.uint64)
+                np.cumsum(keys(256, 1)[buf[lo:hi]] * up[: hi - lo], out=sums[1:])
+                self.hash[a:b] = mix((sums[end[a:b] - lo] - sums[start[a:b] - lo]) * down[start[a:b] - lo])
+            a = b
         self.counts = np.bincount(self.doc, minlength=len(texts))
 
     @classmethod

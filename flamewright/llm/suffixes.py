@@ -318,20 +318,34 @@ def repeated_windows(keyed: DataFrame, kind: Kind = BYTES, hot: int = HOT) -> Da
     found = graph.written(keyed.select("rk", "id", "text").mapInArrow(_emit_blocks(kind), _BLOCKS))
     names = graph.written(found.groupBy("name").agg(F.sum("t").alias("c")).where("c > 1").select("name"))
     shared = graph.written(found.join(names, "name"))
+    graph.release(found, names)
     wholes = graph.written(shared.groupBy("w0", "w1").agg(F.sum("t").alias("c"), F.min(F.struct("rk", "id", "p", F.expr("cast(n / t as int) as n"))).alias("one"), F.first("name").alias("name")))
     several = graph.written(wholes.groupBy("name").agg(F.count("*").alias("c")).where("c > 1").select("name"))
-    full = shared.select("rk", "id", "p", "n", "w0", "w1").join(wholes.where("c > 1").select("w0", "w1"), ["w0", "w1"]).select("rk", "id", "p", "n")
+    full = graph.written(shared.select("rk", "id", "p", "n", "w0", "w1").join(wholes.where("c > 1").select("w0", "w1"), ["w0", "w1"]).select("rk", "id", "p", "n"))
     edge = graph.written(wholes.join(several, "name").groupBy("one.rk", "one.id").agg(F.collect_list(F.struct("one.p", "one.n", (F.col("c") == 1).alias("alone"))).alias("parts")))
+    graph.release(shared, wholes, several)
     members = graph.written(_picked(keyed.select("rk", "id", "text").dropDuplicates(["rk", "id"]), edge).select("rk", "id", "text", "parts").mapInArrow(_emit_samples(kind), _SAMPLES))
-    large = graph.cut(members.groupBy("r0", "r1").agg(F.count("*").alias("c")).where(F.col("c") > hot).select("r0", "r1"))
-    own = members
-    if large.count():  # at most the members over ``hot``
-        own = members.join(large, ["r0", "r1"], "left_anti")
-    n = int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tied = graph.written(_tied(members, kind, hot))
+    parts = graph.written(full.unionByName(tied).groupBy("rk", "id").agg(F.collect_set(F.struct("p", "n")).alias("parts")))
+    graph.release(edge, members, tied, full)
+    return parts
+
+
+def _tied(members: DataFrame, kind: Kind, hot: int) -> DataFrame:
+    """(rk, id, p, n): windows of the members that tie with another."""
+    # Buckets are counted first by as many leading bits of their rank as leave 1/64 of ``hot`` members a group on average, then, in large groups, each.
+    bits = max(1, min(62, 6 + int(members.count() // hot).bit_length()))
+    group = F.shiftrightunsigned("r0", 64 - bits)
+    crowded = graph.cut(members.groupBy(group.alias("g")).agg(F.count("*").alias("c")).where(F.col("c") > hot).select("g"))
+    own, more = members, None
+    if crowded.count():  # at most the members over ``hot``
+        large = members.withColumn("g", group).join(crowded, "g").groupBy("r0", "r1").agg(F.count("*").alias("c")).where(F.col("c") > hot)
+        large = graph.cut(large.select("r0", "r1"))
+        if large.count():
+            own, more = members.join(large, ["r0", "r1"], "left_anti"), _hot_ties(members.join(large, ["r0", "r1"]), kind)
+    n = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     tied = own.repartition(n, "r0", "r1").sortWithinPartitions("r0", "r1").mapInArrow(_sort_buckets(kind), "rk long, id long, p int, n int")
-    if own is not members:
-        tied = tied.unionByName(_hot_ties(members.join(large, ["r0", "r1"]), kind))
-    return full.unionByName(tied).groupBy("rk", "id").agg(F.collect_set(F.struct("p", "n")).alias("parts"))
+    return tied.unionByName(more) if more is not None else tied
 
 
 def merged(parts, length: int) -> list[list[int]]:

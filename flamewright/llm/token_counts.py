@@ -5,8 +5,11 @@ documents begin.  The stream is cut in blocks of equal size; each block is searc
 one vectorised comparison; a prefix scan over the block summaries (ids, last separator) then gives the tokens that a block's
 first document has in the blocks before, and with them every document's length.
 
-Defined cases: null text is empty (0 tokens); repeated rows are counted each; empty tables or files give no rows; ids
-after the last separator of a file belong to no document and are returned with a null ordinal by ``scan``.
+Defined cases: null text is empty (0 tokens); special strings in a text are ordinary text, so a text never holds a separator; ties cannot arise;
+repeated rows are counted each; a null doc_id is kept; very long texts run over many blocks (a worker holds one text and its ids); extra
+columns are ignored whatever their names; empty tables or files give no rows; ids after the last separator of a file belong to no document and
+are returned with a null ordinal by ``scan``.  ``read_token_files`` reads a file as one value of at most 2 GB; longer streams come in several files or
+as a table of blocks.
 """
 
 from __future__ import annotations
