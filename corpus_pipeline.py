@@ -50,10 +50,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in order, each written to the shared folder and read again."""
+    """All stages in order, each written to the shared folder and read again; a stage's table goes when the next one is written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     base = f"{graph.checkpoint_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{base}/{k}")
         docs = spark.read.parquet(f"{base}/{k}")
+        if k:
+            done = hadoop.Path(f"{base}/{k - 1}")
+            done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(done, True)
     return docs
