@@ -92,11 +92,11 @@ def band_keys(sig: np.ndarray, bands: int = BANDS) -> np.ndarray:
 
 
 def _sign(slots: int, bands: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("words", pa.string()), ("bands", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("words", pa.string()), ("bands", pa.list_(pa.int64()))])
 
     def run(batches):
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1)
+            ids, texts, names = batch.column(0), batch.column(1), batch.column(2)
             for a, b in portions(byte_sizes(texts)):
                 own = [(t or "").encode() for t in texts.slice(a, b - a).to_pylist()]
                 doc, h, count = weighted(own)
@@ -106,7 +106,7 @@ def _sign(slots: int, bands: int):
                 words = [xxhash.xxh3_128_hexdigest(b" ".join(t.split())) for t in own]
                 flat = pa.array(keyed[some].ravel())
                 offsets = pa.array(np.concatenate(([0], np.cumsum(some * bands))).astype(np.int32))
-                yield pa.record_batch([ids.slice(a, b - a), pa.array(words), pa.ListArray.from_arrays(offsets, flat)], schema=schema)
+                yield pa.record_batch([ids.slice(a, b - a), names.slice(a, b - a), pa.array(words), pa.ListArray.from_arrays(offsets, flat)], schema=schema)
 
     return run
 
@@ -178,8 +178,8 @@ def _mixed(rows: DataFrame, classes: DataFrame) -> DataFrame:
     return held.join(several, ["band", "key"])
 
 
-def near_classes(docs: DataFrame, threshold: float = THRESHOLD, slots: int = SLOTS, bands: int = BANDS) -> DataFrame:
-    """(doc_id, class_id) for every row of docs(doc_id, text, ...); class_id is the least doc_id of its class.
+def _classes(docs: DataFrame, threshold: float, slots: int, bands: int) -> DataFrame:
+    """(doc_id, key, words, class_id) for every row of docs; key: hash of its text, words: digest of its words.
 
     Equal word sequences are one node.  In each band bucket every node is verified against two pivots (the least node, and the
     one that meets most nodes over all bands, in a family of near copies its centre).  Nodes of buckets that still hold several
@@ -187,7 +187,7 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD, slots: int = SLO
     family costs a star, not its square.
     """
     graph.small_batches(docs.sparkSession)
-    signed = graph.cut(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_sign(slots, bands), "doc_id long, words string, bands array<long>"))
+    signed = graph.cut(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.xxhash64(F.col("text").cast("string"))).mapInArrow(_sign(slots, bands), "doc_id long, key long, words string, bands array<long>"))
     named = signed.groupBy("words").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands"))
     nodes = named.where("node is not null and size(bands) > 0")
     bucket = nodes.select("node", F.posexplode("bands").alias("band", "key"))
@@ -206,11 +206,19 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD, slots: int = SLO
     if not more.isEmpty():
         classes = graph.components(links.unionByName(more))
     roots = named.select("words", "node").join(classes, "node", "left").select("words", F.coalesce("root", "node").alias("class_id"))
-    return signed.select("doc_id", "words").join(roots, "words", "left").select("doc_id", "class_id")
+    return signed.select("doc_id", "key", "words").join(roots, "words", "left")
+
+
+def near_classes(docs: DataFrame, threshold: float = THRESHOLD, slots: int = SLOTS, bands: int = BANDS) -> DataFrame:
+    """(doc_id, class_id) for every row of docs(doc_id, text, ...); class_id is the least doc_id of its class."""
+    return _classes(docs, threshold, slots, bands).select("doc_id", "class_id")
 
 
-def deduplicate(docs: DataFrame, **options) -> DataFrame:
-    """One row for each class (its least doc_id); rows with a null doc_id cannot be told apart and all stay."""
-    lead = near_classes(docs, **options).where("doc_id = class_id").select("doc_id").distinct()
+def deduplicate(docs: DataFrame, threshold: float = THRESHOLD, slots: int = SLOTS, bands: int = BANDS) -> DataFrame:
+    """One row for each class (its least doc_id).  Rows with a null doc_id go when a row with an id has their words, else one of each words stays."""
+    classes = _classes(docs, threshold, slots, bands)
+    lead = classes.where("doc_id = class_id").select("doc_id").distinct()
     kept = docs.join(lead, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id is null"))
+    held = docs.where("doc_id is null").select(F.struct(*graph.columns(docs)).alias("row"), F.xxhash64(F.col("text").cast("string")).alias("key"))
+    solo = classes.where("doc_id is null and class_id is null").groupBy("words").agg(F.min("key").alias("key")).select("key")
+    return kept.unionByName(held.join(solo, "key", "left_semi").dropDuplicates(["key"]).select(*graph.fields(docs)))

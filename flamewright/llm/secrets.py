@@ -6,11 +6,11 @@ look drawn at random: chi-squared uniformity over the alphabet, runs above and b
 correlation.  Their least p-value, corrected for being the least of three, is the string's p-value for "random": even between 0 and 1 for random strings,
 near 0 for others (less so for short ones, whose tests are weak).
 
-What is reported are strings that look random, so the false discoveries to control are ordinary strings among them.  For each length
-class a histogram over the whole corpus gives their number: above p = TOP only random strings are left, which tells how many
-random strings there are and how many of them lie above any bound; what else lies above it is false.  The bound is the least one, Q at least, above which
-the false ones are at most a share Q (an excess within two standard errors of chance does not count).  The p-values are only ever summed in a
-fixed histogram of length class and p bin.
+What is reported are strings that look random, so the false discoveries to control are ordinary strings among them.  For each class
+(length, and whether digits occur: words run together hold none) a histogram over the whole corpus gives their number: above p = TOP nearly only random
+strings are left, which tells how many random strings there are and how many of them lie above any bound; what else lies above it is false.  The bound is
+the least one, Q at least, above which the false ones are at most a share Q (an excess within half a standard error of chance does not count).  Ordinary strings
+that all three tests take for random are not seen by this estimate; tests measure what is left.  The p-values are only ever summed in a fixed histogram of class and p bin.
 
 Defined cases: null text is empty; equal strings get equal verdicts; repeated rows get equal results and count each; ties at the bound are reported;
 very long texts and runs are read whole, in linear time; extra columns pass through whatever their names, save that columns
@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from . import graph, spans
 
 KINDS = ("assign", "access", "hex", "random")
-MIN_LENGTH, Q, BINS, TOP = 20, 0.01, 400, 0.5
+MIN_LENGTH, Q, BINS, TOP = 20, 0.01, 400, 0.3
 #: Upper lengths of the classes.
 CLASSES = (24, 32, 40, 64, 128, 512, 2**31)
 
@@ -122,11 +122,12 @@ def _battery(v: Column, alphabet: Column, body: Column, size: Column) -> Column:
     return 1 - F.pow(1 - F.least(F.lit(1.0), F.greatest(F.lit(0.0), least)), 3)
 
 
-def length_class(hit: Column) -> Column:
+def class_of(hit: Column) -> Column:
+    """Number of the class by length and by whether digits occur."""
     out = F.lit(len(CLASSES) - 1)
     for k in reversed(range(len(CLASSES) - 1)):
         out = F.when(F.length(hit) <= CLASSES[k], k).otherwise(out)
-    return out
+    return 2 * out + F.when(hit.rlike("[0-9]"), 1).otherwise(0)
 
 
 def _bin(p: Column) -> Column:
@@ -140,17 +141,17 @@ def candidates(text: Column) -> Column:
 
 
 def random_bins(found: DataFrame, q: float = Q) -> dict[int, int]:
-    """For each length class the least bin whose strings are reported; found has hit and p."""
-    table = found.groupBy(length_class(F.col("hit")).alias("c"), _bin(F.col("p")).alias("b")).agg(F.count("*").alias("n"))
+    """For each class the least bin whose strings are reported; found has hit and p."""
+    table = found.groupBy(class_of(F.col("hit")).alias("c"), _bin(F.col("p")).alias("b")).agg(F.count("*").alias("n"))
     rows = table.collect()  # at most classes x BINS rows
     edge = lambda b: 10 ** ((b - BINS) / 20)
     least, top = (math.ceil(BINS + 20 * math.log10(x) - 1e-9) for x in (q, TOP))
     out = {}
-    for c in range(len(CLASSES)):
+    for c in range(2 * len(CLASSES)):
         hist = {r.b: r.n for r in rows if r.c == c}
         above = lambda b: sum(n for k, n in hist.items() if k >= b)  # noqa: B023, E731
         random = above(top) / (1 - edge(top))
-        false = lambda b: above(b) - random * (1 - edge(b)) - 2 * math.sqrt(above(b))  # noqa: B023, E731
+        false = lambda b: above(b) - random * (1 - edge(b)) - 0.5 * math.sqrt(above(b))  # noqa: B023, E731
         out[c] = next((b for b in range(least, top) if false(b) <= q * above(b)), top)
     return out
 
@@ -160,7 +161,7 @@ def find_secrets(docs: DataFrame, q: float = Q) -> DataFrame:
     held = docs.select(F.struct(*graph.columns(docs)).alias("row"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     hits = held.select(F.explode(F.transform(candidates(F.col("text")), lambda s: s["hit"])).alias("hit"))
     low = random_bins(hits.withColumn("p", randomness(F.col("hit"))), q)
-    bound = lambda hit: F.get(F.array(*[F.lit(low[k]) for k in sorted(low)]), length_class(hit))
+    bound = lambda hit: F.get(F.array(*[F.lit(low[k]) for k in sorted(low)]), class_of(hit))
     random = F.filter(candidates(F.col("text")), lambda s: _bin(randomness(s["hit"])) >= bound(s["hit"]))
     base = held.select("row", F.struct(*[c.alias(k) for k, c in base_spans(F.col("text")).items()]).alias("secrets"), random.alias("random"))
     every = F.concat(*[F.col(f"secrets.{k}") for k in KINDS[:3]], F.col("random"))

@@ -2,12 +2,14 @@
 
 import collections
 import hashlib
+import math
 import re
 import zlib
 
 import duckdb
 import numpy as np
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from flamewright.llm import bagminhash, mixing, packing, pii, quality, queries, secrets, shingles, spans
@@ -73,6 +75,65 @@ def test_disclosing_terms_and_masking(spark):
     assert clean[999] == "<name> stands alone" and "<email>" in clean[0] and "Zorblax" not in clean[0] and clean[100] == dict(plain)[100]
 
 
+SPACE, EDGE = r"\x20\x09-\x0D", r""".,;:!?()\[\]{}"'<>|"""
+PLAIN = re.compile(rf"[^{SPACE}{EDGE}](?:[^{SPACE}]*[^{SPACE}{EDGE}])?")
+
+
+def cut_out(text):
+    """(plain words, plain words ahead of each used span, [(entity, its span)]) of a text."""
+    order = sorted(((a, -b, f"{k}:{text[a:b].lower()}") for k, a, b in base_personal(text)))
+    at, parts, entities = 0, [], []
+    for a, b, entity in order:
+        if a >= at:
+            parts.append(text[at:a])
+            at = -b
+        entities.append((entity, len(parts) - 1))
+    words = [PLAIN.findall(p) for p in [*parts, text[at:]]]
+    ahead = [sum(map(len, words[: k + 1])) for k in range(len(parts))]
+    return [w for x in words for w in x], ahead, entities
+
+
+def terms_brute(texts, alpha=pii.ALPHA, context=pii.CONTEXT):
+    """The disclosing terms by the definition, in plain loops."""
+    contexts, df_v, df_t = collections.defaultdict(set), collections.Counter(), collections.Counter()
+    for text in texts:
+        plain, ahead, entities = cut_out(text)
+        df_t.update(set(plain))
+        df_v.update({e for e, _ in entities})
+        for e, k in entities:
+            near = plain[max(0, ahead[k] - context) : ahead[k]] + plain[ahead[k] : ahead[k] + context]
+            contexts[e].add(tuple(w for w in dict.fromkeys(near) if len(w) > 1))
+    found, n = set(), len(texts)
+    for e, own in contexts.items():
+        ic = math.log(n / df_v[e])
+        if ic > 0:
+            count = collections.Counter(t for c in own for t in c)
+            found |= {t for t, k in count.items() if math.log(k / len(own) * n / df_t[t]) >= alpha * ic - 1e-9}
+    return found
+
+
+def check_term_spans(docs, got):
+    texts = [r["text"] or "" for r in docs]
+    terms = terms_brute(texts)
+    want = collections.Counter()
+    for r, text in zip(docs, texts):
+        own = sorted(terms & set(cut_out(text)[0]), key=lambda t: (-len(t), t))
+        hits = regex.finditer(r"(?<![\p{L}\p{N}])(?:" + "|".join(map(regex.escape, own)) + r")(?![\p{L}\p{N}])", text) if own else ()
+        spans_ = [f"{k}:{a}:{b}" for k, a, b in base_personal(text)] + [f"term:{m.start()}:{m.end()}" for m in hits]
+        want[(r["doc_id"], ",".join(spans_))] += 1
+    assert collections.Counter((r["doc_id"], r["spans"]) for r in got) == want
+    return sum(k[1].count("term:") for k in want)
+
+
+def test_term_spans_match_the_definition(spark, sf, awkward):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    assert check_term_spans(rows(docs), rows(queries.op2_pii(spark, sf)))
+    check_term_spans(rows(awkward), personal(awkward))
+    odd = ["fine words all around here", "also fine words here", r"Zo\E(x met ann@x.org near Zo\E(x and Zo", r"later Zo\E(x alone", "staff-77 wrote bob@y.org, (staff-77) staff", "staff stays; staff-77 too", "two a@b.co c@d.ef 1.2.3.4 together twin", "over 4111 1111 1111 1111@x.org lap", ""] + [f"plain text {i} goes on fine here" for i in range(40)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(odd + odd[2:4])], "doc_id long, text string")
+    assert check_term_spans(rows(df), personal(df)) >= 6
+
+
 def mixed(docs):
     size = collections.Counter()
     for r in docs:
@@ -227,6 +288,10 @@ def test_near_classes(spark, awkward, empty):
         assert len(got) == df.count()
         assert {r["doc_id"]: r["class_id"] for r in got if r["doc_id"] is not None} == near_classes_brute(rows(df))
     assert rows(bagminhash.near_classes(empty)) == [] and rows(bagminhash.deduplicate(empty)) == []
+    single = rows(bagminhash.deduplicate(awkward.union(awkward.where("doc_id is null"))))
+    leads = set(near_classes_brute(rows(awkward)).values())
+    assert sorted(r["doc_id"] for r in single if r["doc_id"] is not None) == sorted(leads)
+    assert [r["text"] for r in single if r["doc_id"] is None] == ["solo text of no id"]
 
 
 def test_a_family_of_near_copies(spark):
@@ -272,6 +337,56 @@ def test_pipeline(spark, sf):
     assert got and {r["doc_id"] for r in got} <= set(classes.values())
 
 
+@pytest.mark.parametrize("kind", ["awkward", "empty", "nulls"])
+def test_pipeline_on_odd_tables(spark, awkward, empty, tmp_path, kind):
+    """Each stage's columns are those of documents, and the last returns pieces; no table breaks a stage."""
+    import corpus_pipeline as p
+
+    rows_of = {"awkward": awkward, "empty": empty, "nulls": awkward.select(*[F.lit(None).cast(t).alias(c) for c, t in awkward.dtypes])}[kind]
+    rows_of.write.parquet(str(tmp_path / "documents.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for _, stage in p.STAGES[:-1]:
+        assert stage(spark, docs, str(tmp_path)).columns == docs.columns
+    got = rows(p.run(spark, str(tmp_path)))
+    ids = {r["doc_id"] for r in rows(quality.keep(docs))}
+    assert {r["doc_id"] for r in got} <= ids and (kind == "awkward") == bool(got)
+    bins = collections.defaultdict(int)
+    for r in got:
+        bins[r["sequence_id"]] += r["length"]
+    assert all(n <= 1024 for n in bins.values())
+
+
+def test_pipeline_stages_match_brute_force(spark, sf):
+    """Personal data, mixing and packing in the pipeline, each on its predecessor's rows."""
+    from tokenizers import Tokenizer
+
+    import corpus_pipeline as p
+
+    single = p.drop_near_duplicates(spark, p.keep_quality(spark, spark.read.parquet(f"{sf}/documents.parquet"), sf), sf).cache()
+    clean = p.remove_personal_data(spark, single, sf).cache()
+    before, after = {r["doc_id"]: r for r in rows(single)}, {r["doc_id"]: r for r in rows(clean)}
+    assert before.keys() == after.keys()
+    found = {r["doc_id"]: r["spans"] for r in personal(single)}
+    for i, r in before.items():
+        at, out = 0, []
+        for a, b, k in sorted((int(x.split(":")[1]), -int(x.split(":")[2]), x.split(":")[0]) for x in found[i].split(",") if x):
+            if a >= at:
+                hit = r["text"][a:-b]
+                out += [r["text"][at:a], f"<{k}>" if k != "term" else "<name>" if hit[0].isupper() else "<term>"]
+                at = -b
+        want = "".join([*out, r["text"][at:]])
+        assert after[i]["text"] == want and after[i]["n_chars"] == len(want)
+    mixed_rows = p.mix_sources(spark, clean, sf).cache()
+    size, target = mixed(list(after.values()))
+    taken = collections.Counter()
+    for r in rows(mixed_rows):
+        assert r["text"] == after[r["doc_id"]]["text"]
+        taken[r["source"]] += len(WORD.findall(r["text"]))
+    longest = max(len(WORD.findall(r["text"])) for r in after.values())
+    assert all(abs(taken[x] - target[x]) <= longest for x in size)
+    check_packing(rows(mixed_rows), rows(p.pack_sequences(spark, mixed_rows, sf)), Tokenizer.from_file(queries.tokenizer_path()))
+
+
 def test_a_single_mention_discloses_and_words_with_digits_count(spark):
     url = "http://host.example/" + "p" * 300
     docs = [(i, f"the usual words stand here and there in note {i % 5}") for i in range(300)]

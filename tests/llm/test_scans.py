@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import math
 import random
 import re
 
@@ -202,3 +203,75 @@ def test_random_letters_and_digits_alone_are_tested(spark):
     for k in range(4):
         assert sum("random:" in got[i] for i in range(10 * k, 10 * k + 10)) >= 8
     assert not any("random:" in got[i] for i in range(len(good), len(got)) if (i - len(good)) % 6 != 5)
+
+
+def plain_p(s):
+    """p-value of "random" by the definitions, one character at a time."""
+    def of(pattern):
+        return re.fullmatch(pattern, s)
+
+    name = "decimal" if of("[0-9]+") else "hex" if of("[0-9a-f]+") or of("[0-9A-F]+") else "lower" if of("[a-z]+") else "upper" if of("[A-Z]+") else "letters" if of("[A-Za-z]+") else "base32" if of("[A-Z2-7]+=*") else "base36" if of("[0-9a-z]+") else "base62" if of("[0-9A-Za-z]+") else "base64"
+    letters = secrets.ALPHABETS[name]
+    body = (s.lower() if name == "hex" else s.replace("-", "+").replace("_", "/")).replace("=", "")
+    v = [letters.index(c) for c in body]
+    n, size = len(v), len(letters)
+    tail = lambda z: math.erfc(z / math.sqrt(2)) / 2
+    counts = collections.Counter(v)
+    chi, df = sum(k * k for k in counts.values()) * size / n - n, size - 1
+    chi = (max(chi, 0.0) / df) ** (1 / 3)
+    z_chi = (chi - (1 - 2 / (9 * df))) / math.sqrt(2 / (9 * df))
+    high = [x >= size / 2 for x in v]
+    runs = 1 + sum(a != b for a, b in zip(high, high[1:]))
+    expected = 1 + 2 * sum(high) * (n - sum(high)) / n
+    spread = math.sqrt(max((expected - 1) * (expected - 2) / (n - 1), 1e-9))
+    mean = (size - 1) / 2
+    serial = sum((a - mean) * (b - mean) for a, b in zip(v, v[1:])) / max(sum((a - mean) ** 2 for a in v), 1e-9) * math.sqrt(n)
+    least = min(tail(z_chi), 2 * tail(abs((runs - expected) / spread)), 2 * tail(abs(serial)))
+    return 1 - (1 - min(1.0, max(0.0, least))) ** 3
+
+
+def mixture(seed, n=400):
+    """(string, is it random) of random keys in several encodings and of identifiers that look like keys."""
+    r = random.Random(seed)
+    words = "get set user account token name value index cache store build parse render list table query batch shard index model layer input output config http json file path stream".split()
+    out = []
+    for _ in range(n):
+        kind = r.choice(["base62", "base64", "hex", "letters", "base36", "base32"])
+        out.append(("".join(r.choice(secrets.ALPHABETS[kind]) for _ in range(r.choice([32, 40, 48, 64]))), True))
+        pick = [r.choice(words) for _ in range(r.randint(5, 9))]
+        out.append((r.choice(["_".join(pick), "/".join(pick), "".join(w.title() for w in pick), "-".join(pick) + "-2024", "".join(pick), f"{r.choice(words)}_" * 6 + "end", f"{r.randint(0, 9)}" * 24 + "0001"]), False))
+    return [(s, x) for s, x in out if len(s) >= secrets.MIN_LENGTH]
+
+
+def test_randomness_matches_the_definitions(spark):
+    r = random.Random(2)
+    strings = [s for s, _ in mixture(1, 60)] + ["".join(r.choice(secrets.ALPHABETS[k]) for _ in range(n)) for k in secrets.ALPHABETS for n in (20, 33, 200, 3000)] + ["A" * 20, "Ab" * 15, "0123456789abcdef" * 3, "QUJD" * 8 + "==", "aB3-_" * 6, "ABCDEF0123" * 4]
+    got = spark.createDataFrame([(s,) for s in strings], "hit string").withColumn("p", secrets.randomness(F.col("hit"))).collect()
+    for row in got:
+        assert abs(row.p - plain_p(row.hit)) < 1e-5, row.hit
+
+
+def test_few_reported_strings_are_false_and_few_keys_are_missed(spark):
+    for seed in range(3):
+        strings = mixture(seed)
+        docs = spark.createDataFrame([(i, f"see {s} there") for i, (s, _) in enumerate(strings)], "doc_id long, text string")
+        spotted = {row.doc_id for row in secrets.find_secrets(docs).select("doc_id", F.filter("secret_spans", lambda x: x["kind"] == "random").alias("r")).where("size(r) > 0").collect()}
+        random_ones = {i for i, (_, x) in enumerate(strings) if x}
+        # Half of the strings are identifiers; those that pass all three tests are what remains.
+        assert len(spotted & random_ones) >= 0.93 * len(random_ones)
+        assert len(spotted - random_ones) <= 0.08 * len(spotted)
+        # The verdicts follow from the histogram by the definition.
+        bins = collections.defaultdict(collections.Counter)
+        place = lambda s: (2 * next(k for k, n in enumerate(secrets.CLASSES) if len(s) <= n) + any(c.isdigit() for c in s), max(0, min(secrets.BINS - 1, math.floor(secrets.BINS + 20 * math.log10(max(plain_p(s), 1e-300))))))
+        for s, _ in strings:
+            c, b = place(s)
+            bins[c][b] += 1
+        low = {}
+        for c, hist in bins.items():
+            above = lambda b: sum(n for k, n in hist.items() if k >= b)  # noqa: B023, E731
+            edge = lambda b: 10 ** ((b - secrets.BINS) / 20)
+            top, first = math.ceil(secrets.BINS + 20 * math.log10(secrets.TOP) - 1e-9), math.ceil(secrets.BINS + 20 * math.log10(secrets.Q) - 1e-9)
+            keys = above(top) / (1 - edge(top))
+            low[c] = next((b for b in range(first, top) if above(b) - keys * (1 - edge(b)) - 0.5 * math.sqrt(above(b)) <= secrets.Q * above(b)), top)
+        want = {i for i, (s, _) in enumerate(strings) if place(s)[1] >= low[place(s)[0]]}
+        assert len(want ^ spotted) <= 1  # a p-value on the edge of a bin may fall either way
