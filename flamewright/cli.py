@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import argparse
-import os
 import sys
 import time
 from concurrent.futures import ThreadPoolExecutor
@@ -46,7 +45,7 @@ def parser() -> argparse.ArgumentParser:
 
 
 def options(a: argparse.Namespace) -> Options:
-    return Options(**{k: getattr(a, k) for k in Options.__dataclass_fields__})
+    return Options(**{k: getattr(a, k) for k in Options.__dataclass_fields__ if k != "all_samples"}, all_samples=bool(a.json or a.csv))
 
 
 def inspect_output(s: TraceSession, a: argparse.Namespace) -> str:
@@ -90,12 +89,11 @@ def compare_output(a_s: TraceSession, b_s: TraceSession, a: argparse.Namespace)
     return text + (report.windows(a_s.name, b_s.name, rows) if rows else "")
 
 
-def put(target: str, text: str) -> str:
-    """Write to a file and say so, or return the text for standard output."""
+def put(spark: SparkSession, target: str, text: str) -> str:
+    """Write to a file of any store that Spark knows and say so, or return the text for standard output."""
     if target == "-":
         return text
-    with open(target, "w", encoding="utf-8") as f:
-        f.write(text)
+    traces.put_text(spark, target, text)
     return f"exported to {target}\n"
 
 
@@ -104,8 +102,8 @@ def full_output(s: TraceSession, other: TraceSession | None, a: argparse.Namespa
         s.throttle = a.throttle
     md = report.summary_only(s, other) if a.summary else report.full(s, other)
     if a.html:
-        return put(a.html, html.report(s, md, other))
-    return put(a.export or "-", md)
+        return put(s.events.sparkSession, a.html, html.report(s, md, other))
+    return put(s.events.sparkSession, a.export or "-", md)
 
 
 def folder(spark: SparkSession, path: str, a: argparse.Namespace) -> str:
@@ -117,7 +115,7 @@ def folder(spark: SparkSession, path: str, a: argparse.Namespace) -> str:
     def one(p: str) -> str:
         stem = traces.trace_stem(p)
         try:
-            return put(os.path.join(path, f"trace-export-{stem}.md"), full_output(TraceSession.open(spark, p), None, argparse.Namespace(**{**vars(a), "export": "-", "html": None})))
+            return put(spark, f"{path.rstrip('/')}/trace-export-{stem}.md", full_output(TraceSession.open(spark, p), None, argparse.Namespace(**{**vars(a), "export": "-", "html": None})))
         except Exception as e:
             return f"{stem}: {str(e).splitlines()[0]}\n"
 
@@ -132,7 +130,7 @@ def run(spark: SparkSession, argv: list[str]) -> str:
     if a.repl:
         repl(spark, a.trace)
         return ""
-    if os.path.isdir(a.trace):
+    if traces.is_folder(spark, a.trace):
         return folder(spark, a.trace, a)
     s = TraceSession.open(spark, a.trace)
     other = TraceSession.open(spark, a.compare) if a.compare else None

@@ -6,7 +6,6 @@ Spark's getters coerce; the readers here give null unless the JSON value has the
 from __future__ import annotations
 
 import json
-import re
 
 import pandas as pd
 from pyspark.sql import Column, functions as F
@@ -47,53 +46,42 @@ def text(path: str, args: Column | None = None) -> Column:
     return F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string"))
 
 
-def _hits(value, test, words: bool):
-    """First string, key or number that passes, in document order; with words also true, false and null."""
-    stack = [value]
+def _leaves(value, words: bool) -> list[str]:
+    """Strings, keys and numbers of a JSON value in document order (members by key); with words also true, false and null."""
+    stack, out = [value], []
     while stack:
         v = stack.pop()
         if isinstance(v, tuple):  # an object's member: its key, then its value
-            if test(v[0]):
-                return v[0]
+            out.append(v[0])
             stack.append(v[1])
         elif isinstance(v, str):
-            if test(v):
-                return v
+            out.append(v)
         elif isinstance(v, list):
             stack.extend(reversed(v))
         elif isinstance(v, dict):
             stack.extend(reversed(sorted(v.items())))
-        elif v is None or isinstance(v, bool):
-            if words and test(json.dumps(v)):
-                return json.dumps(v)
-        elif test(json.dumps(v)):
-            return json.dumps(v)
-    return None
-
-
-def _tester(m: Matcher):
-    if m.regex:
-        found = re.compile(m.pattern).search
-        return lambda s: found(s) is not None
-    low = m.pattern.lower()
-    return lambda s: low in s.lower()
+        elif words or not (v is None or isinstance(v, bool)):
+            out.append(json.dumps(v))
+    return out
 
 
 def tree_match(matcher: Matcher, words: bool = True, args: str = "args") -> Column:
-    """Text of the first match anywhere in the JSON of args, null if none; callers filter with ``may_match`` first."""
-    test = _tester(matcher)
+    """Text of the first match anywhere in the JSON of args, null if none; callers filter with ``may_match`` first.
+
+    Python only takes the JSON apart, an Arrow batch at a time; the matcher itself runs in the JVM, so a regular expression means here what it means everywhere.
+    """
 
-    @pandas_udf("string")
-    def run(column: pd.Series) -> pd.Series:
+    @pandas_udf("array<string>")
+    def leaves(column: pd.Series) -> pd.Series:
         def one(raw):
             try:
-                return None if raw is None else _hits(json.loads(raw), test, words)
+                return None if raw is None else _leaves(json.loads(raw), words)
             except ValueError:
                 return None
 
         return column.map(one)
 
-    return run(F.col(args))
+    return F.get(F.filter(leaves(F.col(args)), matcher.test), 0)
 
 
 def may_match(matcher: Matcher, args: str = "args") -> Column:

@@ -46,6 +46,7 @@ class Options:
     regex: bool = False
     jank: bool = False
     memory: bool = False
+    all_samples: bool = False
     input: bool = False
     async_: bool = False
     anchor: str | None = None
@@ -223,8 +224,8 @@ class TraceSession:
         mb = lambda b: b / 1_048_576
         summary = {"samples": m.samples, "first_heap_mb": mb(m.first_heap), "last_heap_mb": mb(m.last_heap), "growth_mb": mb(m.growth), "peak_heap_mb": mb(m.peak_heap), "peak_heap_t_us": half_up(m.peak_ts - self.base), "peak_nodes": m.peak_nodes, "peak_documents": m.peak_documents, "peak_listeners": m.peak_listeners}
         row = lambda r: {"t_us": half_up(r.ts - self.base), "heap_mb": mb(r.heap), "nodes": r.nodes, "documents": r.documents, "listeners": r.listeners}
-        every = [row(r) for r in samples.orderBy("ts", "seq").collect()]
         few = [row(r) for r in inspect.downsample(samples, ["ts", "seq"], o.top).orderBy("ts", "seq").collect()]
+        every = [row(r) for r in samples.orderBy("ts", "seq").toLocalIterator()] if o.all_samples else few
         return "memory", markdown("Memory timeline", [summary]) + markdown("Samples", few), {"summary": summary, "samples": every}
 
     def delta(self, w: Windows, o: Options) -> dict:

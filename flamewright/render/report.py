@@ -5,6 +5,7 @@ from __future__ import annotations
 from . import text as T
 from .text import change, pct, table, us, verdict_cell
 
+# Headings, labels and column names of the report, here and in the functions below; programs that read reports look for them.
 _COSTS = [("JS (FunctionCall)", "js_us"), ("Style (UpdateLayoutTree)", "style_us"), ("Layout", "layout_us"), ("Paint", "paint_us"), ("Composite (Layerize+Commit)", "composite_us"), ("HitTest", "hit_test_us")]
 _SHORT = [("JS", "js_us"), ("Style (ULT)", "style_us"), ("Layout", "layout_us"), ("Paint", "paint_us"), ("HitTest", "hit_test_us"), ("Composite", "composite_us")]
 _ZERO = {"avg_dirty": 0.0, "max_dirty": 0, "avg_elements": 0.0, "max_elements": 0}
@@ -26,13 +27,13 @@ def summary_only(session, other=None) -> str:
 def _info(session) -> str:
     m, lines = session.metadata, []
     if not m:
-        return f"> **Note**: CPU throttle {session.throttle:.0f}x. Divide times by {session.throttle:.0f} for real-world estimates.\n\n" if session.throttle > 1 else ""
+        return f"> **Note**: the given throttle factor is {session.throttle:.0f}; an unthrottled device would take about a {session.throttle:.0f}th of the times below.\n\n" if session.throttle > 1 else ""
     if m.get("page_url"):
         lines.append(f"- **URL**: {m['page_url']}")
     if m.get("start_time"):
         lines.append(f"- **Recorded**: {m['start_time']}")
     if (m.get("cpu_throttling") or 0) > 1:
-        lines.append(f"- **CPU Throttle**: {m['cpu_throttling']:.0f}x (divide times by {m['cpu_throttling']:.0f} for real-world)")
+        lines.append(f"- **CPU Throttle**: {m['cpu_throttling']:.0f}x (all times below are throttled ones)")
     if m.get("network_throttling") not in (None, "", "No throttling"):
         lines.append(f"- **Network**: {m['network_throttling']}")
     if m.get("host_dpr") is not None:
@@ -51,7 +52,7 @@ def _overview(a: dict, name: str) -> str:
 def _scroll(a: dict) -> str:
     s = a["scroll"]
     if not s:
-        return "## Scroll Frame Analysis\n\nNo scroll tasks detected (a RunTask around a style update or function call over 50ms).\n\n"
+        return "## Scroll Frame Analysis\n\nNothing scrolled: no RunTask holds a style update or call longer than 50ms.\n\n"
     head = f"- **Scroll Tasks**: {s['frames']}\n- **Avg Duration**: {us(s['dur_us'])}\n- **P50**: {us(s['p50_us'])} / **P90**: {us(s['p90_us'])} / **P99**: {us(s['p99_us'])}\n- **Bottleneck**: {s['bottleneck']}\n\n"
     costs = table(["Category", "Time", "% of Task"], [[n, us(s[k]), f"{pct(s[k], s['dur_us']):.1f}%"] for n, k in _COSTS])
     rows = table(["#", "Duration", "Bottleneck", "JS", "Style", "Layout", "Paint"], [[i + 1, us(r.dur_us), r.bottleneck, us(r.js_us), us(r.style_us), us(r.layout_us), us(r.paint_us)] for i, r in enumerate(a["scroll_rows"])])
@@ -61,7 +62,7 @@ def _scroll(a: dict) -> str:
 def _cpu(a: dict) -> str:
     c, title = a["cpu"], "## CPU Profile (Top Functions by Self-Time)\n\n"
     if not c:
-        return title + "No CPU profile data found (ProfileChunk events).\n\n"
+        return title + "The trace holds no profile: there are no ProfileChunk events.\n\n"
     share = lambda n, k: f"- **{n}**: {us(c[k])} ({pct(c[k], c['total_us']):.1f}%)\n"
     head = f"- **Total Sample Time**: {us(c['total_us'])}\n" + share("App Code", "app_us") + share("Runtime/Library", "runtime_us") + share("Native/Browser", "native_us") + "\n"
     rows = [[i + 1, r.source, r.name or "(anonymous)", us(r.self_us), f"{r.pct:.1f}%", f"{r.cumulative_pct:.1f}%", r.url.rsplit("/", 1)[-1]] for i, r in enumerate(a["cpu_rows"])]
@@ -71,7 +72,7 @@ def _cpu(a: dict) -> str:
 def _layout(a: dict) -> str:
     s, title = a["layout"], "## Layout Dirty Objects\n\n"
     if not s:
-        return title + "No Layout events with dirty object data found.\n\n"
+        return title + "No layout says how many objects were dirty.\n\n"
     head = f"- **Layout Events**: {s['layouts']}\n- **Avg Dirty Objects**: {s['avg_dirty']:.0f}\n- **Max Dirty Objects**: {s['max_dirty']}\n- **Avg Dirty Ratio**: {s['avg_ratio']:.1f}%\n\n"
     return title + head + table(["#", "Duration", "Dirty", "Total", "Ratio"], [[i + 1, us(r.dur_us), r.dirty, r.total, f"{pct(r.dirty, r.total):.1f}%"] for i, r in enumerate(a["layout_rows"])])
 
@@ -132,7 +133,7 @@ def summary(sa, sb, diff: dict) -> str:
         if worse:
             out.append("### Regressions\n\n" + table(head, worse))
     s, t = a["summary"], b["summary"]
-    notes = [f"Long Tasks: {s['long_tasks']} → {t['long_tasks']} ({change(s['long_tasks'], t['long_tasks'])}). Includes non-scroll tasks.", f"Main Thread Busy: {us(s['busy_us'])} → {us(t['busy_us'])} ({change(s['busy_us'], t['busy_us'])}). Includes non-scroll tasks."]
+    notes = [f"Long Tasks: {s['long_tasks']} → {t['long_tasks']} ({change(s['long_tasks'], t['long_tasks'])}). Tasks outside scrolling count too.", f"Main Thread Busy: {us(s['busy_us'])} → {us(t['busy_us'])} ({change(s['busy_us'], t['busy_us'])}). Tasks outside scrolling count too."]
     notes += [f"{n}: avg {us(avg[n][0])} → {us(avg[n][1])} ({change(*avg[n])})" for n in ("MajorGC", "MinorGC") if n in avg and max(avg[n]) > 0]
     return "".join(out) + "### Notes\n\n" + "".join(f"- {n}\n" for n in notes) + "\n"
 

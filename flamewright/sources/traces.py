@@ -58,11 +58,29 @@ def _stem(path: Column) -> Column:
     return F.regexp_replace(F.url_decode(F.substring_index(path, "/", -1)), r"(\.json)?(\.gz)?$", "")
 
 
+def file_system(spark: SparkSession, name: str):
+    """(path, file system that Spark reads it with)."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+    return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def is_folder(spark: SparkSession, name: str) -> bool:
+    path, fs = file_system(spark, name)
+    return fs.exists(path) and fs.getFileStatus(path).isDirectory()
+
+
+def put_text(spark: SparkSession, name: str, text: str) -> None:
+    """Write a small text through Spark's file system."""
+    path, fs = file_system(spark, name)
+    fs.setWriteChecksum(False)
+    out = fs.create(path, True)
+    out.write(text.encode())
+    out.close()
+
+
 def list_traces(spark: SparkSession, folder: str) -> list[str]:
     """Paths of *.json and *.json.gz in the folder, one a stem (the gzipped one wins), by stem; listed through Spark's file system."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(folder)
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    path, fs = file_system(spark, folder)
     best: dict[str, str] = {}
     for status in fs.listStatus(path):
         name = status.getPath().getName()
