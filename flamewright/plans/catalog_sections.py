@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions.lineage import checkpoint_dir
 from ..functions.scope import Matcher, NameFilter, Scope
 from ..operators import analysis, compare, cpu, delta, inspect, timebase
+from ..render import blocks
 from ..sources import traces
 from .catalog import _AROUND, _KIDS, _P, _SAMPLES, _SPIKE, _BUSY, CTX, HEAVY, LONG, MAIN, TEV, _delta_sql, _jank_sql, _order_events, _profile_events, _sides, query, tev
 
@@ -17,16 +18,16 @@ from .catalog import _AROUND, _KIDS, _P, _SAMPLES, _SPIKE, _BUSY, CTX, HEAVY, LO
 
 def trace_folder(spark: SparkSession, d: str) -> str:
     """The events table as one gzipped and one plain trace file in the shared folder, one event a line; returns the folder."""
-    e, page = tev(spark, d), spark.read.parquet(f"{d}/pages.parquet").where("page_id = 0").select(F.col("url").alias("page"))
+    e, page = tev(spark, d), spark.read.parquet(f"{d}/pages.parquet").where("page_id = 0").first().url
     ident = F.when(F.col("seq") % 4 == 0, F.concat(F.lit(', "id": '), F.col("seq").cast("string"))).when(F.col("seq") % 4 == 1, F.lit(', "id": "x"')).when(F.col("seq") % 4 == 2, F.lit(', "id": -5')).otherwise("")
     whole = lambda c: F.col(c).cast("decimal(30,0)").cast("string")
     line = F.concat(F.lit('{"name": "'), "name", F.lit('", "ph": "XY", "ts": '), whole("ts"), F.lit(', "dur": '), whole("dur"), F.lit(', "tid": '), F.col("tid").cast("string"), F.lit(', "pid": '), F.col("pid").cast("string"), ident, F.lit(', "cat": "'), "cat", F.lit('", "args": '), "args", F.lit("},"))
     body = e.select("trace_id", F.lit(1).alias("part"), "seq", line.alias("value"))
     ids = e.select("trace_id").distinct()
     head = ids.select("trace_id", F.lit(0).alias("part"), F.lit(0).cast("long").alias("seq"), F.lit('{"traceEvents": [').alias("value"))
-    begun = F.concat(F.lit('{"name": "TracingStartedInBrowser", "ph": "I", "ts": 1e6, "args": {"data": {"frames": [{"url": ""}, {"url": "about:blank"}, {"url": "'), "page", F.lit('"}]}}}], "metadata": '))
+    begun = F.concat(F.lit('{"name": "TracingStartedInBrowser", "ph": "I", "ts": 1e6, "args": {"data": {"frames": [{"url": ""}, {"url": "about:blank"}, {"url": "'), F.lit(page), F.lit('"}]}}}], "metadata": '))
     meta = F.when(F.col("trace_id") == "t0", '{"cpuThrottling": 4, "source": "test", "startTime": "today", "networkThrottling": "Slow", "hardwareConcurrency": 8, "hostDPR": 1.5}}').otherwise("{}}")
-    tail = ids.crossJoin(F.broadcast(page)).select("trace_id", F.lit(2).alias("part"), F.lit(0).cast("long").alias("seq"), F.concat(begun, meta).alias("value"))
+    tail = ids.select("trace_id", F.lit(2).alias("part"), F.lit(0).cast("long").alias("seq"), F.concat(begun, meta).alias("value"))
     lines = head.unionByName(body).unionByName(tail)
     base = f"{checkpoint_dir(spark).rstrip('/')}/traces-{uuid.uuid4().hex}"
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
@@ -256,3 +257,17 @@ def findings(spark, d):
 
     a, b = (_slower(x) for x in _sides(spark, d))
     return compare.findings(side(a), side(b))
+
+
+# Output forms.
+
+
+@query(f"""WITH {TEV}, g AS (SELECT name, count(*) AS n, sum(dur) AS total FROM tev WHERE trace_id = 't0' GROUP BY 1), r AS (SELECT *, row_number() OVER (ORDER BY total DESC, name) AS rank FROM g)
+ SELECT 0 AS place, '# names' AS line UNION ALL SELECT 1, 'avg_us,count,name,rank,total_us' UNION ALL
+ SELECT rank + 1, concat_ws(',', round(total / n)::BIGINT || '.0', n, name, rank, round(total)::BIGINT || '.0') FROM r""")
+def csv_names(spark, d):
+    """The names section as a CSV block, line by line."""
+    keys = ("rank", "name", "count", "total_us", "avg_us")
+    rows = inspect.names(tev(spark, d).where("trace_id = 't0'")).orderBy("rank").select(*keys).collect()  # a row an event name
+    lines = blocks.csv_blocks([("names", "", [r.asDict() for r in rows])]).splitlines()
+    return spark.createDataFrame(list(enumerate(lines)), "place int, line string")
