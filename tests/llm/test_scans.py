@@ -98,8 +98,7 @@ def test_cover_holds_every_difference():
     assert len(suffixes.cover(21)) == 5 and len(suffixes.cover(7)) == 3
 
 
-@pytest.mark.parametrize("seed", range(3))
-@pytest.mark.parametrize("hot", [1 << 18, 3])
+@pytest.mark.parametrize("seed, hot", [(0, 1 << 18), (1, 3), (2, 3)])
 def test_repeats_at_small_lengths(spark, seed, hot):
     """Few letters, so that buckets are crowded; hot: buckets over it are counted instead of gathered."""
     r = random.Random(seed)
@@ -252,7 +251,7 @@ def test_randomness_matches_the_definitions(spark):
 
 
 def test_few_reported_strings_are_false_and_few_keys_are_missed(spark):
-    for seed in range(3):
+    for seed in range(2):
         strings = mixture(seed)
         docs = spark.createDataFrame([(i, f"see {s} there") for i, (s, _) in enumerate(strings)], "doc_id long, text string")
         spotted = {row.doc_id for row in secrets.find_secrets(docs).select("doc_id", F.filter("secret_spans", lambda x: x["kind"] == "random").alias("r")).where("size(r) > 0").collect()}
