@@ -25,7 +25,8 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_personal(_documents(spark, sf_dir))
     base = F.concat(*[F.col(f"pii.{k}") for k in pii.KINDS[:4]])
     counts = [F.size(f"pii.{k}").cast("long").alias(f"n_{k}") for k in pii.KINDS[:4]]
-    return found.select("doc_id", *counts, spans.digest(base).alias("base_sha256"), spans.joined(F.col("pii_spans")).alias("spans"))
+    sums = [F.size(base).cast("long").alias("n_base"), (F.size("pii_spans") - F.size(base)).cast("long").alias("n_term")]
+    return found.select("doc_id", *counts, spans.digest(base).alias("base_sha256"), spans.joined(F.col("pii_spans")).alias("spans"), *sums)
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
