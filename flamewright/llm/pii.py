@@ -22,8 +22,8 @@ KINDS = ("email", "ip", "card", "phone", "term")
 CONTEXT, ALPHA = 8, 0.8
 #: Stands for a base span among the words of a text (a private-use character, taken out of the text itself).
 MARK = "\ue000"
-#: Rows of a table that may be broadcast; a longer one is joined by shuffle.
-BROADCAST_ROWS = 20_000
+#: Rows of a table of words or keys (under 100 bytes each) that may be broadcast; a longer one is joined by shuffle.
+BROADCAST_ROWS = 500_000
 
 _E, _D = "[A-Za-z0-9._%+-]", "[A-Za-z0-9-]"
 # Possessive forms of the base expressions; a match starts where a run starts or where the last match ended.
