@@ -1,7 +1,7 @@
 """Reading trace files: one JSON object with ``traceEvents``, plain or gzipped, one file or a folder.
 
-Files are read by Spark's own JSON source, so any store and any number of files work; a file is one task.  Persist the result
-with ``save`` (Parquet by trace, ordered by time) and later queries read only the columns and row groups they need.
+Files are read by Spark's own JSON source, so any store and any number of files work; a file is one task, save that ``read_lines`` splits large files
+that hold one event a line.  Persist the result with ``save`` (Parquet by trace, ordered by time) and later queries read only the columns and row groups they need.
 """
 
 from __future__ import annotations
@@ -110,7 +110,33 @@ def read_traces(spark: SparkSession, paths: list[str] | str, check: bool = True)
     if check:
         bad = F.col("traceEvents").isNull()
         raw = raw.withColumn("traceEvents", F.when(bad, F.raise_error(F.concat(F.lit("not a trace: "), F.col("trace_id")))).otherwise(F.col("traceEvents")))
-    e = raw.select("trace_id", F.posexplode("traceEvents").alias("seq", "e"))
+    return _events(raw.select("trace_id", F.posexplode("traceEvents").alias("seq", "e")), check)
+
+
+def read_lines(spark: SparkSession, paths: list[str] | str, check: bool = True) -> DataFrame:
+    """Events of files that hold one event a line, as tracing tools write them; a plain file is split over as many tasks as its size asks for.
+
+    seq follows the order in the file, with gaps.  A line is an event if it begins with an object that is not the head of the file (what follows
+    "traceEvents": [ in a line counts as its own line); commas and whatever stands behind the event are passed over.  With check a line that begins like an
+    event and is none raises at run time, so a file laid out otherwise does not pass unnoticed.
+    """
+    text = spark.read.text([paths] if isinstance(paths, str) else list(paths))
+    line = F.regexp_replace(F.ltrim("value"), r'^\{?\s*(?:"metadata"\s*:\s*\{[^{}]*\}\s*,\s*)?"traceEvents"\s*:\s*\[\s*', "")
+    # Rows of one split come in order; a split holds at most 2**23 lines of an event.
+    place = F.col("_metadata.file_block_start") * 2**23 + F.monotonically_increasing_id().bitwiseAND(2**33 - 1)
+    rows = text.select(_stem(F.col("_metadata.file_path")).alias("trace_id"), place.alias("seq"), line.alias("line")).where("line like '{_%'")
+    event = T.StructType([*_RAW["traceEvents"].dataType.elementType.fields, T.StructField("_broken", T.StringType())])
+    # Inside transform the schema is not pruned to the fields that are asked for; pruned to the broken record alone, every record would count as one.
+    parsed = F.transform(F.array("line"), lambda x: F.from_json(x, event, {"columnNameOfCorruptRecord": "_broken"}))
+    rows = rows.withColumn("e", F.get(parsed, 0))
+    if check:
+        broken = F.raise_error(F.concat(F.lit("not one event a line: "), F.col("trace_id"))).cast(event)
+        rows = rows.withColumn("e", F.when(F.col("e._broken").isNotNull(), broken).otherwise(F.col("e")))
+    return _events(rows.where("e.name is not null or e.ph is not null"), check)
+
+
+def _events(e: DataFrame, check: bool) -> DataFrame:
+    """The event table of rows (trace_id, seq, e)."""
 
     def ident(name: str) -> Column:
         v = F.col(f"e.{name}")

@@ -90,6 +90,30 @@ def test_reading(spark, folder, bakery, tmp_path):
     assert traces.load(spark, str(tmp_path / "saved")).count() == both.count()
 
 
+def test_large_files_are_split_by_line(spark, tmp_path):
+    r = random.Random(8)
+    events = [x(r.choice(["RunTask", "Layout"]), 1000 + i, i % 7, id=i, args={"data": {"k": "}, {" * (i % 3), "n": [i, {"m": None}]}}) for i in range(4000)]
+    body = ",\n".join(map(json.dumps, events))
+    (tmp_path / "a.json").write_text('{"traceEvents": [\n' + body + '\n], "metadata": {"cpuThrottling": 2}}\n')
+    (tmp_path / "b.json").write_text('{"metadata": {"source": "x"}, "traceEvents": [' + body + "]}")
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "32k")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1k")
+    try:
+        for name in "ab":
+            path = str(tmp_path / f"{name}.json")
+            split = traces.read_lines(spark, path)
+            assert split.rdd.getNumPartitions() > 8
+            rows = lambda df: [tuple(v)[:1] + tuple(v)[2:] for v in df.orderBy("seq").collect()]
+            assert rows(split) == rows(traces.read_traces(spark, path))
+        (tmp_path / "c.json").write_text('{"traceEvents": [\n{"name":\n"a"}\n]}')
+        with pytest.raises(Exception, match="not one event a line"):
+            traces.read_lines(spark, str(tmp_path / "c.json")).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
 def test_lenient_and_strict_fields(spark, tmp_path):
     ids = [42, None, "42", -3, 4.5, 2**64 - 1, 0]
     rows = make(spark, tmp_path, [{"name": 'a"\\b', "ph": "sx", "tid": 2**64 - 1, **({} if i is None else {"id": i}), "args": {"b": 1, "a": [1]}} for i in ids]).orderBy("seq").collect()
