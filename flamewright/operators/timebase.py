@@ -5,12 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import payload
-from ..functions.lineage import cut
 from ..functions.scope import Matcher, Scope, is_metadata
 
 MAIN_TASK_US = 500_000.0
 #: Traces whose context may be broadcast (48 bytes each and their names).
-BROADCAST_TRACES = 100_000
+BROADCAST_TRACES = 20_000
 
 
 def end() -> F.Column:
@@ -48,14 +47,15 @@ def context(events: DataFrame, main_task_us: float = MAIN_TASK_US) -> DataFrame:
 def with_context(events: DataFrame, **options) -> DataFrame:
     """events with their trace's context columns.
 
-    The context is worked out once for a table of events and kept; its rows (one a trace) are counted, and up to BROADCAST_TRACES of them are
-    broadcast, so that the events of a large trace are not shuffled by its name.
+    The context (one row a trace) is worked out once for a table of events and kept; up to BROADCAST_TRACES rows of it are broadcast, so
+    that the events of a large trace are not shuffled by its name.
     """
     kept = events.__dict__.setdefault("_contexts", {})
     key = tuple(sorted(options.items()))
     if key not in kept:
-        ctx = cut(context(events, **options))
-        kept[key] = F.broadcast(ctx) if ctx.count() <= BROADCAST_TRACES else ctx
+        ctx = context(events, **options)
+        rows = ctx.limit(BROADCAST_TRACES + 1).collect()
+        kept[key] = F.broadcast(events.sparkSession.createDataFrame(rows, ctx.schema)) if len(rows) <= BROADCAST_TRACES else ctx
     return events.join(kept[key], "trace_id")
 
 

@@ -104,7 +104,7 @@ def test_large_files_are_split_by_line(spark, tmp_path):
             path = str(tmp_path / f"{name}.json")
             split = traces.read_lines(spark, path)
             assert split.rdd.getNumPartitions() > 8
-            rows = lambda df: [tuple(v)[:1] + tuple(v)[2:] for v in df.orderBy("seq").collect()]
+            rows = lambda df: [(*tuple(v)[:1], *tuple(v)[2:-1], json.loads(v.args)) for v in df.orderBy("seq").collect()]
             assert rows(split) == rows(traces.read_traces(spark, path))
         (tmp_path / "c.json").write_text('{"traceEvents": [\n{"name":\n"a"}\n]}')
         with pytest.raises(Exception, match="not one event a line"):
