@@ -30,11 +30,10 @@ def small_batches(spark, rows: int = 1000, size: int = 2 << 20) -> None:
 
 
 def written(df: DataFrame, by: str | None = None) -> DataFrame:
-    """df as a Parquet table in the shared folder (in a folder for each value of ``by``): smaller than a checkpoint for rows of numbers."""
+    """df as a Parquet table in the shared folder (with ``by``: in a folder for each value, more tightly packed): smaller than a checkpoint for rows of numbers."""
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
-    writer = df.write.option("compression", "zstd")
-    (writer.partitionBy(by) if by else writer).parquet(path)
+    (df.write.option("compression", "zstd").partitionBy(by) if by else df.write).parquet(path)
     table = spark.read.schema(df.schema).parquet(path)
     table._written_path = path
     return table
