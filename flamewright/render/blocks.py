@@ -10,7 +10,9 @@ def compact(v) -> str:
 
 
 def field(v) -> str:
-    s = "" if v is None else v if isinstance(v, str) else compact(v)
+    """A value as a CSV field; whole numbers with all their digits, where JSON has an exponent from 1e16 on."""
+    whole = isinstance(v, float) and v.is_integer()
+    s = "" if v is None else v if isinstance(v, str) else f"{v:.1f}" if whole else compact(v)
     return '"' + s.replace('"', '""') + '"' if any(c in s for c in ',"\n') else s
 
 

@@ -292,6 +292,11 @@ def test_sections_and_envelopes(session):
     assert blocks.csv_rows([{"b": 'x,"y"', "a": None}, {"b": [1]}]) == 'a,b\n,"x,""y"""\n,[1]\n'
 
 
+def test_csv_numbers():
+    """Whole numbers keep all digits, however large; all else is written as JSON has it."""
+    assert [blocks.field(v) for v in (30546167400000000.0, 2.0**60, -3e16, 12.0, 0.25, 7, True, None)] == ["30546167400000000.0", "1152921504606846976.0", "-30000000000000000.0", "12.0", "0.25", "7", "true", ""]
+
+
 def test_reports(spark, folder, tmp_path):
     path = f"{folder}/bakery.json"
     md = cli.run(spark, [path, "--compare", f"{folder}/other.json"])
