@@ -8,6 +8,7 @@ from ..functions import payload
 from ..functions.ranks import nearest_ranks
 from ..functions.scope import Scope
 from .pairing import interval_join
+from .succession import follows
 from .timebase import on_main, run_tasks, with_context
 
 LONG_US, HEAVY_US, SPIKE_US, BUSY_US = 50_000.0, 50_000.0, 16_667.0, 50_000.0
@@ -55,12 +56,17 @@ def cumulative_pct(rows: DataFrame, value: str, order: list) -> DataFrame:
     return rows.withColumn("pct", share(F.col(value))).withColumn("cumulative_pct", share(run))
 
 
-def _main_children(events: DataFrame, **ctx) -> DataFrame:
-    """(trace_id, tid, task, start, stop) x main-thread X events inside, the RunTasks themselves aside."""
+def _main_rows(events: DataFrame, **ctx) -> tuple[DataFrame, DataFrame]:
+    """(trace_id, tid, task, start, stop) of the main thread's RunTasks, and its X events that are their children."""
     rows = with_context(events, **ctx).where((F.col("ph") == "X") & on_main())
     task = rows.where((F.col("name") == "RunTask") & F.col("dur").isNotNull()).select("trace_id", "tid", F.col("seq").alias("task"), F.col("ts").alias("start"), (F.col("ts") + F.col("dur")).alias("stop"))
     kids = rows.where(F.col("name").isin("FunctionCall", "UpdateLayoutTree", "Layout", "Paint", "Layerize", "Commit", "HitTest")).select("trace_id", "tid", "seq", "name", "ts", "dur")
-    return interval_join(task, kids, ["trace_id", "tid"])
+    return task, kids
+
+
+def _main_children(events: DataFrame, **ctx) -> DataFrame:
+    """(trace_id, tid, task, start, stop) x main-thread X events inside, the RunTasks themselves aside."""
+    return interval_join(*_main_rows(events, **ctx), ["trace_id", "tid"])
 
 
 def bottleneck(costs: list[str] = list(COSTS)) -> F.Column:
@@ -120,11 +126,10 @@ def style_summary(entries: DataFrame) -> DataFrame:
 
 def forced_reflows(events: DataFrame, least: int = 2, **ctx) -> DataFrame:
     """Tasks in which a layout or style update directly follows a function call at least ``least`` times."""
-    pairs = _main_children(events, **ctx).where(F.col("name").isin("FunctionCall", "Layout", "UpdateLayoutTree") & (F.col("ts") + _dur() <= F.col("stop")))
-    before = F.lag("name").over(Window.partitionBy("trace_id", "task").orderBy("ts", "seq"))
-    forced = (F.col("name") != "FunctionCall") & (F.col("before") == "FunctionCall")
-    out = pairs.withColumn("before", before).groupBy("trace_id", "task", "start", "stop").agg(F.count_if(forced).alias("reflows"), F.sum(F.when(forced, _dur()).otherwise(0.0)).alias("layout_us"))
-    return out.where(F.col("reflows") >= least).select("trace_id", "task", (F.col("stop") - F.col("start")).alias("task_dur_us"), "reflows", "layout_us")
+    task, kids = _main_rows(events, **ctx)
+    kids = kids.where(F.col("name").isin("FunctionCall", "Layout", "UpdateLayoutTree")).select("trace_id", "seq", "ts", _dur().alias("dur"), (F.col("name") == "FunctionCall").alias("first"))
+    out = follows(task, kids).where(F.col("n") >= least)
+    return out.select("trace_id", "task", (F.col("stop") - F.col("start")).alias("task_dur_us"), F.col("n").alias("reflows"), F.col("us").alias("layout_us"))
 
 
 def jank_buckets(events: DataFrame, scope: Scope = Scope(), spike_us: float = SPIKE_US, busy_us: float = BUSY_US, **ctx) -> DataFrame:

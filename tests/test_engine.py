@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from flamewright import cli
 from flamewright.functions.scope import Matcher, NameFilter, Scope
-from flamewright.operators import analysis, cpu, delta, inspect, pairing, timebase
+from flamewright.operators import analysis, cpu, delta, inspect, pairing, succession, timebase
 from flamewright.plans.session import Options, TraceSession
 from flamewright.render import blocks, html
 from flamewright.sources import traces
@@ -264,6 +264,51 @@ def test_scroll_reflow_layout_style_jank(spark, tmp_path):
     assert [(c.first, c.last, c.dropped, c.max_run_us) for c in j] == [(18, 18, 1, 0), (0, 0, 0, 200_000)]
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_follows_by_brute_force(spark, seed, monkeypatch):
+    """Overlapping tasks, equal times, negative lengths, several traces, bins of all widths."""
+    r = random.Random(seed)
+    tasks = [(f"t{r.randrange(2)}", k, float(a), float(a + r.choice([0, 3, 10, 40, -2]))) for k in range(60) for a in [r.randrange(60)]]
+    events = [(f"t{r.randrange(3)}", k, float(r.randrange(70)), r.choice([0.0, 1.0, 1.0, 2.5, 30.0, -3.0]), r.random() < 0.5) for k in range(90)]
+    want = set()
+    for trace, task, a, b in tasks:
+        held = sorted((ts, seq, first, d) for t, seq, ts, d, first in events if t == trace and a <= ts <= b and ts + d <= b)
+        after = [y[3] for x, y in zip(held, held[1:]) if x[2] and not y[2]]
+        if held:
+            want.add((trace, task, a, b, len(after), sum(after)))
+    assert {w[4] for w in want} > {0, 1, 2, 3}
+    t, e = spark.createDataFrame(tasks, "trace_id string, task long, start double, stop double"), spark.createDataFrame(events, "trace_id string, seq long, ts double, dur double, first boolean")
+    for width in (None, 0.7, 5.0, 1000.0):
+        assert {tuple(x) for x in succession.follows(t, e, width).collect()} == want
+    parts = t.where("stop >= start").selectExpr("trace_id", "floor(start / 100) as bin", "false as event", "task as seq", "start as begin", "stop as end", "false as first", "0d as us")
+    parts = parts.unionByName(e.selectExpr("trace_id", "floor(ts / 100) as bin", "true as event", "seq", "ts as begin", "greatest(ts, ts + dur) as end", "first", "dur as us"))
+    batches = parts.orderBy("trace_id", "bin").toArrow().to_batches(7)
+    whole = {tuple(x.values()) for b in succession._summaries(iter(batches)) for x in b.to_pylist()}
+    monkeypatch.setattr(succession, "ROWS", 5)
+    assert {tuple(x.values()) for b in succession._summaries(iter(batches)) for x in b.to_pylist()} == whole
+    assert {(*x[:4], *x[7:]) for x in whole} == want
+
+
+def _shuffled(plan) -> int:
+    """Records that the exchanges of an executed plan wrote."""
+    own = plan.metrics().apply("shuffleRecordsWritten").value() if plan.metrics().contains("shuffleRecordsWritten") else 0
+    return own + sum(_shuffled(plan.children().apply(k)) for k in range(plan.children().size()))
+
+
+def test_reflows_of_overlapping_tasks_list_no_pairs(spark, tmp_path):
+    n = 300
+    e = make(spark, tmp_path, [x("RunTask", k, 600_000) for k in range(n)] + [x(("FunctionCall", "Layout")[k % 2], 1000 + k, 10) for k in range(n)])
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        out = analysis.forced_reflows(e)
+        rows = out.collect()
+        assert len(rows) == n and {(r.reflows, r.layout_us) for r in rows} == {(n // 2, n // 2 * 10.0)}
+        # collect() and the plan of out share one execution; n * n pairs would be 90,000.
+        assert 0 < _shuffled(out._jdf.queryExecution().executedPlan()) < 10 * n
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
 def test_inspectors(bakery):
     assert [r.name for r in inspect.names(bakery, top=2).orderBy("rank").collect()] == ["RunTask", "FunctionCall"]
     t = {int(r.tid): r for r in inspect.threads(bakery).collect()}
