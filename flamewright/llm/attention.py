@@ -23,7 +23,10 @@ windows (a worker holds one text, its ids and a batch); ties in the tree's order
 from __future__ import annotations
 
 import collections
+import ctypes
+import functools
 import heapq
+import itertools
 import math
 import zlib
 
@@ -135,47 +138,63 @@ def _softmax(x: np.ndarray, ones: np.ndarray) -> np.ndarray:
     return x
 
 
-def attend(p, given, own, real):
-    """States [blocks, STRIDE, WIDTH] of the real blocks, and what the backward pass needs."""
-    e = p["embed"][given]
-    kv = e @ np.concatenate((p["wk"], p["wv"]), axis=1)
-    er = e[real]
-    q = er @ (p["wq"] * np.float32(WIDTH**-0.5))
-    both = np.concatenate((kv[real - 1], kv[real]), axis=1)
-    kw, vw = both[:, :, :WIDTH], both[:, :, WIDTH:]
+def _joint(p) -> np.ndarray:
+    """The weights of queries (scaled), keys and values side by side."""
+    return np.concatenate((p["wq"] * np.float32(WIDTH**-0.5), p["wk"], p["wv"]), axis=1)
+
+
+def _windows(x: np.ndarray) -> np.ndarray:
+    """[blocks * STRIDE, n] as the windows of all blocks but the first, [blocks - 1, 2 * STRIDE, n], without a copy."""
+    row, item = x.strides
+    return np.lib.stride_tricks.as_strided(x, (len(x) // STRIDE - 1, 2 * STRIDE, x.shape[1]), (STRIDE * row, row, item), writeable=False)
+
+
+def _states(p, given, own):
+    """States [positions, WIDTH] of all blocks but the first, and what the backward pass needs; those of blanks mean nothing."""
+    e = p["embed"].take(given.ravel(), axis=0)
+    every = e @ _joint(p)
+    q, kw, vw = every[STRIDE:, :WIDTH].reshape(-1, STRIDE, WIDTH), _windows(every[:, WIDTH : 2 * WIDTH]), _windows(every[:, 2 * WIDTH :])
     s = q @ kw.transpose(0, 2, 1)
     s += p["place"] + _FUTURE
-    blank = own < 0
-    if blank.any():
-        hide = np.concatenate((blank[real - 1], blank[real]), axis=1)
-        rows = np.flatnonzero(hide[:, 0] | hide[:, -1])
-        s[rows] += np.where(hide[rows], np.float32(-1e9), np.float32(0))[:, None, :]
-        at = np.arange(STRIDE)
-        s[rows[:, None], at, STRIDE + at] = np.maximum(s[rows[:, None], at, STRIDE + at], np.float32(-30))
+    # Blanks at a text's end are in the future of its ids; the blank block ahead is hidden.
+    s[own[:-1, 0] < 0, :, :STRIDE] = -1e9
     _softmax(s, _KEYS)
     o = s @ vw
-    return er + o @ p["wo"], (e, er, q, kw, vw, s, o)
+    h = o.reshape(-1, WIDTH) @ p["wo"]
+    h += e[STRIDE:]
+    return h, (e, q, kw, vw, s, o)
+
 
+def attend(p, given, own, real):
+    """States [blocks, STRIDE, WIDTH] of the real blocks, and what the backward pass needs."""
+    h, held = _states(p, given, own)
+    return h.reshape(-1, STRIDE, WIDTH)[real - 1], held
 
-def _choices(z: np.ndarray, at, branch: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Log probabilities of branches (rows ``at`` of z, flattened) and the sums of exp(z), which replaces z."""
+
+def _exponents(z: np.ndarray) -> np.ndarray:
+    """Sums of exp(z), which replaces z."""
     np.minimum(z, np.float32(60), out=z)
-    log = z.reshape(-1, FAN)[at, branch].astype(np.float64)
     np.exp(z, out=z)
-    sums = z @ _FANS.astype(z.dtype, copy=False)
-    log -= np.log(np.maximum(sums.ravel()[at], 1e-30))
-    return log, sums
+    return np.maximum(z @ _FANS.astype(z.dtype, copy=False), np.float32(1e-30))
+
+
+def _choices(z: np.ndarray, at, branch: np.ndarray) -> np.ndarray:
+    """Log probabilities of branches (rows ``at`` of z, flattened); z is used up."""
+    log = np.minimum(z.reshape(-1, FAN)[at, branch], np.float32(60)).astype(np.float64)
+    log -= np.log(_exponents(z).ravel()[at])
+    return log
 
 
 def descend(node, tree: Tree, h: np.ndarray, t: np.ndarray, back: bool = False):
-    """Log probability of each id of t given the states h; with back also the gradients of minus its mean: by h, (nodes, by their rows).
+    """Log probability of each id of t given the states h; with back the gradients of minus its mean instead: by h, (nodes, by their rows).
 
     All positions pass the root; pairs (position, node further down) are ordered by node and multiplied in groups of one node each.
     """
-    first, every = tree.branch[tree.first[t]], np.arange(len(t))
-    top = h @ node[0, :WIDTH]
-    top += node[0, WIDTH]
-    out, top_sums = _choices(top, every, first)
+    first, every, count = tree.branch[tree.first[t]], np.arange(len(t)), len(t)
+    one = np.ones((count + 1, WIDTH + 1), dtype=h.dtype)
+    one[:count, :WIDTH] = h
+    one[count] = 0  # fills up groups
+    top = one[:count] @ node[0]
     owner, nodes, branch, levels = tree.pairs(t)
     order = np.argsort(nodes, kind="stable")
     nodes, branch, who = nodes[order], branch[order], owner[order]
@@ -185,67 +204,64 @@ def descend(node, tree: Tree, h: np.ndarray, t: np.ndarray, back: bool = False):
     ahead = np.cumsum(groups) - groups
     slot = np.arange(len(nodes)) + np.repeat(ahead * _GROUP - run, size)
     total = int(groups.sum())
-    x = np.zeros((total * _GROUP, WIDTH + 1), dtype=h.dtype)
-    x[slot, :WIDTH] = h[who]
-    x[slot, WIDTH] = 1
-    x = x.reshape(total, _GROUP, WIDTH + 1)
-    w = node[np.repeat(nodes[run], groups)]
+    source = np.full(total * _GROUP, count)
+    source[slot] = who
+    x = one.take(source, axis=0).reshape(total, _GROUP, WIDTH + 1)
+    w = node.take(np.repeat(nodes[run], groups), axis=0)
     z = x @ w
-    log, sums = _choices(z, slot, branch)
-    out += np.bincount(who, log, len(t))
     if not back:
-        return out
-    n = h.dtype.type(1 / len(t))
-    top /= np.maximum(top_sums * len(t), np.float32(1e-30))[:, None]
+        return _choices(top, every, first) + np.bincount(who, _choices(z, slot, branch), count)
+    n = h.dtype.type(1 / count)
+    top /= (_exponents(top) * count)[:, None]
     top[every, first] -= n
     dh = top @ node[0, :WIDTH].T
-    z /= np.maximum(sums * len(t), np.float32(1e-30))[..., None]
-    flat = z.reshape(-1, FAN)
-    flat[slot, branch] -= n
-    pad = np.ones(len(flat), dtype=bool)
-    pad[slot] = False
-    flat[pad] = 0
+    z /= (_exponents(z) * count)[..., None]
+    z.reshape(-1, FAN)[slot, branch] -= n
     dx = (z @ w[:, :WIDTH].transpose(0, 2, 1)).reshape(-1, WIDTH)
     place = np.empty(len(slot), dtype=np.int64)
     place[order] = slot
     for lo, hi in zip(levels, levels[1:]):
-        dh[owner[lo:hi]] += dx[place[lo:hi]]
+        dh[owner[lo:hi]] += dx.take(place[lo:hi], axis=0)
     dw = x.transpose(0, 2, 1) @ z
-    of_nodes = np.concatenate((np.concatenate((h.T @ top, top.sum(axis=0)[None, :]))[None], dw[ahead]))
-    for k in np.flatnonzero(groups > 1):
+    of_nodes = np.empty((len(run) + 1, WIDTH + 1, FAN), dtype=h.dtype)
+    of_nodes[0] = one[:count].T @ top
+    of_nodes[1:] = dw[ahead]
+    for k in np.flatnonzero(groups > 1).tolist():
         of_nodes[k + 1] = dw[ahead[k] : ahead[k] + groups[k]].sum(axis=0)
-    return out, dh, np.concatenate((np.zeros(1, nodes.dtype), nodes[run])), of_nodes
+    return dh, np.concatenate((np.zeros(1, nodes.dtype), nodes[run])), of_nodes
 
 
 def gradients(p, tree, given, target, own, real):
     """(gradients, rows of the embedding and their gradients, nodes and theirs) of the mean log loss."""
-    h, (e, er, q, kw, vw, s, o) = attend(p, given, own, real)
-    i, j = np.nonzero(own[real] >= 0)
-    _, back, nodes, of_nodes = descend(p["node"], tree, h[i, j], target[real][i, j], True)
+    h, (e, q, kw, vw, s, o) = _states(p, given, own)
+    at = np.flatnonzero(own[1:].ravel() >= 0)
+    back, nodes, of_nodes = descend(p["node"], tree, h.take(at, axis=0), target[1:].ravel()[at], True)
     dh = np.zeros_like(h)
-    dh[i, j] = back
-    flat = lambda x: x.reshape(-1, x.shape[-1])
-    dh = flat(dh)
-    g = {"wo": flat(o).T @ dh}
+    dh[at] = back
+    g = {"wo": o.reshape(-1, WIDTH).T @ dh}
     do = (dh @ p["wo"].T).reshape(o.shape)
     ds = do @ vw.transpose(0, 2, 1)
     ds -= np.einsum("bij,bij->bi", do, o)[:, :, None]
     ds *= s
     g["place"] = ds.sum(axis=0)
-    scale = np.float32(WIDTH**-0.5)
-    dq = flat(ds @ kw) * scale
-    part = np.concatenate((ds.transpose(0, 2, 1) @ q, s.transpose(0, 2, 1) @ do), axis=2)
-    dkv = np.zeros((*e.shape[:2], 2 * WIDTH), dtype=e.dtype)
-    dkv[real - 1] += part[:, :STRIDE]
-    dkv[real] += part[:, STRIDE:]
-    w = flat(e).T @ flat(dkv)
-    g["wq"], g["wk"], g["wv"] = flat(er).T @ dq, w[:, :WIDTH], w[:, WIDTH:]
-    de = dkv @ np.concatenate((p["wk"], p["wv"]), axis=1).T
-    de[real] += (dq @ p["wq"].T + dh).reshape(er.shape)
+    every = np.empty((len(given), STRIDE, 3 * WIDTH), dtype=h.dtype)  # by queries, keys and values
+    every[0] = 0
+    part = np.empty((len(ds), 2 * STRIDE, 2 * WIDTH), dtype=h.dtype)
+    np.matmul(ds, kw, out=every[1:, :, :WIDTH])
+    np.matmul(ds.transpose(0, 2, 1), q, out=part[:, :, :WIDTH])
+    np.matmul(s.transpose(0, 2, 1), do, out=part[:, :, WIDTH:])
+    every[1:, :, WIDTH:] = part[:, STRIDE:]
+    every[:-1, :, WIDTH:] += part[:, :STRIDE]
+    every = every.reshape(-1, 3 * WIDTH)
+    w = e.T @ every
+    g["wq"], g["wk"], g["wv"] = w[:, :WIDTH] * np.float32(WIDTH**-0.5), w[:, WIDTH : 2 * WIDTH], w[:, 2 * WIDTH :]
+    de = every @ _joint(p).T
+    de[STRIDE:] += dh
     ids = given.ravel().astype(np.uint16)
     order = np.argsort(ids, kind="stable")
-    begin = np.flatnonzero(np.concatenate(([True], ids[order][1:] != ids[order][:-1])))
-    return g, ids[order][begin], np.add.reduceat(flat(de)[order], begin, axis=0), nodes, of_nodes
+    ids = ids[order]
+    begin = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1])))
+    return g, ids[begin], np.add.reduceat(de.take(order, axis=0), begin, axis=0), nodes, of_nodes
 
 
 class Steps:
@@ -282,16 +298,27 @@ def train(p, tree, docs, rate: float = RATE) -> None:
         steps.update(*gradients(p, tree, *layout(held)))
 
 
+@functools.cache
+def _keep_freed() -> None:
+    """Have a worker keep the arrays it frees: as set, glibc gives large ones back and has each new one mapped page by page."""
+    try:
+        own = ctypes.CDLL(None).mallopt
+        for key in (-1, -3):  # M_TRIM_THRESHOLD, M_MMAP_THRESHOLD
+            own(key, 1 << 28)
+    except (AttributeError, OSError):
+        pass
+
+
 def score_ids(p, tree, docs: list[np.ndarray]) -> np.ndarray:
     """log10 probability of every id list."""
     out = np.zeros(len(docs))
-    given, target, own, real = layout(docs)
-    for a in range(0, len(real), BATCH):
-        part = real[a : a + BATCH]
-        lo, hi = part[0] - 1, part[-1] + 1
-        h, _ = attend(p, given[lo:hi], own[lo:hi], part - lo)
-        i, j = np.nonzero(own[part] >= 0)
-        out += np.bincount(own[part][i, j], descend(p["node"], tree, h[i, j], target[part][i, j]), len(docs))
+    given, target, own, _ = layout(docs)
+    size = 4 * BATCH
+    for a in range(1, len(given), size):
+        h = np.concatenate([_states(p, given[b - 1 : b + BATCH], own[b - 1 : b + BATCH])[0] for b in range(a, min(a + size, len(given)), BATCH)])
+        of, t = own[a : a + size].ravel(), target[a : a + size].ravel()
+        at = np.flatnonzero(of >= 0)
+        out += np.bincount(of[at], descend(p["node"], tree, h.take(at, axis=0), t[at]), len(docs))
     return out / math.log(10)
 
 
@@ -383,6 +410,7 @@ def _tables(p) -> dict[str, np.ndarray]:
 
 def _train(p, tree, rate):
     def run(batches):
+        _keep_freed()
         own = {k: v.copy() for k, v in p.items()}
         seen = np.zeros(VOCAB, np.int64)
 
@@ -458,23 +486,20 @@ def _score(p, tree, head, den):
     schema = pa.schema([("rid", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("tail", pa.list_(pa.string())), ("times", pa.list_(pa.int32()))])
 
     def run(batches):
+        _keep_freed()
         rid = TaskContext.get().partitionId() << 33
+        rare = math.log10(0.5) - den  # told from the logs in head by identity
         for batch in batches:
             rows, ids, size = [], [], 0
             doc_ids, parts = batch.column(0).to_pylist(), batch.column(3).to_pylist()
             for k, (doc_id, part) in enumerate(zip(doc_ids, parts)):
-                words = collections.Counter(lower(batch.column(1)[k].as_py()).split())
-                words[END_WORD.encode()] += 1
-                known, base, n, tail, times = 0, 0.0, 0, [], []
-                for w, c in words.items():
-                    n += c
-                    if (x := head.get(w)) is None:
-                        tail.append(w.decode())
-                        times.append(c)
-                    else:
-                        known += c
-                        base += c * x
-                base += sum(times) * (math.log10(0.5) - den)
+                words = lower(batch.column(1)[k].as_py()).split()
+                words.append(END_WORD.encode())
+                logs = list(map(head.get, words, itertools.repeat(rare)))
+                others = collections.Counter([w for w, x in zip(words, logs) if x is rare])
+                n, base = len(words), sum(logs)
+                tail, times = [w.decode() for w in others], list(others.values())
+                known = n - others.total()
                 rows.append((rid, doc_id, part == _HELD, n, known, base, tail, times))
                 rid += 1
                 ids.append(np.frombuffer(batch.column(2)[k].as_buffer(), dtype=np.uint16))

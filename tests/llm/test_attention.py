@@ -81,6 +81,23 @@ def test_scores_match_a_plain_model():
     assert np.allclose(A.score_ids(p, tree, docs), [plain_score(p, tree, list(d)) for d in docs], rtol=1e-9)
 
 
+def test_windows_are_views_and_batches_do_not_show():
+    """No window is copied, and a text of many batches scores as its windows do one by one."""
+    x = np.arange(5 * A.STRIDE * 3, dtype=np.float32).reshape(-1, 3)
+    w = A._windows(x[:, 1:])
+    assert np.shares_memory(w, x) and all((w[k] == x[k * A.STRIDE : (k + 2) * A.STRIDE, 1:]).all() for k in range(4))
+    r = np.random.default_rng(8)
+    p, tree = random_model(r, np.float32)
+    size = A.BATCH
+    docs = [r.integers(0, 300, n) for n in (9, 70, 1, 33, 8, 16, 100)]
+    whole = A.score_ids(p, tree, docs)
+    try:
+        A.BATCH = 3
+        assert np.allclose(A.score_ids(p, tree, docs), whole, rtol=1e-5)
+    finally:
+        A.BATCH = size
+
+
 def test_probabilities_over_the_vocabulary_sum_to_one():
     r = np.random.default_rng(3)
     p, tree = random_model(r)
