@@ -6,7 +6,7 @@ log_FAN of its rarity, and a node starts at its branches' shares: the untrained
 the STRIDE positions it scores and the STRIDE before them, so windows overlap by half and every id is scored once, with STRIDE to
 2*STRIDE - 1 ids of context; all windows of a batch are one masked attention product.
 
-Three passes.  ``read``: words and ids of every text are counted and its ids written beside it.  ``learn``: the training documents
+Three passes.  ``read``: words and ids of every text are counted and its ids written beside it; distinct words are tokenized once for each 16 MB of text.  ``learn``: the training documents
 are dealt into ROUNDS parts by content; in each round tasks of at least TASK_IDS ids train on their documents of the part from the last round's
 parameters, and the tasks' parameters are averaged, weighted by the ids they saw (rows of the embedding and nodes of the tree by their own counts).  Every window
 of every training document is used once, in any layout.  Parameters travel as blocks of rows that are summed before the driver gets
@@ -17,7 +17,7 @@ the scoring tasks; all other words are joined by shuffle, where none of them can
 
 Defined cases: null text is empty (one end token); a null doc_id reads as empty text in the split (training); repeated rows count
 each and score alike; with no training rows all counts are 0 and the model is the untrained start; very long texts are trained on and scored in
-windows (a worker holds one text, its ids and a batch); ties in the tree's order go by id; extra columns are ignored, whatever their names; an empty table gives no rows.
+windows (a worker holds one text or 16 MB of texts, their ids and a batch); ties in the tree's order go by id; extra columns are ignored, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -27,11 +27,13 @@ import ctypes
 import functools
 import heapq
 import itertools
+import json
 import math
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
@@ -50,7 +52,7 @@ _DENSE = {"wq": (WIDTH, WIDTH), "wk": (WIDTH, WIDTH), "wv": (WIDTH, WIDTH), "wo"
 _FUTURE = np.triu(np.full((STRIDE, 2 * STRIDE), -1e9, dtype=np.float32), STRIDE + 1)
 _KEYS, _FANS = np.ones(2 * STRIDE, dtype=np.float32), np.ones(FAN, dtype=np.float32)
 #: Rows of pairs (position, node) that share one matrix product.
-_GROUP = 16
+_GROUP = 32
 
 
 def held_out(doc_id) -> bool:
@@ -138,9 +140,9 @@ def _softmax(x: np.ndarray, ones: np.ndarray) -> np.ndarray:
     return x
 
 
-def _joint(p) -> np.ndarray:
-    """The weights of queries (scaled), keys and values side by side."""
-    return np.concatenate((p["wq"] * np.float32(WIDTH**-0.5), p["wk"], p["wv"]), axis=1)
+def _products(p) -> tuple[np.ndarray, np.ndarray]:
+    """The weights of queries and keys (scaled) and of values and output, which the model uses by their products only."""
+    return p["wq"] @ p["wk"].T * np.float32(WIDTH**-0.5), p["wv"] @ p["wo"]
 
 
 def _windows(x: np.ndarray) -> np.ndarray:
@@ -149,20 +151,27 @@ def _windows(x: np.ndarray) -> np.ndarray:
     return np.lib.stride_tricks.as_strided(x, (len(x) // STRIDE - 1, 2 * STRIDE, x.shape[1]), (STRIDE * row, row, item), writeable=False)
 
 
-def _states(p, given, own):
-    """States [positions, WIDTH] of all blocks but the first, and what the backward pass needs; those of blanks mean nothing."""
-    e = p["embed"].take(given.ravel(), axis=0)
-    every = e @ _joint(p)
-    q, kw, vw = every[STRIDE:, :WIDTH].reshape(-1, STRIDE, WIDTH), _windows(every[:, WIDTH : 2 * WIDTH]), _windows(every[:, 2 * WIDTH :])
-    s = q @ kw.transpose(0, 2, 1)
+def _attention(p, q, e, own, out=None):
+    """Shares of the keys of all windows [blocks - 1, STRIDE, 2 * STRIDE], for queries q that have the keys' weights in them."""
+    s = np.matmul(q, _windows(e).transpose(0, 2, 1), out=out)
     s += p["place"] + _FUTURE
     # Blanks at a text's end are in the future of its ids; the blank block ahead is hidden.
     s[own[:-1, 0] < 0, :, :STRIDE] = -1e9
-    _softmax(s, _KEYS)
-    o = s @ vw
-    h = o.reshape(-1, WIDTH) @ p["wo"]
+    return _softmax(s, _KEYS)
+
+
+def _states(p, given, own):
+    """States [positions, WIDTH] of all blocks but the first, and what the backward pass needs; those of blanks mean nothing."""
+    e = p["embed"].take(given.ravel(), axis=0)
+    n, (look, give) = len(given) - 1, _products(p)
+    # Queries and shares are halves of matrices whose other halves the backward pass fills.
+    pulls, shares = np.empty((n, 2 * STRIDE, WIDTH), e.dtype), np.empty((n, 2 * STRIDE, 2 * STRIDE), e.dtype)
+    np.matmul(e[STRIDE:].reshape(-1, STRIDE, WIDTH), look, out=pulls[:, :STRIDE])
+    s = _attention(p, pulls[:, :STRIDE], e, own, shares[:, STRIDE:])
+    o = s @ _windows(e)
+    h = o.reshape(-1, WIDTH) @ give
     h += e[STRIDE:]
-    return h, (e, q, kw, vw, s, o)
+    return h, (e, pulls, shares, o)
 
 
 def attend(p, given, own, real):
@@ -227,35 +236,35 @@ def descend(node, tree: Tree, h: np.ndarray, t: np.ndarray, back: bool = False):
     of_nodes[0] = one[:count].T @ top
     of_nodes[1:] = dw[ahead]
     for k in np.flatnonzero(groups > 1).tolist():
-        of_nodes[k + 1] = dw[ahead[k] : ahead[k] + groups[k]].sum(axis=0)
+        dw[ahead[k] : ahead[k] + groups[k]].sum(axis=0, out=of_nodes[k + 1])
     return dh, np.concatenate((np.zeros(1, nodes.dtype), nodes[run])), of_nodes
 
 
 def gradients(p, tree, given, target, own, real):
     """(gradients, rows of the embedding and their gradients, nodes and theirs) of the mean log loss."""
-    h, (e, q, kw, vw, s, o) = _states(p, given, own)
+    h, (e, pulls, shares, o) = _states(p, given, own)
     at = np.flatnonzero(own[1:].ravel() >= 0)
     back, nodes, of_nodes = descend(p["node"], tree, h.take(at, axis=0), target[1:].ravel()[at], True)
     dh = np.zeros_like(h)
     dh[at] = back
-    g = {"wo": o.reshape(-1, WIDTH).T @ dh}
-    do = (dh @ p["wo"].T).reshape(o.shape)
-    ds = do @ vw.transpose(0, 2, 1)
+    look, give = _products(p)
+    of_give = o.reshape(-1, WIDTH).T @ dh
+    keys, do = _windows(e), (dh @ give.T).reshape(o.shape)
+    # Shares times what values pull, and shares' gradients times queries, in one product a window.
+    ds = np.matmul(do, keys.transpose(0, 2, 1), out=shares[:, :STRIDE])
     ds -= np.einsum("bij,bij->bi", do, o)[:, :, None]
-    ds *= s
-    g["place"] = ds.sum(axis=0)
-    every = np.empty((len(given), STRIDE, 3 * WIDTH), dtype=h.dtype)  # by queries, keys and values
-    every[0] = 0
-    part = np.empty((len(ds), 2 * STRIDE, 2 * WIDTH), dtype=h.dtype)
-    np.matmul(ds, kw, out=every[1:, :, :WIDTH])
-    np.matmul(ds.transpose(0, 2, 1), q, out=part[:, :, :WIDTH])
-    np.matmul(s.transpose(0, 2, 1), do, out=part[:, :, WIDTH:])
-    every[1:, :, WIDTH:] = part[:, STRIDE:]
-    every[:-1, :, WIDTH:] += part[:, :STRIDE]
-    every = every.reshape(-1, 3 * WIDTH)
-    w = e.T @ every
-    g["wq"], g["wk"], g["wv"] = w[:, :WIDTH] * np.float32(WIDTH**-0.5), w[:, WIDTH : 2 * WIDTH], w[:, 2 * WIDTH :]
-    de = every @ _joint(p).T
+    ds *= shares[:, STRIDE:]
+    pulls[:, STRIDE:] = do
+    part = shares.transpose(0, 2, 1) @ pulls
+    dq = (ds @ keys).reshape(-1, WIDTH)
+    of_look = e[STRIDE:].T @ dq * np.float32(WIDTH**-0.5)
+    g = {"wq": of_look @ p["wk"], "wk": of_look.T @ p["wq"], "wv": of_give @ p["wo"].T, "wo": p["wv"].T @ of_give, "place": ds.sum(axis=0)}
+    de = np.empty((len(given), STRIDE, WIDTH), h.dtype)
+    de[0] = 0
+    de[1:] = part[:, STRIDE:]
+    de[:-1] += part[:, :STRIDE]
+    de = de.reshape(-1, WIDTH)
+    dh += dq @ look.T
     de[STRIDE:] += dh
     ids = given.ravel().astype(np.uint16)
     order = np.argsort(ids, kind="stable")
@@ -309,27 +318,30 @@ def _keep_freed() -> None:
         pass
 
 
-def score_ids(p, tree, docs: list[np.ndarray]) -> np.ndarray:
-    """log10 probability of every id list."""
+def score_ids(p, tree, docs: list[np.ndarray], tables=None) -> np.ndarray:
+    """log10 probability of every id list; tables: those of ``look_ups``, if several calls share them."""
     out = np.zeros(len(docs))
     given, target, own, _ = layout(docs)
     size = 4 * BATCH
+    queries, values = tables or look_ups(p)
     for a in range(1, len(given), size):
-        h = np.concatenate([_states(p, given[b - 1 : b + BATCH], own[b - 1 : b + BATCH])[0] for b in range(a, min(a + size, len(given)), BATCH)])
+        stop, h = min(a + size, len(given)), []
+        for b in range(a, stop, BATCH):
+            block, ids = own[b - 1 : b + BATCH], given[b - 1 : b + BATCH].ravel()
+            e = p["embed"].take(ids, axis=0)
+            s = _attention(p, queries.take(ids[STRIDE:], axis=0).reshape(-1, STRIDE, WIDTH), e, block)
+            h.append((s @ _windows(values.take(ids, axis=0))).reshape(-1, WIDTH))
+            h[-1] += e[STRIDE:]
         of, t = own[a : a + size].ravel(), target[a : a + size].ravel()
         at = np.flatnonzero(of >= 0)
-        out += np.bincount(of[at], descend(p["node"], tree, h.take(at, axis=0), t[at]), len(docs))
+        out += np.bincount(of[at], descend(p["node"], tree, np.concatenate(h).take(at, axis=0), t[at]), len(docs))
     return out / math.log(10)
 
 
-def lower(text: str | None) -> bytes:
-    """UTF-8 with A-Z in lower case, nothing else changed."""
-    return (text or "").encode().lower()
-
-
-def ids_of(encode, data: bytes) -> np.ndarray:
-    """Ids of a lower-case text and the end."""
-    return np.array([*encode(data.decode()), END], dtype=np.uint16)
+def look_ups(p) -> tuple[np.ndarray, np.ndarray]:
+    """The query of each id and what it adds to a state as a value."""
+    look, give = _products(p)
+    return p["embed"] @ look, p["embed"] @ give
 
 
 _READ = pa.schema([("part", pa.int32()), ("doc_id", pa.int64()), ("text", pa.string()), ("ids", pa.binary()), ("word", pa.string()), ("id", pa.int32()), ("n", pa.int64())])
@@ -337,53 +349,132 @@ _READ = pa.schema([("part", pa.int32()), ("doc_id", pa.int64()), ("text", pa.str
 _HELD, _COUNTS = -1, -2
 
 
-def _read(tokenizer: str, flush: int = 1 << 20, most_words: int = 400_000):
+def lowered(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """UTF-8 of all texts one after the other, A-Z in lower case and nothing else changed, and where each begins and ends."""
+    texts = pc.ascii_lower(pc.fill_null(texts.cast(pa.string()), ""))
+    ends = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1]
+    held = texts.buffers()[2]
+    data = np.frombuffer(held, np.uint8)[ends[0] : ends[-1]] if held else np.zeros(0, np.uint8)
+    return data, ends - ends[0]
+
+
+def _closed(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether the byte ahead of each place certainly ends no white space, be it beyond ASCII."""
+    last, lead = data[at - 1], data[np.maximum(at - 3, 0)]
+    return (last > 32) & (last < 127) | (last >= 128) & (data[np.maximum(at - 2, 0)] != 0xC2) & ((lead < 0xE1) | (lead > 0xE3))
+
+
+def chunks(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """(chunks by their place among the distinct ones, distinct chunks, where each text's chunks begin and end).
+
+    A chunk is a word with the white space ahead of it: texts are cut ahead of each space or line break that follows something else.  The tokenizer's pattern has a
+    border there and looks no further back, so a text's ids are those of its chunks.
+    """
+    mark = np.zeros(len(data) + 1, dtype=bool)
+    at = np.flatnonzero((data[1:] == 32) | (data[1:] == 10)) + 1
+    mark[at[_closed(data, at)]] = True
+    mark[ends] = True
+    begin = np.flatnonzero(mark).astype(np.int32)
+    found = pa.Array.from_buffers(pa.string(), len(begin) - 1, [None, pa.py_buffer(begin), pa.py_buffer(data)]).dictionary_encode()
+    return found.indices.to_numpy(), found.dictionary, np.searchsorted(begin, ends)
+
+
+@functools.cache
+def _id_bytes(tokenizer: str) -> np.ndarray:
+    """Bytes of each id; the file writes a byte as one character."""
+    with open(tokenizer, encoding="utf-8") as f:
+        vocab = json.load(f)["model"]["vocab"]
+    out = np.zeros(max(vocab.values()) + 1, np.int64)
+    out[list(vocab.values())] = list(map(len, vocab))
+    return out
+
+
+def encoded(encode, id_bytes: np.ndarray, distinct: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(ids, where each chunk's begin, how many it has) of distinct chunks, and behind them those of an end.
+
+    Chunks that begin with white space and end in none are encoded as one text, in which borders stay, and told apart by the bytes of their ids; others one by one.
+    """
+    n, ends = len(distinct), np.frombuffer(distinct.buffers()[1], np.int32)[distinct.offset : distinct.offset + len(distinct) + 1]
+    data, ends = np.frombuffer(distinct.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]], ends - ends[0]
+    first = data[ends[:-1]]
+    joint = ((first == 32) | (first == 10)) & _closed(data, ends[1:])
+    text = data[np.repeat(joint, np.diff(ends))].tobytes().decode()
+    ids = np.array(encode(text), dtype=np.uint16)
+    stops, borders = np.cumsum(id_bytes[ids]), np.cumsum(np.diff(ends)[joint], dtype=np.int64)
+    cut = np.searchsorted(stops, borders) + 1
+    assert not len(cut) or cut[-1] == len(ids) and np.array_equal(stops[cut - 1], borders), "an id crosses a chunk's border"
+    others = [np.array(encode(c), dtype=np.uint16) for c in distinct.filter(pa.array(~joint)).to_pylist()] + [np.array([END], np.uint16)]
+    size = np.concatenate((np.diff(cut, prepend=0), np.array(list(map(len, others))))).astype(np.int32)
+    order = np.concatenate((np.flatnonzero(joint), np.flatnonzero(~joint), [n]))
+    begin, count = np.empty(n + 1, np.int32), np.empty(n + 1, np.int32)
+    begin[order], count[order] = np.cumsum(size) - size, size
+    return np.concatenate((ids, *others)), begin, count
+
+
+def _read(tokenizer: str, group: int = 16 << 20, most_words: int = 1_000_000):
     def run(batches):
-        encode = encoder(tokenizer)
-        words: collections.Counter = collections.Counter()
+        encode, id_bytes = encoder(tokenizer), _id_bytes(tokenizer)
         seen = np.zeros(VOCAB, np.int64)
-        rows, size = [], 0
+        words: list[pa.Table] = []
 
         def counts(names, ids, n):
             k = len(n)
             nulls = [pa.nulls(k, t) for t in (pa.int64(), pa.string(), pa.binary())]
             return pa.record_batch([pa.array(np.full(k, _COUNTS), pa.int32()), *nulls, names, ids, pa.array(n, pa.int64())], schema=_READ)
 
-        def word_rows():
-            # Words of several rows of counts are added up later; a text's words are decoded here, never cut.
-            out = counts(pa.array([w.decode() for w in words]), pa.nulls(len(words), pa.int32()), list(words.values()))
-            words.clear()
-            return out
-
-        def documents():
-            n = len(rows)
-            part, ids, texts, coded = zip(*rows)
-            nulls = [pa.nulls(n, t) for t in (pa.string(), pa.int32(), pa.int64())]
-            return pa.record_batch([pa.array(part, pa.int32()), pa.array(ids, pa.int64()), pa.array(texts, pa.string()), pa.array(coded, pa.binary()), *nulls], schema=_READ)
+        def summed():
+            return pa.concat_tables(words).group_by("word", use_threads=False).aggregate([("n", "sum")]).rename_columns(["word", "n"])
 
-        for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                text = text.as_py()
-                data = lower(text)
-                ids = ids_of(encode, data)
-                if held_out(doc_id):
-                    part = _HELD
-                else:
-                    part = zlib.crc32(data) % ROUNDS
-                    words.update(data.split())
-                    words[END_WORD.encode()] += 1
-                    np.add.at(seen, ids, 1)
-                rows.append((part, doc_id, text, ids.tobytes()))
-                size += len(data)
-                if size > flush:
-                    yield documents()
-                    rows, size = [], 0
-                if len(words) > most_words:
-                    yield word_rows()
-        if rows:
-            yield documents()
+        def word_rows(table):
+            # Words of several rows of counts are added up later; no word is cut.
+            words.clear()
+            for b in table.combine_chunks().to_batches(max_chunksize=100_000):
+                yield counts(b.column("word"), pa.nulls(len(b), pa.int32()), b.column("n"))
+
+        def documents(held):
+            rows = pa.Table.from_batches(held).combine_chunks()
+            doc_ids, texts = (c.combine_chunks() for c in rows.columns[:2])
+            n, (data, ends) = len(rows), lowered(texts)
+            code, distinct, first = chunks(data, ends)
+            flat, begin, count = encoded(encode, id_bytes, distinct)
+            # Each text's chunks, then its end.
+            every = np.insert(code, first[1:], len(distinct))
+            own = np.repeat(np.arange(n, dtype=np.int32), np.diff(first) + 1)
+            part = np.array([_HELD if held_out(d) else zlib.crc32(data[a:b]) % ROUNDS for d, a, b in zip(doc_ids.to_pylist(), ends.tolist(), ends[1:].tolist())])
+            times = np.bincount(every[(part != _HELD)[own]], minlength=len(distinct) + 1)
+            # The ids of the chunks from flat, one after the other.
+            size = count[every]
+            stop = np.cumsum(size, dtype=np.int32)
+            at = np.repeat(begin[every] - (stop - size), size)
+            at += np.arange(len(at), dtype=np.int32)
+            ids = flat.take(at)
+            stops = np.concatenate(([0], stop[np.cumsum(np.diff(first) + 1) - 1]))
+            order = np.argsort(begin)
+            seen[:] += np.bincount(flat, np.repeat(times[order], count[order]), VOCAB).astype(np.int64)
+            split = pc.ascii_split_whitespace(distinct)
+            of, names = pc.list_parent_indices(split).to_numpy(), pc.list_flatten(split)
+            own_words = pa.array((times[of] > 0) & (pc.binary_length(names).to_numpy() > 0))
+            table = pa.table({"word": names, "n": times[of]}).filter(own_words)
+            words.append(pa.concat_tables([table, pa.table({"word": [END_WORD], "n": times[-1:]}).filter([bool(times[-1])])]))
+            words[:] = [summed()]
+            for a in range(0, n, 500):
+                b = min(n, a + 500)
+                coded = pa.Array.from_buffers(pa.binary(), b - a, [None, pa.py_buffer(((stops[a : b + 1] - stops[a]) * 2).astype(np.int32)), pa.py_buffer(ids[stops[a] : stops[b]])])
+                nulls = [pa.nulls(b - a, t) for t in (pa.string(), pa.int32(), pa.int64())]
+                yield pa.record_batch([pa.array(part[a:b], pa.int32()), doc_ids[a:b], texts[a:b].cast(pa.string()), coded, *nulls], schema=_READ)
+
+        held, size = [], 0
+        for batch in itertools.chain(batches, [None]):
+            if batch is not None and len(batch):
+                held.append(batch)
+                size += batch.nbytes
+            if held and (batch is None or size > group):
+                yield from documents(held)
+                held, size = [], 0
+                if len(words[0]) > most_words:
+                    yield from word_rows(words[0])
         if words:
-            yield word_rows()
+            yield from word_rows(words[0])
         own = np.flatnonzero(seen)
         if len(own):
             yield counts(pa.nulls(len(own), pa.string()), pa.array(own, pa.int32()), seen[own])
@@ -488,27 +579,44 @@ def _score(p, tree, head, den):
     def run(batches):
         _keep_freed()
         rid = TaskContext.get().partitionId() << 33
-        rare = math.log10(0.5) - den  # told from the logs in head by identity
+        (known, logs_of), tables = head, look_ups(p)
+        rare = math.log10(0.5) - den
         for batch in batches:
-            rows, ids, size = [], [], 0
-            doc_ids, parts = batch.column(0).to_pylist(), batch.column(3).to_pylist()
-            for k, (doc_id, part) in enumerate(zip(doc_ids, parts)):
-                words = lower(batch.column(1)[k].as_py()).split()
-                words.append(END_WORD.encode())
-                logs = list(map(head.get, words, itertools.repeat(rare)))
-                others = collections.Counter([w for w, x in zip(words, logs) if x is rare])
-                n, base = len(words), sum(logs)
-                tail, times = [w.decode() for w in others], list(others.values())
-                known = n - others.total()
-                rows.append((rid, doc_id, part == _HELD, n, known, base, tail, times))
-                rid += 1
-                ids.append(np.frombuffer(batch.column(2)[k].as_buffer(), dtype=np.uint16))
+            if not len(batch):
+                continue
+            n = len(batch)
+            code, distinct, first = chunks(*lowered(batch.column(1)))
+            # Each text's chunks, then its end: a chunk of one word.
+            code, first = np.insert(code, first[1:], len(distinct)), first + np.arange(n + 1)
+            split = pc.ascii_split_whitespace(distinct)
+            words, of = pc.list_flatten(split), pc.list_parent_indices(split).to_numpy()
+            full = pc.binary_length(words).to_numpy() > 0
+            words, of = pa.concat_arrays([words.filter(pa.array(full)), pa.array([END_WORD])]), np.append(of[full], len(distinct))
+            at = pc.fill_null(pc.index_in(words, value_set=known), -1).to_numpy()
+            logs, unknown = np.append(logs_of, rare)[at], at < 0
+            own, kinds = np.repeat(np.arange(n), np.diff(first)), len(distinct) + 1
+            n_tokens = np.bincount(own, np.bincount(of, minlength=kinds)[code], n).astype(np.int64)
+            base = np.bincount(own, np.bincount(of, logs, kinds)[code], n)
+            # Rare words of each text and how often it holds them.
+            others = np.bincount(of[unknown], minlength=kinds)
+            n_others = others[code]
+            stop, kinds = np.cumsum(n_others), max(1, int(others.sum()))
+            at = np.repeat((np.cumsum(others) - others)[code] - (stop - n_others), n_others) + np.arange(n_others.sum())
+            pair, times = np.unique(np.repeat(own, n_others) * kinds + at, return_counts=True)
+            ends = pa.array(np.searchsorted(pair, np.arange(n + 1) * kinds), pa.int32())
+            tail = words.filter(pa.array(unknown)).take(pa.array(pair % kinds))
+            n_known = n_tokens - np.bincount(own, n_others, n).astype(np.int64)
+            scores, ids, size = [], [], 0
+            for k, data in enumerate(batch.column(2)):
+                ids.append(np.frombuffer(data.as_buffer(), dtype=np.uint16))
                 size += len(ids[-1])
-                if size > 200_000 or k + 1 == len(doc_ids):
-                    cols = list(zip(*rows))
-                    scores = score_ids(p, tree, ids)
-                    yield pa.record_batch([pa.array(c, f.type) for c, f in zip([*cols[:6], scores, *cols[6:]], schema)], schema=schema)
-                    rows, ids, size = [], [], 0
+                if size > 200_000 or k + 1 == n:
+                    scores.append(score_ids(p, tree, ids, tables))
+                    ids, size = [], 0
+            cols = [np.arange(rid, rid + n), batch.column(0), pc.equal(batch.column(3), _HELD), n_tokens, n_known, base, np.concatenate(scores)]
+            rid += n
+            lists = [pa.ListArray.from_arrays(ends, tail), pa.ListArray.from_arrays(ends, pa.array(times, pa.int32()))]
+            yield pa.record_batch([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip([*cols, *lists], schema)], schema=schema)
 
     return run
 
@@ -520,7 +628,8 @@ def score(docs: DataFrame, tokenizer: str, head_words: int = HEAD_WORDS) -> Data
     p, tree = learn(table)
     n, v = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     den = math.log10(n + 0.5 * (v + 1))
-    head = {r.word.encode(): math.log10(r.c + 0.5) - den for r in words.where(F.col("c") * head_words >= n).toLocalIterator()}  # at most head_words
+    head = [(r.word, math.log10(r.c + 0.5) - den) for r in words.where(F.col("c") * head_words >= n).toLocalIterator()]  # at most head_words
+    head = pa.array([w for w, _ in head], pa.string()), np.array([x for _, x in head])
     every = table.where(F.col("part") != _COUNTS).select("doc_id", "text", "ids", "part")
     scored = graph.written(every.mapInArrow(_score(p, tree, head, den), _SCORED))
     graph.release(table)

@@ -2,9 +2,11 @@
 
 import collections
 import math
+import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 
 from flamewright.llm import attention as A
 from flamewright.llm import queries
@@ -177,3 +179,45 @@ def test_the_model_beats_frequencies_however_it_is_split(spark):
     # As the operator runs, the layout hardly matters.
     assert abs(A.score_ids(*A.learn(table.repartition(5)), test).sum() / n - one) < 0.05
     table.unpersist()
+
+
+def read_rows(texts, **sizes):
+    """(part, doc_id, ids) of the texts, and the counts of words and ids of the training ones, as the first pass writes them."""
+    rows, words, seen = [], collections.Counter(), collections.Counter()
+    whole = pa.record_batch([pa.array(range(len(texts)), pa.int64()), pa.array(texts, pa.string())], names=["doc_id", "text"])
+    for out in A._read(queries.tokenizer_path(), **sizes)([whole.slice(a, 70) for a in range(0, len(texts), 70)]):
+        for r in out.to_pylist():
+            if r["part"] != A._COUNTS:
+                assert r["text"] == texts[r["doc_id"]]
+                rows.append((r["part"], r["doc_id"], np.frombuffer(r["ids"], np.uint16).tolist()))
+            elif r["word"] is not None:
+                words[r["word"].encode()] += r["n"]
+            else:
+                seen[r["id"]] += r["n"]
+    return rows, words, seen
+
+
+def test_ids_and_counts_by_chunks_are_those_of_whole_texts():
+    r = random.Random(5)
+    parts = ["a", "The", "é", " ", " ", " ", "\n", "\t", " ", "　", "\u0085", " ", "'s", "1", "...", "́", "日", "“", "\U0001f600", "<|endoftext|>", "\r\n", "\x1c", "\x00", "À", "İ"]
+    texts = ["".join(r.choice(parts) for _ in range(r.randrange(40))) for _ in range(2000)] + [None, "", " ", "\n", "word " * 5000]
+    encode = A.encoder(queries.tokenizer_path())
+    rows, words, seen = [], collections.Counter(), collections.Counter()
+    for k, text in enumerate(texts):
+        data = (text or "").encode().lower()
+        ids = [*encode(data.decode()), A.END]
+        rows.append((-1 if A.held_out(k) else zlib.crc32(data) % A.ROUNDS, k, ids))
+        if not A.held_out(k):
+            words.update([*data.split(), b"\n"])
+            seen.update(ids)
+    for sizes in ({}, {"group": 2000, "most_words": 50}):
+        assert read_rows(texts, **sizes) == (rows, words, seen)
+
+
+def test_words_that_come_again_are_tokenized_once(monkeypatch):
+    done = []
+    encode = A.encoder(queries.tokenizer_path())
+    monkeypatch.setattr(A, "encoder", lambda path: lambda text: done.append(len(text)) or encode(text))
+    texts = [f"these are the same words in every text, but for {k}" for k in range(300)]
+    rows, _, _ = read_rows(texts)
+    assert len(rows) == 300 and sum(done) < sum(map(len, texts)) / 4
